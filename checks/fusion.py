@@ -237,7 +237,7 @@ def j3(spark, sf):
         Q.CAND_LOSSY + "," + Q.FUSED,
         f"""SELECT a.page_id, a.segment, a.text,
         CASE WHEN EXISTS (SELECT 1 FROM merged m WHERE m.page_id = a.page_id AND m.segment = a.segment
-             AND {Q.visible('m.text')} = {Q.visible('a.text')}) THEN 0.95 ELSE 0.80 END AS confidence FROM answers a""",
+             AND {Q.visible('m.text')} = {Q.visible('a.text')}) THEN 0.95::DOUBLE ELSE 0.80::DOUBLE END AS confidence FROM answers a""",
     ),
 )
 def j4(spark, sf):
@@ -370,7 +370,7 @@ def p20(spark, sf):
     "a6_assemble_pages",
     Q.query(
         Q.CAND_LOSSY + "," + Q.FUSED,
-        f"""SELECT page_id, string_agg(text, chr(10) ORDER BY idx) AS text, {Q.round4('avg(confidence)')} AS confidence,
+        f"""SELECT page_id, string_agg(text, chr(10) ORDER BY idx) AS text, {Q.round4(Q.mean('confidence', 'idx'))} AS confidence,
         count(*) AS segments FROM segs GROUP BY page_id""",
     ),
 )
@@ -505,28 +505,67 @@ def w3(spark, sf):
 # Repeats
 
 
+def _repeated(spark, sf) -> DataFrame:
+    """Segments in which merging repeated text: after a sentence with "ea" comes a disputed copy.
+
+    The copy is exact, has its last letters changed, or is the tail of the sentence, by content.
+    """
+    first = F.struct(
+        F.lit(0).alias("part"), F.col("seg").alias("text"), F.lit(0.9239).alias("confidence"), F.lit("consensus").alias("source")
+    )
+    copy = (
+        F.when(F.col("seg").contains("th"), F.col("seg"))
+        .when(F.col("seg").contains("an"), F.concat(F.col("seg"), F.lit("x")))
+        .when(F.col("seg").contains("é"), F.expr("substring(seg, 6)"))
+        .otherwise(F.replace("seg", F.lit("e"), F.lit("o")))
+    )
+    again = F.struct(
+        F.lit(1).alias("part"), copy.alias("text"), F.lit(0.25).alias("confidence"), F.lit("fallback").alias("source")
+    )
+    rows = I.sentences(spark, sf).select(
+        "page_id",
+        "pos",
+        F.explode(F.when(F.col("seg").contains("ea"), F.array(first, again)).otherwise(F.array(first))).alias("r"),
+    )
+    flat = rows.select("page_id", (F.col("pos") * 2 + F.col("r.part")).alias("at"), "r.text", "r.confidence", "r.source")
+    from variorum.operators import ordered
+
+    numbered = ordered.number_rows(flat, ["page_id"], ["at"], ordered.bucket_of("at"), "idx")
+    return stage(numbered.drop("at").withColumn("disputed", F.col("source") == "fallback"), "repeated")
+
+
+_REPEATED = """
+rep AS (SELECT page_id, pos * 2 AS spot, seg AS text, 0.9239::DOUBLE AS confidence, 'consensus' AS source FROM sent
+        UNION ALL
+        SELECT page_id, pos * 2 + 1, CASE WHEN seg LIKE '%th%' THEN seg WHEN seg LIKE '%an%' THEN seg || 'x'
+               WHEN seg LIKE '%é%' THEN substr(seg, 6) ELSE replace(seg, 'e', 'o') END, 0.25, 'fallback'
+        FROM sent WHERE seg LIKE '%ea%'),
+segs AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY spot) - 1 AS idx, text, confidence, source,
+                source = 'fallback' AS disputed FROM rep)"""
+
+
 @check(
     "j5_validate_proposals",
-    Q.query(Q.CAND_LOSSY + "," + Q.FUSED + "," + Q.REPEATS, "SELECT page_id, later, earlier FROM valid"),
+    Q.query(Q.SENT_ARRAYS + "," + _REPEATED + "," + Q.REPEATS, "SELECT page_id, later, earlier FROM valid"),
 )
 def j5(spark, sf):
-    segments = _segments(spark, sf)
+    segments = _repeated(spark, sf)
     return dedupe.validate_proposals(segments, dedupe.propose_nearby(segments))
 
 
 @check(
     "j6_drop_duplicates",
     Q.query(
-        Q.CAND_LOSSY + "," + Q.FUSED + "," + Q.REPEATS
+        Q.SENT_ARRAYS + "," + _REPEATED + "," + Q.REPEATS
         + ", gone AS (SELECT page_id, count(DISTINCT later) AS g FROM valid GROUP BY page_id)",
         f"""SELECT p.page_id, coalesce(string_agg(k.text, chr(10) ORDER BY k.nidx), '') AS text,
-        coalesce({Q.round4('avg(k.confidence)')}, 0) AS confidence, coalesce(any_value(g), 0) AS duplicate_segments
+        coalesce({Q.round4(Q.mean('k.confidence', 'k.nidx'))}, 0) AS confidence, coalesce(any_value(g), 0) AS duplicate_segments
         FROM (SELECT DISTINCT page_id FROM segs) p LEFT JOIN kept k ON k.page_id = p.page_id
         LEFT JOIN gone ON gone.page_id = p.page_id GROUP BY p.page_id""",
     ),
 )
 def j6(spark, sf):
-    segments = _segments(spark, sf)
+    segments = _repeated(spark, sf)
     valid = stage(dedupe.validate_proposals(segments, dedupe.propose_nearby(segments)), "valid")
     return dedupe.deduplicated_pages(segments, valid)
 
@@ -644,7 +683,7 @@ _PLAIN_READINGS = _READINGS.replace(Q.CAND_LOSSY, Q.CAND_PLAIN)
                FROM outcomes GROUP BY page_id),
         gone AS (SELECT page_id, count(DISTINCT later) AS g FROM valid GROUP BY page_id),
         pg AS (SELECT page_id, string_agg(text, chr(10) ORDER BY nidx) AS text, """
-        + Q.round4("avg(confidence)")
+        + Q.round4(Q.mean("confidence", "nidx"))
         + """ AS confidence FROM kept GROUP BY page_id)""",
         """SELECT eng.page_id, engines, failed AS failed_engines, coalesce(c, 0) + coalesce(oc.r, 0) AS segments,
         coalesce(c, 0) AS consensus_segments, coalesce(e, 0) AS escalated_segments, coalesce(f, 0) AS fallback_segments,

@@ -140,3 +140,124 @@ def answers_for(spark: SparkSession, sf: str):
 def flat_candidates(c: str = "candidates") -> Column:
     """Candidates as one string, so results compare as plain text."""
     return F.array_join(F.transform(c, lambda x: F.concat(x["agent"], F.lit("="), x["text"])), "|")
+
+
+# Documents, pages and tasks: orders are documents, line items their pages, customers the users.
+
+NOW = "2030-01-01 00:00:00"
+
+
+def now() -> Column:
+    return F.to_timestamp(F.lit(NOW))
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    urgent = F.col("o_orderpriority").startswith("1")
+    low = F.col("o_orderpriority").startswith("5")
+    status = (
+        F.when(F.col("o_orderstatus") == "O", "processing")
+        .when((F.col("o_orderstatus") == "P") & urgent, "preparing")
+        .when(F.col("o_orderstatus") == "P", "ready")
+        .when(low, "cancelled")
+        .when(urgent, "failed")
+        .otherwise("completed")
+    )
+    return o.select(
+        F.col("o_orderkey").alias("doc_id"),
+        F.col("o_custkey").alias("user_id"),
+        F.concat(F.lit("scan "), F.col("o_orderkey").cast("string"), F.when(low, ".pdf").otherwise(".png")).alias("name"),
+        F.when(low, "pdf").otherwise("image").alias("source_type"),
+        F.floor("o_totalprice").cast("long").alias("size_bytes"),
+        status.alias("status"),
+        F.array(F.lit("p/one"), F.concat(F.lit("p/"), F.lower(F.substring("o_orderpriority", 3, 3)))).alias("engines"),
+        F.lit("p/arbiter").alias("arbiter"),
+        F.lit("").alias("duplicate_checker"),
+        urgent.alias("auto_arbitrate"),
+        F.col("o_orderdate").alias("created_at"),
+        F.col("o_orderdate").alias("updated_at"),
+        F.when(status == "completed", F.col("o_orderdate")).alias("completed_at"),
+        F.lit("").alias("error"),
+    )
+
+
+def pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items numbered within their order; a line item without an order has no document."""
+    from variorum.operators import ordered
+
+    li = table(spark, sf, "lineitem").join(
+        table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi"
+    )
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+    numbered = ordered.number_rows(li, ["l_orderkey"], order, F.col("l_linenumber").cast("long"), "pos")
+    flags = F.concat("l_returnflag", "l_linestatus")
+    status = (
+        F.when(F.col("l_quantity") <= 2, "preparing")
+        .when(flags.isin("NF", "AF"), "completed")
+        .when(flags == "NO", "queued")
+        .when(flags == "AO", "ready")
+        .when(flags == "RF", "failed")
+        .otherwise("processing")
+    )
+    ready = (status == "completed") | ((status == "failed") & (F.col("l_tax") == 0))
+
+    def result(value) -> Column:
+        return F.when(ready, value).otherwise(F.lit(0))
+
+    return numbered.select(
+        F.col("l_orderkey").alias("doc_id"),
+        F.format_string("page-%06d", F.col("pos") + 1).alias("page_id"),
+        "pos",
+        F.col("l_linenumber").cast("long").alias("source_page"),
+        status.alias("status"),
+        (F.col("l_quantity") > 2).alias("image_ready"),
+        ready.alias("result_ready"),
+        F.when(ready, 1 - F.col("l_discount")).otherwise(0.0).alias("confidence"),
+        result(F.col("l_quantity").cast("long")).cast("long").alias("segments"),
+        result(F.round(F.col("l_tax") * 100)).cast("long").alias("pending_disputes"),
+        result(F.col("l_partkey")).cast("long").alias("duration_ms"),
+        F.col("l_linenumber").cast("long").alias("revision"),
+        F.lit("").alias("error"),
+        F.col("l_shipdate").alias("updated_at"),
+        F.col("l_suppkey").alias("mark"),
+    )
+
+
+def page_columns(df: DataFrame) -> DataFrame:
+    """The columns of a page table that the checks compare."""
+    return df.select(
+        "doc_id", "page_id", "pos", "status", "result_ready", F.round("confidence", 6).alias("confidence"),
+        "segments", "pending_disputes", "duration_ms", "revision", "error",
+        F.date_format("updated_at", "yyyy-MM-dd").alias("updated"),
+    )
+
+
+def document_columns(df: DataFrame) -> DataFrame:
+    return df.select(
+        "doc_id", "status", F.array_join("engines", "|").alias("engines"), "auto_arbitrate", "error",
+        F.coalesce(F.date_format("completed_at", "yyyy-MM-dd"), F.lit("")).alias("completed"),
+        F.date_format("updated_at", "yyyy-MM-dd").alias("updated"),
+        "page_count", "prepared_pages", "processed_pages", "failed_pages", "pending_disputes",
+    )
+
+
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document is asked to run; some with the settings it already has."""
+    return documents(spark, sf).select(
+        "doc_id",
+        F.when(F.col("user_id") < F.col("doc_id") / 10, F.col("engines")).otherwise(F.array(F.lit("p/new"))).alias("engines"),
+        "arbiter",
+        "duplicate_checker",
+        "auto_arbitrate",
+    )
+
+
+def selection(p: DataFrame) -> DataFrame:
+    """Pages picked by content; some picks are repeated, blank or unknown."""
+    usual = p.filter("mark < 60 AND status NOT IN ('processing', 'preparing')").select("doc_id", "page_id")
+    odd = p.filter("mark >= 97").select(
+        "doc_id",
+        F.when(F.col("mark") == 97, F.col("page_id")).when(F.col("mark") == 98, "").otherwise("page-999999").alias("page_id"),
+    )
+    again = p.filter("mark = 97").select("doc_id", "page_id")
+    return usual.unionByName(odd).unionByName(again)

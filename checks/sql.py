@@ -46,6 +46,11 @@ def round4(x):
     return f"floor(({x}) * 1e4 + 0.5) / 1e4"
 
 
+def mean(x, order):
+    """Mean of a column with the additions in a fixed order."""
+    return f"list_reduce(list({x} ORDER BY {order}), lambda u, v: u + v) / count({x})"
+
+
 SENT_ARRAYS = f"""
 docs AS (SELECT doc_id AS page_id, lang, source, translate(text, '.', '。') AS z FROM documents),
 arr AS (SELECT page_id, lang, source,
