@@ -41,6 +41,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result once and read it back.
 
@@ -48,7 +52,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     gives the optimiser real sizes. Use it where one costly result feeds several branches.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
