@@ -22,13 +22,16 @@ from pyspark.sql import functions as F
 
 from variorum.functions import text as T
 from variorum.operators import votes
+from variorum.session import spread
 
+TEXT_TABLES = ("documents", "conversations")  # much work per byte
 LONG_SENTENCE = 80
 FAILING_SOURCE = "src7"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    read = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    return spread(read) if name in TEXT_TABLES else read
 
 
 def sentence_arrays(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,3 +264,47 @@ def selection(p: DataFrame) -> DataFrame:
     )
     again = p.filter("mark = 97").select("doc_id", "page_id")
     return usual.unionByName(odd).unionByName(again)
+
+
+# Lifecycle events: the event table, one page per user.
+
+
+def lifecycle(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of every type a run emits, by event type and the number in the properties."""
+    e = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    k, kind = F.col("k"), F.col("event_type")
+    type_ = (
+        F.when((kind == "signup") & (k < 5), "stage_start")
+        .when((kind == "signup") & (k < 15), "agent_start")
+        .when(kind == "signup", "attempt_start")
+        .when(kind.isin("click", "view"), "delta")
+        .when(kind == "error", "attempt_failed")
+        .when(k < 5, "stage_done")
+        .when(k < 8, "done")
+        .otherwise("agent_done")
+    )
+    stage = F.when(k % 10 < 7, "engine").when(k % 10 < 9, "arbiter").otherwise("duplicate_check")
+    whole = type_.isin("stage_start", "stage_done", "done")
+    attempt = type_.isin("attempt_start", "attempt_failed")
+    return e.select(
+        F.col("user_id").cast("string").alias("doc_id"),
+        F.lit("page-000001").alias("page_id"),
+        F.col("event_id").alias("seq"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        type_.alias("type"),
+        F.when(type_ == "done", "").otherwise(stage).alias("stage"),
+        F.when(whole, "").otherwise(F.concat(F.lit("m"), (k % 3).cast("string"))).alias("agent"),
+        F.when(kind == "click", "output").when(kind == "view", "thinking").otherwise("").alias("kind"),
+        F.when(kind == "click", F.concat(F.lit("w"), k.cast("string"), F.when(F.col("value") > 15, " ").when(F.col("value") > 5, "").otherwise("é")))
+        .when(kind == "view", F.concat(F.lit("t"), k.cast("string")))
+        .otherwise("")
+        .alias("text"),
+        F.when(type_ == "stage_start", k % 4).otherwise(0).cast("int").alias("total"),
+        F.floor(F.col("value") * 10).cast("long").alias("latency_ms"),
+        F.when(attempt, 1 + k % 2).otherwise(0).cast("int").alias("attempt"),
+        F.when(attempt | (type_ == "agent_start"), 2).otherwise(0).cast("int").alias("max_attempts"),
+        F.when(type_ == "attempt_failed", F.concat(F.lit("e"), k.cast("string")))
+        .when((type_ == "agent_done") & (k >= 60), F.concat(F.lit("gave up "), k.cast("string")))
+        .otherwise("")
+        .alias("error"),
+    )

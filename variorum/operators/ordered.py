@@ -77,6 +77,24 @@ def carry_last(
     )
 
 
+def previous_value(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: Column, out: str
+) -> DataFrame:
+    """``value`` of the row before, null for the first row of a key."""
+    marked = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    within = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    newest = marked.groupBy(*keys, "_bucket").agg(F.max_by("_value", F.struct(*order)).alias("_newest"))
+    before = Window.partitionBy(*keys).orderBy("_bucket")
+    carried = newest.select(*keys, "_bucket", F.lag("_newest").over(before).alias("_carried"))
+    return (
+        marked.withColumn("_at", F.row_number().over(within))
+        .withColumn(out, F.lag("_value").over(within))
+        .join(carried, [*keys, "_bucket"])
+        .withColumn(out, F.when(F.col("_at") == 1, F.col("_carried")).otherwise(F.col(out)))
+        .drop("_bucket", "_value", "_carried", "_at")
+    )
+
+
 def joined_text(order: str, text: str, separator: str) -> Column:
     """Aggregate: texts of a group joined in order. The result is one value, so the group is its size."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))

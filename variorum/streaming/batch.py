@@ -1,16 +1,256 @@
 """Batch twins of the streaming jobs, over a whole event table.
 
 An event table has ``doc_id, page_id, seq, ts, type, stage, agent, kind, text, total, latency_ms,
-attempt, max_attempts, error``; ``seq`` gives the order inside a page.
+attempt, max_attempts, error``; ``seq`` gives the order inside a page. Ordered steps use bucketed
+scans and everything else is an aggregate, so one busy page does not become one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from variorum.functions import text as T
+from variorum.operators import ordered
+
+PAGE = ["doc_id", "page_id"]
+AGENT = ["doc_id", "page_id", "stage", "agent"]
+AGENT_EVENTS = ("agent_start", "attempt_start", "delta", "attempt_failed", "agent_done")
+IDLE_SECONDS = 120
+TPS_SECONDS = 0.25
+TERMINAL = ("result", "error")
+
+
+def _newest(value: Column, when: Column) -> Column:
+    """Aggregate: ``value`` of the last row in order for which ``when`` holds; null if none."""
+    return F.max_by(value, F.when(when, F.col("seq")))
+
+
+def _is(*types: str) -> Column:
+    return F.col("type").isin(*types)
+
+
+def attempts(events: DataFrame) -> DataFrame:
+    """Deltas with the attempt of the latest attempt start of their stage and agent."""
+    started = F.when(_is("attempt_start"), F.struct("attempt", "max_attempts"))
+    carried = ordered.carry_last(
+        events.filter(_is("attempt_start", "delta")), AGENT, ["seq"], ordered.bucket_of("seq"), started, "_started"
+    )
+    return carried.filter(_is("delta")).select(
+        *[c for c in events.columns if c not in ("attempt", "max_attempts")],
+        F.coalesce("_started.attempt", "attempt").alias("attempt"),
+        F.coalesce("_started.max_attempts", "max_attempts").alias("max_attempts"),
+    )
+
+
+def _current(events: DataFrame) -> DataFrame:
+    """Events of agents with ``current``: whether the row belongs to the newest attempt of its agent."""
+    numbered = ordered.running_total(
+        events.filter(_is(*AGENT_EVENTS)), AGENT, ["seq"], ordered.bucket_of("seq"), _is("attempt_start").cast("int"), "epoch"
+    )
+    last = numbered.groupBy(*AGENT).agg(F.max("epoch").alias("_last"))
+    return numbered.join(last, AGENT).withColumn("current", F.col("epoch") == F.col("_last")).drop("_last", "epoch")
+
+
+def joined_tokens(fragments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Token estimate of the joined ``text`` of each key, without joining it.
+
+    An ASCII run may cross fragments. Fragments are numbered by how many of them break runs so far;
+    the run between two breaks is the tail of one, the whole fragments in between and the head of
+    the next, so its length is a sum over rows with the same number.
+    """
+    keys = list(keys)
+    parts = fragments.select(*keys, "seq", T.token_parts("text").alias("p"))
+    numbered = ordered.running_total(
+        parts, keys, ["seq"], ordered.bucket_of("seq"), (~F.col("p.whole")).cast("int"), "breaks"
+    )
+    piece = F.when(
+        F.col("p.whole"), F.array(F.struct(F.col("breaks").alias("run"), F.col("p.lead").alias("length")))
+    ).otherwise(
+        F.array(
+            F.struct((F.col("breaks") - 1).alias("run"), F.col("p.lead").alias("length")),
+            F.struct(F.col("breaks").alias("run"), F.col("p.trail").alias("length")),
+        )
+    )
+    runs = (
+        numbered.select(*keys, F.explode(piece).alias("r"))
+        .groupBy(*keys, "r.run")
+        .agg(F.sum("r.length").alias("length"))
+        .groupBy(*keys)
+        .agg(F.sum(F.floor((F.col("length") + 3) / 4)).alias("_runs"))
+    )
+    inner = parts.groupBy(*keys).agg(F.sum("p.inner").alias("_inner"))
+    return runs.join(inner, keys).select(*keys, (F.col("_runs") + F.col("_inner")).cast("long").alias("tokens"))
+
+
+def joined_tail(fragments: DataFrame, keys: Sequence[str], out: str, chars: int = T.PREVIEW_CHARS) -> DataFrame:
+    """The last characters of the joined ``text`` of each key; only fragments that reach into them are gathered."""
+    keys = list(keys)
+    sized = fragments.select(*keys, (-F.col("seq")).alias("back"), "text", F.char_length("text").alias("size")).filter("size > 0")
+    counted = ordered.running_total(sized, keys, ["back"], ordered.bucket_of("back"), F.col("size"), "reach")
+    near = counted.filter(F.col("reach") - F.col("size") < chars).withColumn("seq", -F.col("back"))
+    return near.groupBy(*keys).agg(F.right(ordered.joined_text("seq", "text", ""), F.lit(chars)).alias(out))
+
+
+def agent_state(events: DataFrame) -> DataFrame:
+    """State of every agent after its last event: times, measures of the newest attempt, errors."""
+    marked = _current(events)
+    # An attempt that starts after a run ended in an error keeps that error as the last one.
+    ended = F.when(_is("attempt_failed", "agent_done"), F.col("error"))
+    told = ordered.carry_last(marked, AGENT, ["seq"], ordered.bucket_of("seq"), ended, "_ended")
+    now = F.col("current")
+    out = now & _is("delta") & (F.col("kind") != "thinking")
+    retry = F.col("attempt") < F.col("max_attempts")
+    status = (
+        F.when(_is("agent_start", "attempt_start"), "waiting")
+        .when(_is("delta"), F.when(F.col("kind") == "thinking", "thinking").otherwise("streaming"))
+        .when(_is("attempt_failed"), F.when(retry, "retrying").otherwise("failed"))
+        .otherwise(F.when(F.col("error") != "", "failed").otherwise("completed"))
+    )
+    error = F.when(_is("attempt_start") | (_is("attempt_failed") & retry), "").otherwise(F.col("error"))
+    keeps = _is("attempt_failed") | (_is("attempt_start") & (F.coalesce("_ended", F.lit("")) != ""))
+    base = told.groupBy(*AGENT).agg(
+        F.max("seq").alias("last_seq"),
+        F.max_by(status, "seq").alias("status"),
+        F.coalesce(_newest(F.col("ts"), _is("attempt_start")), F.min_by("ts", "seq")).alias("started_at"),
+        F.min(F.when(now & _is("delta"), F.col("ts"))).alias("first_token_at"),
+        F.min(F.when(out, F.col("ts"))).alias("first_output_at"),
+        _newest(F.col("ts"), now & _is("attempt_failed", "agent_done")).alias("finished_at"),
+        F.coalesce(F.sum(F.when(out, F.char_length("text"))), F.lit(0)).alias("output_chars"),
+        F.coalesce(_newest(F.col("attempt"), _is("attempt_start", "attempt_failed")), F.lit(0)).alias("attempt"),
+        F.coalesce(
+            _newest(F.col("max_attempts"), _is("agent_start", "attempt_start", "attempt_failed")), F.lit(0)
+        ).alias("max_attempts"),
+        F.coalesce(_newest(error, _is("attempt_start", "attempt_failed", "agent_done")), F.lit("")).alias("error"),
+        F.coalesce(_newest(F.col("_ended"), keeps), F.lit("")).alias("last_error"),
+    )
+    fragments = marked.filter(now & _is("delta")).select(*AGENT, "seq", "kind", "text")
+    output = fragments.filter("kind <> 'thinking'")
+    thinking = fragments.filter("kind = 'thinking'")
+    return (
+        base.join(joined_tokens(output, AGENT), AGENT, "left")
+        .join(joined_tail(output, AGENT, "output"), AGENT, "left")
+        .join(joined_tail(thinking, AGENT, "thinking"), AGENT, "left")
+        .withColumn("tokens", F.coalesce("tokens", F.lit(0).cast("long")))
+        .na.fill("", ["output", "thinking"])
+    )
+
+
+def _millis(start: str, end: Column) -> Column:
+    return F.floor((F.unix_micros(end) - F.unix_micros(start)) / 1000).cast("long")
+
+
+def heartbeat(agents: DataFrame, now: Column) -> DataFrame:
+    """Elapsed time, time to first token and throughput as of ``now``; finished agents stand still."""
+    end = F.coalesce("finished_at", now)
+    seconds = (F.unix_micros(end) - F.unix_micros("first_output_at")) / 1e6
+    rate = F.floor(F.col("tokens") / seconds * 10 + 0.5) / 10
+    return (
+        agents.withColumn("elapsed_ms", _millis("started_at", end))
+        .withColumn("first_token", F.col("first_token_at").isNotNull())
+        .withColumn("ttft_ms", F.coalesce(_millis("started_at", F.col("first_token_at")), F.lit(0).cast("long")))
+        .withColumn("tps", F.when(seconds >= TPS_SECONDS, rate).otherwise(0.0))
+    )
+
+
+def agent_progress(events: DataFrame, now: Column) -> DataFrame:
+    return heartbeat(agent_state(events), now)
+
+
+def page_stage(events: DataFrame) -> DataFrame:
+    """Stage machine per page. A plain aggregate, so the same plan runs on a stream."""
+    after = (
+        F.when(_is("stage_start", "agent_start", "attempt_start"), F.col("stage"))
+        .when(_is("stage_done") & (F.col("stage") == "engine"), "merge")
+        .when(_is("agent_done") & F.col("stage").isin("arbiter", "duplicate_check"), "saving")
+        .when(_is("done"), "saving")
+    )
+    counted = _is("stage_start") & (F.col("stage") == "engine") & (F.col("total") > 0)
+    return events.groupBy(*PAGE).agg(
+        F.coalesce(_newest(after, after.isNotNull()), F.lit("loading")).alias("stage"),
+        F.coalesce(_newest(F.col("total"), counted), F.lit(0)).alias("total_engines"),
+        F.count(F.lit(1)).alias("sequence"),
+        F.min("ts").alias("started_at"),
+    )
+
+
+def page_progress(events: DataFrame, agents: DataFrame, now: Column) -> DataFrame:
+    """Page snapshots: stage, engines done and in total, elapsed time."""
+    done = agents.filter("stage = 'engine' AND status IN ('completed', 'failed')").groupBy(*PAGE).agg(
+        F.count(F.lit(1)).alias("completed_engines")
+    )
+    return (
+        page_stage(events)
+        .join(done, PAGE, "left")
+        .withColumn("completed_engines", F.coalesce("completed_engines", F.lit(0).cast("long")))
+        .withColumn("elapsed_ms", _millis("started_at", now))
+        .withColumn("status", F.lit("running"))
+    )
+
+
+def progress_rollup(agents: DataFrame, pages: DataFrame) -> DataFrame:
+    """Per page: tokens, throughput, first token of any agent, and percent of engines done."""
+    summed = agents.groupBy(*PAGE).agg(
+        F.sum("tokens").alias("tokens"),
+        F.sum("tps").alias("tps"),
+        F.min(F.when(F.col("first_token"), F.col("ttft_ms"))).alias("first_token_ms"),
+    )
+    percent = F.when(F.col("total_engines") > 0, F.col("completed_engines") / F.col("total_engines") * 100).otherwise(0.0)
+    return pages.join(summed, PAGE, "left").select(
+        *PAGE,
+        F.coalesce("tokens", F.lit(0).cast("long")).alias("tokens"),
+        F.coalesce("tps", F.lit(0.0)).alias("tps"),
+        "first_token_ms",
+        percent.alias("percent"),
+    )
+
+
+def latest_progress(snapshots: DataFrame, order: str = "sequence") -> DataFrame:
+    """The newest snapshot per document. A plain aggregate, so the same plan runs on a stream."""
+    rest = [c for c in snapshots.columns if c != "doc_id"]
+    newest = snapshots.groupBy("doc_id").agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row"))
+    return newest.select("doc_id", "_row.*")
+
+
+def idle_attempts(events: DataFrame, now: Column, timeout: int = IDLE_SECONDS) -> DataFrame:
+    """First moment each attempt went without a fragment for the timeout.
+
+    An attempt start or a fragment renews the wait; the next event of the agent, or ``now``, ends it.
+    """
+    mine = events.filter(_is(*AGENT_EVENTS))
+    told = ordered.running_total(
+        mine, AGENT, ["seq"], ordered.bucket_of("seq"), _is("attempt_start").cast("int"), "epoch"
+    )
+    # A closing row per agent stands for "no event since".
+    last = told.groupBy(*AGENT).agg((F.max("seq") + 1).alias("seq"), F.max("epoch").alias("epoch"))
+    closing = last.select(*AGENT, "seq", now.alias("ts"), F.lit("").alias("type"), "epoch")
+    seen = told.select(*AGENT, "seq", "ts", "type", "epoch").unionByName(closing)
+    before = F.struct("ts", "type", "epoch")
+    lagged = ordered.previous_value(seen, AGENT, ["seq"], ordered.bucket_of("seq"), before, "before")
+    waited = F.unix_micros("ts") - F.unix_micros("before.ts")
+    idle = lagged.filter(F.col("before.type").isin("attempt_start", "delta") & (waited >= timeout * 1_000_000))
+    return idle.groupBy(*AGENT, F.col("before.epoch").alias("epoch")).agg(
+        (F.min("before.ts") + F.make_dt_interval(secs=F.lit(timeout))).alias("idle_at")
+    )
+
+
+def retry_outcomes(events: DataFrame) -> DataFrame:
+    """Per run of an agent: attempts, failures, latency, final error, and whether the rules held."""
+    runs = ordered.running_total(
+        events.filter(_is(*AGENT_EVENTS)), AGENT, ["seq"], ordered.bucket_of("seq"), _is("agent_start").cast("int"), "run"
+    )
+    done = _is("agent_done")
+    return runs.groupBy(*AGENT, "run").agg(
+        F.count_if(_is("attempt_start")).alias("attempts"),
+        F.count_if(_is("attempt_failed")).alias("failures"),
+        F.coalesce(F.max("max_attempts"), F.lit(0)).alias("max_attempts"),
+        F.coalesce(_newest(F.col("latency_ms"), done), F.lit(0).cast("long")).alias("latency_ms"),
+        F.coalesce(_newest(F.col("error"), done), F.lit("")).alias("error"),
+        F.bool_or(done).alias("finished"),
+    ).withColumn("within_limit", F.col("attempts") <= F.greatest("max_attempts", F.lit(1)))
+
 
 def assemble_stream(deltas: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Output and thinking of each attempt, joined in order; an attempt without output is an error.
@@ -19,7 +259,7 @@ def assemble_stream(deltas: DataFrame, keys: Sequence[str], order: str) -> DataF
     """
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "kind", "text")))
 
-    def joined(kind: str):
+    def joined(kind: str) -> Column:
         return F.array_join(F.transform(F.filter("rows", lambda r: r["kind"] == kind), lambda r: r["text"]), "")
 
     told = deltas.groupBy(*keys).agg(rows.alias("rows")).select(
@@ -27,3 +267,45 @@ def assemble_stream(deltas: DataFrame, keys: Sequence[str], order: str) -> DataF
     )
     error = F.when(F.col("_error") != "", F.col("_error")).when(F.col("output") == "", "no text").otherwise("")
     return told.withColumn("error", error).drop("_error")
+
+
+def barrier_audit(events: DataFrame) -> DataFrame:
+    """Pages whose events break the order: engines, then their barrier, arbiter, repeat check, done.
+
+    One aggregate per page; the same plan runs on a stream.
+    """
+
+    def first(when: Column) -> Column:
+        return F.min(F.when(when, F.col("seq")))
+
+    def last(when: Column) -> Column:
+        return F.max(F.when(when, F.col("seq")))
+
+    engine, arbiter, repeat = (F.col("stage") == s for s in ("engine", "arbiter", "duplicate_check"))
+    seen = events.groupBy(*PAGE).agg(
+        last(engine & _is("agent_done")).alias("engine_done"),
+        last(engine & _is("stage_done")).alias("barrier"),
+        first(arbiter).alias("arbiter_first"),
+        last(arbiter).alias("arbiter_last"),
+        first(repeat).alias("repeat_first"),
+        first(_is("done")).alias("done"),
+        F.max("seq").alias("last"),
+    )
+    rules = [
+        (F.col("engine_done") > F.col("barrier"), "engine after barrier"),
+        (F.col("arbiter_first") < F.coalesce("barrier", "arbiter_last"), "arbiter before barrier"),
+        (F.col("repeat_first") < F.col("arbiter_last"), "repeat check before arbiter"),
+        (F.col("last") > F.col("done"), "event after done"),
+    ]
+    broken = F.array_compact(F.array(*[F.when(rule, F.lit(text)) for rule, text in rules]))
+    return seen.select(*PAGE, F.array_join(broken, "|").alias("violations")).filter("violations <> ''")
+
+
+def after_terminal(
+    events: DataFrame, keys: Sequence[str] = PAGE, terminal: Sequence[str] = TERMINAL
+) -> tuple[DataFrame, DataFrame]:
+    """(events up to the first terminal one, keys that never had one)."""
+    keys = list(keys)
+    closed = events.groupBy(*keys).agg(F.min(F.when(_is(*terminal), F.col("seq"))).alias("_closed"))
+    kept = events.join(closed, keys).filter("_closed IS NULL OR seq <= _closed").drop("_closed")
+    return kept, closed.filter("_closed IS NULL").select(*keys)
