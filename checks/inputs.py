@@ -47,7 +47,8 @@ def sentence_arrays(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return sentence_arrays(spark, sf).select("page_id", F.posexplode("sents").alias("pos", "seg"))
+    rows = sentence_arrays(spark, sf).select("page_id", F.posexplode_outer("sents").alias("pos", "seg"))
+    return rows.filter("pos IS NOT NULL")
 
 
 def _engines(lossy: bool) -> dict[str, Column]:

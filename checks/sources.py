@@ -36,7 +36,7 @@ seg AS (SELECT CAST(page_id AS VARCHAR) AS doc_id, lang AS page_id, pos AS idx,
 
 def _flat_segments(spark, sf):
     arrays = I.sentence_arrays(spark, sf)
-    rows = arrays.select("page_id", "lang", F.posexplode("sents").alias("pos", "text"))
+    rows = arrays.select("page_id", "lang", F.posexplode_outer("sents").alias("pos", "text")).filter("pos IS NOT NULL")
     open_ = F.col("text").contains("ea")
     return rows.select(
         F.col("page_id").cast("string").alias("doc_id"),

@@ -258,3 +258,76 @@ def s6(spark, sf):
     folder = fresh_folder(spark, "events")
     partial.write.json(folder)
     return lifecycle.read_lifecycle(spark, folder).select("doc_id", "seq", "type", "kind")
+
+
+# The same answers from the streaming jobs, drained over files that Spark writes from the events.
+
+
+def _stream(spark, sf):
+    from variorum.streaming import live
+
+    live.use_rocksdb(spark)
+    ship_package(spark)
+    folder = fresh_folder(spark, "events")
+    I.lifecycle(spark, sf).write.json(folder)
+    return lifecycle.read_lifecycle(spark, folder, streaming=True)
+
+
+def _drain(spark, stream, mode="update"):
+    from variorum.streaming import live
+
+    out = fresh_folder(spark, "drained")
+    live.run_once(stream, out, fresh_folder(spark, "checkpoint"), mode)
+    return spark.read.parquet(out)
+
+
+@check("t1_stream_agent_progress", Q.query(STATE, PROGRESS_OUT))
+def t1_stream(spark, sf):
+    from variorum.streaming import live
+
+    rows = _drain(spark, live.agent_progress(_stream(spark, sf)))
+    return B.heartbeat(live.newest(rows, B.AGENT, ["last_seq"]), now()).select(*PROGRESS)
+
+
+@check(
+    "t2_stream_page_stage",
+    Q.query(PAGES, "SELECT doc_id, page_id, stage, total_engines, sequence FROM pp"),
+)
+def t2_stream(spark, sf):
+    from variorum.streaming import live
+
+    rows = _drain(spark, B.page_stage(_stream(spark, sf)))
+    return live.newest(rows, B.PAGE, ["epoch"]).select("doc_id", "page_id", "stage", "total_engines", "sequence")
+
+
+@check(
+    "t3_stream_latest",
+    Q.query(EVENTS, "SELECT doc_id, max(seq) AS sequence, arg_max(type, seq) AS type, arg_max(stage, seq) AS stage FROM ev GROUP BY doc_id"),
+)
+def t3_stream(spark, sf):
+    from variorum.streaming import live
+
+    snapshots = _stream(spark, sf).select("doc_id", F.col("seq").alias("sequence"), "type", "stage")
+    return live.newest(_drain(spark, B.latest_progress(snapshots)), ["doc_id"], ["sequence"]).drop("epoch", "batch")
+
+
+@check("t7_stream_barrier_audit", Q.query(_AUDIT, "SELECT doc_id, page_id, violations FROM v WHERE violations <> ''"))
+def t7_stream(spark, sf):
+    from variorum.streaming import live
+
+    rows = _drain(spark, B.barrier_audit(_stream(spark, sf)))
+    return live.newest(rows, B.PAGE, ["epoch"]).select("doc_id", "page_id", "violations")
+
+
+@check(
+    "t8_stream_after_terminal",
+    Q.query(
+        EVENTS + ", c AS (SELECT doc_id, min(seq) FILTER (WHERE type = 'done') AS closed FROM ev GROUP BY doc_id)",
+        "SELECT doc_id, seq, type FROM ev JOIN c USING (doc_id) WHERE closed IS NULL OR seq <= closed",
+    ),
+)
+def t8_stream(spark, sf):
+    from variorum.streaming import live
+
+    gate = live.after_terminal(_stream(spark, sf), terminal=("done",))
+    return _drain(spark, gate, "append").select("doc_id", "seq", "type")

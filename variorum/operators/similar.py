@@ -29,7 +29,8 @@ def similar_segments(df: DataFrame, keys: Sequence[str], text: str, floor: float
         .withColumn("size", F.size("grams"))
         .filter("size > 0")
     )
-    spread = forms.select(*keys, "core", "size", F.explode("grams").alias("gram"))
+    # Outer, so that no inferred size() filter builds the grams a second time.
+    spread = forms.select(*keys, "core", "size", F.explode_outer("grams").alias("gram"))
     common = spread.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("df"))
     by_form = Window.partitionBy(*keys, "core").orderBy("df", "gram")
     prefix = (

@@ -199,7 +199,8 @@ def ingest_sse(df: DataFrame, log: str, api: str) -> DataFrame:
         F.when(stop > 0, stop).otherwise(F.size("_frames")).alias("_stop"),
     )
     # The explode sits between the array work and the parsing, which then runs in generated code.
-    rows = kept.select(*rest, "_stop", F.posexplode("_zipped").alias("frame", "z")).filter("frame < _stop").select(
+    # The outer form keeps Catalyst from adding a size() filter that would do the array work again.
+    rows = kept.select(*rest, "_stop", F.posexplode_outer("_zipped").alias("frame", "z")).filter("frame < _stop").select(
         *rest, "frame", F.col("z._errors").alias("error"), F.col("z._frames.event").alias("event"),
         F.try_parse_json("z._frames.data").alias("v"),
     )
