@@ -269,7 +269,7 @@ def _stream(spark, sf):
     live.use_rocksdb(spark)
     ship_package(spark)
     folder = fresh_folder(spark, "events")
-    I.lifecycle(spark, sf).write.json(folder)
+    I.lifecycle(spark, sf).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(folder)
     return lifecycle.read_lifecycle(spark, folder, streaming=True)
 
 

@@ -2,7 +2,9 @@
 
 Rows of one key are put in ``seq`` order inside each micro-batch, and a row at or below the newest
 ``seq`` of its key is a repeat and is dropped. State of a key is a fixed set of small values: texts
-are kept as counters and bounded tails, never whole. Idle state expires after ``STATE_HOURS``.
+are kept as counters and bounded tails, never whole. With ``expire`` idle state is dropped after
+``STATE_HOURS``; that needs the processing clock, which never lets a run over "what is there" end,
+so drained runs leave it out.
 """
 
 from __future__ import annotations
@@ -109,12 +111,13 @@ def _ordered(rows: Iterator[pd.DataFrame]) -> list[dict]:
 class AgentFold(StatefulProcessor):
     """State machine of one agent. With processing time, a running agent is reported every second."""
 
-    def __init__(self, beat: bool = False):
+    def __init__(self, beat: bool = False, expire: bool = False):
         self.beat = beat
+        self.ttl = STATE_HOURS * 3_600_000 if expire else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("agent", _STATE, ttlDurationMs=STATE_HOURS * 3_600_000)
+        self.state = handle.getValueState("agent", _STATE, self.ttl)
 
     def _row(self, key, s: dict, observed: int | None) -> pd.DataFrame:
         told = dict(zip(B.AGENT, key))
@@ -158,7 +161,11 @@ class AgentFold(StatefulProcessor):
         pass
 
 
-def agent_progress(events: DataFrame, beat: bool = False) -> DataFrame:
+def _clock(needed: bool) -> str:
+    return "ProcessingTime" if needed else "None"
+
+
+def agent_progress(events: DataFrame, beat: bool = False, expire: bool = False) -> DataFrame:
     """Newest state per agent and micro-batch, in the columns of the batch twin's state.
 
     ``beat`` adds a row per second for every agent still running, stamped ``observed_at``.
@@ -168,7 +175,7 @@ def agent_progress(events: DataFrame, beat: bool = False) -> DataFrame:
         mine.select(*B.AGENT, "seq", "at", "type", "kind", "text", "attempt", "max_attempts", "error")
         .groupBy(*B.AGENT)
         .transformWithStateInPandas(
-            AgentFold(beat), outputStructType=_OUTPUT, outputMode="Update", timeMode="ProcessingTime"
+            AgentFold(beat, expire), outputStructType=_OUTPUT, outputMode="Update", timeMode=_clock(beat or expire)
         )
     )
     times = ("started_at", "first_token_at", "first_output_at", "finished_at", "observed_at")
@@ -178,11 +185,12 @@ def agent_progress(events: DataFrame, beat: bool = False) -> DataFrame:
 class TerminalGate(StatefulProcessor):
     """Passes the rows of a key up to its first terminal event and nothing after."""
 
-    def __init__(self, columns: Sequence[str], terminal: Sequence[str]):
+    def __init__(self, columns: Sequence[str], terminal: Sequence[str], expire: bool = False):
         self.columns, self.terminal = list(columns), tuple(terminal)
+        self.ttl = STATE_HOURS * 3_600_000 if expire else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("gate", "last_seq long, closed boolean", ttlDurationMs=STATE_HOURS * 3_600_000)
+        self.state = handle.getValueState("gate", "last_seq long, closed boolean", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last, closed = self.state.get() if self.state.exists() else (-1, False)
@@ -206,10 +214,13 @@ class TerminalGate(StatefulProcessor):
 
 
 def after_terminal(
-    events: DataFrame, keys: Sequence[str] = B.PAGE, terminal: Sequence[str] = B.TERMINAL
+    events: DataFrame, keys: Sequence[str] = B.PAGE, terminal: Sequence[str] = B.TERMINAL, expire: bool = False
 ) -> DataFrame:
     return events.groupBy(*keys).transformWithStateInPandas(
-        TerminalGate(events.columns, terminal), outputStructType=events.schema, outputMode="Append", timeMode="ProcessingTime"
+        TerminalGate(events.columns, terminal, expire),
+        outputStructType=events.schema,
+        outputMode="Append",
+        timeMode=_clock(expire),
     )
 
 
