@@ -58,6 +58,7 @@ def admit(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def admit_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Admission of the files under ``path``. Spark lists no empty files, so those are not reported here."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return admit(files)
 
