@@ -287,10 +287,10 @@ def _answer_tables(spark, sf):
     Q.query(
         Q.SENT_ARRAYS + "," + _ANSWER_TEXT
         + rf""",
-        parsed AS (SELECT page_id, pos AS at, CAST(regexp_extract(line, '^#([0-9]+)', 1) AS BIGINT) AS segment,
+        parsed AS (SELECT page_id, pos AS spot, CAST(regexp_extract(line, '^#([0-9]+)', 1) AS BIGINT) AS segment,
                    {Q.trim("regexp_extract(line, '^#[0-9]+(.*)$', 1)")} AS text
                    FROM lines WHERE regexp_matches(line, '^#[0-9]+([ \t].*)?$'))""",
-        """SELECT p.page_id, p.segment, arg_max(text, at) AS text FROM parsed p
+        """SELECT p.page_id, p.segment, arg_max(text, spot) AS text FROM parsed p
         JOIN asked a ON a.page_id = p.page_id AND a.segment = p.segment GROUP BY p.page_id, p.segment""",
     ),
 )
