@@ -24,7 +24,8 @@ def frequent_digests(rows: DataFrame, tracked: int = TRACKED) -> DataFrame:
     parts = rows.groupBy((F.spark_partition_id() % MERGES).alias("part")).agg(
         F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("sketch")
     )
-    merged = parts.agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+    # Grouped, as a sketch of no rows, which an empty partition would add, cannot be merged.
+    merged = parts.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
     found = merged.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {tracked})")).alias("found"))
     return found.select(F.col("found.item").alias("digest"))
 
