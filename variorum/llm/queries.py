@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from variorum.llm import bpe, chat, exact, packing, quality, toxicity
+from variorum.llm import bpe, chat, exact, near, packing, quality, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, folder, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85)
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op4_chat_format": op4_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,15 +33,19 @@ def in_batches(
     rows: DataFrame,
     schema: str,
     make: Callable[[], Callable[[pa.RecordBatch], Iterator[list]]],
+    last: bool = False,
 ) -> DataFrame:
-    """Run `make()` once in each task; what it returns turns each Arrow batch into lists of output columns."""
+    """Run `make()` once in each task; what it returns turns each Arrow batch into lists of output columns.
+
+    With `last` it is called once more with None when the rows of the task are over.
+    """
     ship_package(rows.sparkSession)
     fields = arrow_fields(schema)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            if batch.num_rows:
+        for batch in chain(batches, [None] if last else []):
+            if batch is None or batch.num_rows:
                 for columns in work(batch):
                     yield pa.RecordBatch.from_arrays(
                         [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, fields)],
