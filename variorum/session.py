@@ -49,11 +49,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result once and read it back.
 
     Cuts the lineage, so a lost executor costs a read and not a second run of the work above, and
-    gives the optimiser real sizes. Use it where one costly result feeds several branches.
+    gives the optimiser real sizes. Use it where one costly result feeds several branches. Shuffle files
+    of the write are of no more use after it and go at once.
     """
     spark = df.sparkSession
     path = fresh_folder(spark, name)
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
