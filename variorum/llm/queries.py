@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from variorum.llm import bpe, chat, exact, near, packing, quality, toxicity
+from variorum.llm import bpe, chat, exact, near, packing, quality, substrings, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +39,11 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, folder, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = substrings.without_repeats(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85)
 
@@ -55,6 +61,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op4_chat_format": op4_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
