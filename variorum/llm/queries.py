@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variorum.llm import bpe, chat, exact, near, packing, quality, substrings, toxicity
+from variorum.llm import bpe, chat, exact, near, packing, pages, quality, substrings, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.piece_digests(packing.pack(table(spark, folder, "documents"), path), packing.id_width(path))
 
 
+def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.main_text(table(spark, folder, "pages"))
+
+
 def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
@@ -59,6 +63,7 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
+    "op3_main_text": op3_main_text,
     "op4_chat_format": op4_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_substring_dedup": op7_substring_dedup,
