@@ -100,6 +100,8 @@ class Page:
         draw, out = self.draw, []
         if draw.random() < 0.8:
             out.append(self.block("h1", self.words(1, 14)))
+        if draw.random() < 0.15:  # next to nothing to read
+            return self.named("main", "".join(out) + self.block("p", self.prose(1, 5)))
         for _ in range(draw.randint(1, 14)):
             kind = draw.random()
             if kind < 0.72:
