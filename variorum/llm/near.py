@@ -19,10 +19,10 @@ from variorum.session import stage
 #: Defaults of the operator: words in a shingle, and similarity in percent from which texts are linked.
 SHINGLE = 5
 PERCENT = 80
-#: Registers in a band and number of bands. At a similarity of 0.85 two texts share no band with a
-#: probability of (1 - 0.85**8)**48 = 2e-7, at 0.8 of (1 - 0.8**8)**48 = 1e-4; BANDS is a parameter.
+#: Registers in a band, and the default number of bands, a parameter. Two texts share no band with a
+#: probability of (1 - 0.8**8)**64 = 8e-6 at a similarity of 0.8, (1 - 0.85**8)**48 = 2e-7 at 0.85.
 ROWS = 8
-BANDS = 48
+BANDS = 64
 #: Bits of a register: those of the mantissa; six more hold the count of leading zeros.
 MANTISSA = 10
 #: An estimate this many standard errors under the limit rules a pair out before the sets are compared.

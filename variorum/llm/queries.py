@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variorum.llm import bpe, chat, exact, near, packing, pages, quality, substrings, toxicity
+from variorum.llm import bpe, chat, exact, near, packing, pages, quality, substrings, token_counts, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,6 +39,14 @@ def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(given.unionByName(extra)))
 
 
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    edited = token_counts.drawn_edits(table(spark, folder, "documents"))
+    counted = token_counts.count_and_recount(edited, "edits", tokenizer("byte_bpe_50k.json"))
+    return counted.select(
+        "doc_id", "n_tokens", "edited_tokens", "pre_tokens", "reencoded", F.sha2("edited_text", 256).alias("edited_sha256")
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, folder, "documents"))
 
@@ -49,7 +57,7 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return near.near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85)
+    return near.near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85, bands=48)
 
 
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,6 +73,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_main_text": op3_main_text,
     "op4_chat_format": op4_chat_format,
+    "op5_token_counts": op5_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_near_dedup": op8_near_dedup,

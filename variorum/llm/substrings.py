@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from variorum.llm.near import pieces
 from variorum.llm.tables import in_batches, texts
 from variorum.llm.words import Numbering, mixed, rolling
-from variorum.session import stage
+from variorum.session import ship_package, stage
 
 #: Words of a window; a passage is one or more windows in a row.
 WINDOW = 13
@@ -220,6 +221,25 @@ def removals(found: DataFrame, places: DataFrame, window: int) -> DataFrame:
     )
 
 
+def repeated_ranges(
+    rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, patterns: int = PATTERNS
+) -> DataFrame:
+    """(place, row, cuts) of each text of `keyed` rows that has something to cut; one row for each."""
+    rows = rows.select("place", "row", "text")
+    shared = stage(recurring(anchor_table(rows, window, anchor)), "shared-anchors")
+    found = stage(segments(rows, shared, window, anchor), "segments")
+    places = stage(located(found, window, patterns), "located")
+    return stage(removals(found, places, window), "cuts")
+
+
+def cut_words(words: list[bytes], cuts: np.ndarray) -> list[bytes]:
+    """The words outside all ranges."""
+    cover = np.zeros(len(words) + 1, np.int64)
+    np.add.at(cover, cuts >> 32, 1)
+    np.add.at(cover, (cuts & 0xFFFFFFFF) + 1, -1)
+    return [w for w, hidden in zip(words, np.cumsum(cover).tolist()) if not hidden]
+
+
 def without_repeats(
     docs: DataFrame,
     window: int = WINDOW,
@@ -238,31 +258,41 @@ def without_repeats(
     texts are shuffled twice, to meet what is known of them; all results are written in between.
     """
     rows = keyed(docs, id_col, text_col)
-    shared = stage(recurring(anchor_table(rows, window, anchor)), "shared-anchors")
-    found = stage(segments(rows, shared, window, anchor), "segments")
-    places = stage(located(found, window, patterns), "located")
-    cuts = stage(removals(found, places, window), "cuts")
+    cuts = repeated_ranges(rows, window, anchor, patterns)
 
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[list]:
             counts, gone, kept = [], [], []
             for text, cut in zip(batch.column(1).cast(pa.binary()), batch.column(2)):
                 words = text.as_py().split()
+                stays = cut_words(words, np.asarray(cut.values)) if cut.is_valid else words
                 counts.append(len(words))
-                if not cut.is_valid or not len(cut):
-                    gone.append(0)
-                    kept.append(b" ".join(words))
-                    continue
-                ranges = np.asarray(cut.values)
-                cover = np.zeros(len(words) + 1, np.int64)
-                np.add.at(cover, ranges >> 32, 1)
-                np.add.at(cover, (ranges & 0xFFFFFFFF) + 1, -1)
-                stays = np.cumsum(cover[:-1]) == 0
-                gone.append(int(len(words) - stays.sum()))
-                kept.append(b" ".join([w for w, s in zip(words, stays.tolist()) if s]))
+                gone.append(len(words) - len(stays))
+                kept.append(b" ".join(stays))
             yield [batch.column(0), counts, gone, pa.array(kept, pa.binary()).cast(pa.string())]
 
         return work
 
     held = rows.join(cuts, ["place", "row"], "left").select("doc_id", "text", "cuts")
     return in_batches(held, "doc_id long, n_words long, n_removed long, kept_text string", make)
+
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with the same columns and rows; a text with repeats is its kept words, one space apart, all others are as they were."""
+    ship_package(docs.sparkSession)
+    cuts = repeated_ranges(keyed(docs, id_col, text_col))
+
+    @F.pandas_udf("string")
+    def shortened(text: pd.Series, cut: pd.Series) -> pd.Series:
+        return pd.Series(
+            [t if c is None else b" ".join(cut_words(t.encode().split(), np.asarray(c))).decode() for t, c in zip(text, cut)]
+        )
+
+    place = F.coalesce(docs[id_col].cast("long"), F.lit((1 << 63) - 1))
+    row = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    marked = docs.select(F.struct(*map(F.col, docs.columns)).alias("given"), place.alias("place"), row.alias("row"))
+    held = marked.join(cuts, ["place", "row"], "left")
+    text = F.when(F.col("cuts").isNull(), F.col(f"given.{text_col}")).otherwise(
+        shortened(F.coalesce(f"given.{text_col}", F.lit("")), "cuts")
+    )
+    return held.select(*(text.alias(c) if c == text_col else F.col(f"given.{c}") for c in docs.columns))

@@ -6,13 +6,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from variorum.llm.tables import in_batches, texts
 from variorum.llm.words import FACTOR, mixed
-from variorum.session import stage
+from variorum.session import ship_package, stage
 
 #: Lengths of the character n-grams; the two edges of a word count as characters.
 LENGTHS = (4, 5, 6, 7, 8, 9)
@@ -243,6 +244,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def acceptable(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` with a score under THRESHOLD, whole and without a shuffle."""
+    ship_package(docs.sparkSession)
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        np.seterr(over="ignore")
+        weights = model.dense()
+        wanted = weights != 0
+        for text in batches:
+            parts = [text[i : i + 1000].tolist() for i in range(0, len(text), 1000)]
+            yield pd.Series(np.concatenate([scores(x, weights, wanted, model.offset) for x in parts] or [[]]))
+
+    return docs.filter(scored(F.coalesce(docs[text_col].cast("string"), F.lit(""))) < THRESHOLD)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fit on the labelled documents that are not held out, and score each row of `docs`.
 
