@@ -5,7 +5,7 @@ Each stage takes what the one before kept, and all but the last return the colum
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from variorum.llm import exact, near, packing, substrings, toxicity
@@ -20,28 +20,33 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.acceptable(docs, toxicity.fit(rows, labels))
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id; of repeated rows one."""
+def row_key(doc_id: Column, text_hash: Column) -> Column:
+    """Tells rows apart by id and text; never null, so that rows without an id can be joined too."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), text_hash.cast("string"))
 
-    def key(doc_id, digest):
-        return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), digest)
 
-    kept = exact.exact_duplicates(docs).filter("kept")
-    keys = kept.select(key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
+def rows_with(docs: DataFrame, kept: DataFrame, text_hash: Column) -> DataFrame:
+    """Rows of `docs` whose key is in `kept` (column key); of repeated rows one."""
     given = docs.select(
-        F.struct(*map(F.col, docs.columns)).alias("given"),
-        key(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("key"),
+        F.struct(*map(F.col, docs.columns)).alias("given"), row_key(F.col("doc_id"), text_hash).alias("key")
     )
     # The join has dealt and sorted by key already, so that telling repeated rows apart costs no shuffle.
     number = F.row_number().over(Window.partitionBy("key").orderBy("key"))
-    rows = given.join(keys, "key", "left_semi").withColumn("number", number)
-    return rows.filter("number = 1").select("given.*")
+    return given.join(kept, "key", "left_semi").withColumn("number", number).filter("number = 1").select("given.*")
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest doc_id; of repeated rows one."""
+    kept = exact.exact_duplicates(docs).filter("kept")
+    keys = kept.select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
+    return rows_with(docs, keys, F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest doc_id. Five words, 0.8 or more."""
-    dropped = near.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["gone"], "left_anti")
+    kept = near.near_duplicates(docs).filter("kept")
+    keys = kept.select(row_key(F.col("doc_id"), F.col("text_hash")).alias("key"))
+    return rows_with(docs, keys, F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

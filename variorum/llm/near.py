@@ -160,7 +160,7 @@ def confirmed(
     return found
 
 
-SKETCH = "doc_id long, row_id long, n_shingles long, set_1 long, set_2 long, bands array<long>"
+SKETCH = "doc_id long, text_hash long, row_id long, n_shingles long, set_1 long, set_2 long, bands array<long>"
 
 
 def sketched(rows: DataFrame, shingle: int, bands: int) -> DataFrame:
@@ -178,13 +178,13 @@ def sketched(rows: DataFrame, shingle: int, bands: int) -> DataFrame:
                 ).view(np.int64)
                 keys = [band_keys(hyperminhash(s, order), ROWS) if len(s) else [] for s in sets]
                 yield [
-                    part.column(0), part.column(2), [len(s) for s in sets], digests[:, 0], digests[:, 1],
+                    part.column(0), part.column(2), part.column(3), [len(s) for s in sets], digests[:, 0], digests[:, 1],
                     pa.array(keys, pa.list_(pa.int64())),
                 ]
 
         return work
 
-    return in_batches(rows.select("doc_id", "text", "row_id"), SKETCH, make)
+    return in_batches(rows.select("doc_id", "text", F.xxhash64("text"), "row_id"), SKETCH, make)
 
 
 def pieces(batch: pa.RecordBatch, text: int, limit: int = 6 * BLOCK_WORDS) -> Iterator[pa.RecordBatch]:
@@ -282,11 +282,11 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row for each row of `docs`: doc_id, n_shingles, component_id, kept.
+    """One row for each row of `docs`: doc_id, n_shingles, component_id, kept, text_hash.
 
     Texts are linked when 100 * intersection >= `percent` * union of their sets of `shingle` words, and
     fall into components; component_id is the smallest doc_id of one, and the row with it is kept (of
-    repeated rows one). A text without words, or null, is alone and kept. A null id counts as the largest.
+    repeated rows one). text_hash (64 bits) tells texts under one id apart. A text without words, or null, is alone and kept. A null id counts as the largest.
 
     Texts with one set are one class; copies are never compared with each other. Classes that share a band
     form clusters, and each cluster's sets are compared once, in blocks.
@@ -307,7 +307,7 @@ def near_duplicates(
         .join(classes, ["set_1", "set_2"], "left")
         .join(component, F.col("class") == component["node"], "left")
         .select(
-            "doc_id", "row_id", "n_shingles",
+            "doc_id", "text_hash", "row_id", "n_shingles",
             F.when(F.col("n_shingles") > 0, F.coalesce("component", "class")).alias("component"),
         )
     )
@@ -318,4 +318,5 @@ def near_duplicates(
         "n_shingles",
         F.when(F.col("lowest").isNull(), F.col("doc_id")).otherwise(F.col("lowest.doc_id")).alias("component_id"),
         F.coalesce(F.col("row_id") == F.col("lowest.row_id"), F.lit(True)).alias("kept"),
+        "text_hash",
     )

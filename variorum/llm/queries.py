@@ -57,7 +57,8 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return near.near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85, bands=48)
+    found = near.near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85, bands=48)
+    return found.drop("text_hash")
 
 
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
