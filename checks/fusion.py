@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -671,6 +673,28 @@ def j2(spark, sf):
 _PLAIN_READINGS = _READINGS.replace(Q.CAND_LOSSY, Q.CAND_PLAIN)
 
 
+@check(
+    "j2_misread_alignment",
+    Q.query(
+        Q.CAND_LOSSY,
+        """SELECT page_id, agent, string_agg(text, '' ORDER BY slot) AS text, any_value(n) AS n,
+        CAST(0 AS BIGINT) AS crowded FROM cand JOIN nval USING (page_id) GROUP BY page_id, agent""",
+    ),
+)
+def j2_misread(spark, sf):
+    """Readings whose letters differ: whatever the slots are, each engine's candidates in slot order are its
+    sentences, each once, and no slot has an engine twice (crowded)."""
+    aligned = align.align_readings(I.readings(spark, sf)).select("page_id", "slot", "n", F.explode("candidates").alias("c"))
+    one = aligned.groupBy("page_id", "slot", "c.agent", "n").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("c.text").alias("text")
+    )
+    said = F.array_sort(F.collect_list(F.struct("slot", "text")))
+    return one.groupBy("page_id", "agent", F.col("n").cast("long").alias("n")).agg(
+        F.array_join(F.transform(said, lambda x: x["text"]), "").alias("text"),
+        F.count_if(F.col("copies") > 1).alias("crowded"),
+    )
+
+
 @check(
     "x4_fuse",
     Q.query(
@@ -710,7 +734,7 @@ def x4_lossy(spark, sf):
     "x1_u1_providers",
     Q.query(
         f"""r AS (SELECT doc_id AS page_id, 'plain' AS agent, text, length(text) AS latency_ms, '' AS err FROM documents
-        UNION ALL SELECT doc_id, 'upper', CASE WHEN lang = 'de' THEN '' ELSE upper(text) END,
+        UNION ALL SELECT doc_id, 'upper', CASE WHEN lang = 'de' THEN '' ELSE translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') END,
                   CASE WHEN lang = 'de' THEN 0 ELSE length(text) END, CASE WHEN lang = 'de' THEN 'no answer' ELSE '' END
         FROM documents)""",
         "SELECT page_id, agent, text, latency_ms, err FROM r",
@@ -728,7 +752,7 @@ def x1(spark, sf):
         return provider
 
     readings, _ = X.read_pages(
-        pages, {"upper": answer(F.upper("text"), "lang <> 'de'"), "plain": answer(F.col("text"), "true")}
+        pages, {"upper": answer(F.translate("text", ascii_lowercase, ascii_uppercase), "lang <> 'de'"), "plain": answer(F.col("text"), "true")}
     )
     return readings
 

@@ -35,15 +35,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def sentence_arrays(spark: SparkSession, sf: str) -> DataFrame:
-    """page_id, lang, source, sents: sentences with a core form, "." read as "。"."""
+    """page_id, lang, source, sents: all sentences, "." read as "。"."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     cut = T.segments_of(F.translate("text", ".", "。"))
-    return docs.select(
-        F.col("doc_id").alias("page_id"),
-        "lang",
-        "source",
-        F.filter(cut, lambda s: T.core_form(s) != "").alias("sents"),
-    )
+    return docs.select(F.col("doc_id").alias("page_id"), "lang", "source", cut.alias("sents"))
 
 
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,9 +51,10 @@ def _engines(lossy: bool) -> dict[str, Column]:
     numbered = F.transform("sents", lambda s, i: F.struct(i.alias("slot"), s.alias("text")))
 
     def reworded(change) -> Column:
-        return F.transform(
+        changed = F.transform(
             "sents", lambda s, i: F.struct(i.alias("slot"), T.clean_layout(change(s)).alias("text"))
         )
+        return F.filter(changed, lambda x: x["text"] != "")
 
     seen = F.filter(numbered, lambda x: F.char_length(T.core_form(x["text"])) <= LONG_SENTENCE)
     if lossy:

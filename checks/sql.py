@@ -53,24 +53,40 @@ def mean(x, order):
 
 SENT_ARRAYS = f"""
 docs AS (SELECT doc_id AS page_id, lang, source, translate(text, '.', '。') AS z FROM documents),
-arr AS (SELECT page_id, lang, source,
-               list_filter({segments('z')}, lambda s: {core('s')} <> '') AS sents FROM docs),
+arr AS (SELECT page_id, lang, source, {segments('z')} AS sents FROM docs),
 sent AS (SELECT page_id, lang, source, unnest(sents) AS seg,
                 CAST(generate_subscripts(sents, 1) - 1 AS BIGINT) AS pos FROM arr)"""
 
 
 def _cand(lossy):
+    """What each engine saw of each sentence. Lossy readings keep the sentence's position as their slot; of
+    plain ones the slots are those of the alignment, see below."""
     b = clean("replace(seg, 'ea', 'ca')" if lossy else "replace(seg, ',', '')")
     d = clean("replace(seg, 'th', 'tb')") if lossy else "seg"
-    return f"""
-cand AS (
+    seen = f"""
   SELECT page_id, pos AS slot, 'a' AS agent, seg AS text FROM sent
-  UNION ALL SELECT page_id, pos, 'b', {b} FROM sent
+  UNION ALL SELECT page_id, pos, 'b', {b} FROM sent WHERE {b} <> ''
   UNION ALL SELECT page_id, pos, 'c', seg FROM sent WHERE length({core('seg')}) <= 80
-  UNION ALL SELECT page_id, pos, 'd', {d} FROM sent WHERE source <> 'src7'),
+  UNION ALL SELECT page_id, pos, 'd', {d} FROM sent WHERE source <> 'src7'"""
+    cand = f"cand AS ({seen})" if lossy else PLACED.format(seen=seen, core=core("text"))
+    return f"""
+{cand},
 nval AS (SELECT page_id, count(DISTINCT agent) AS n FROM cand GROUP BY page_id)"""
 
 
+# A sentence without a core form pairs with nothing, so each engine's copy is a slot of its own. It stands
+# behind the last sentence with a core form that its engine saw, and an engine that joins later puts its own first.
+PLACED = """
+seen AS (SELECT *, {core} = '' AS bare FROM ({seen})),
+keyed AS (SELECT *, CASE WHEN bare THEN
+                      coalesce(max(CASE WHEN NOT bare THEN slot END)
+                               OVER (PARTITION BY page_id, agent ORDER BY slot), -1) ELSE slot END AS after,
+                 CASE WHEN bare THEN 102 - ascii(agent) ELSE 0 END AS turn, CASE WHEN bare THEN slot ELSE 0 END AS own
+          FROM seen),
+cand AS (SELECT page_id, dense_rank() OVER (PARTITION BY page_id ORDER BY after, turn, own) - 1 AS slot, agent, text
+         FROM keyed)"""
+
+
 CAND_LOSSY = SENT_ARRAYS + "," + _cand(True)
 CAND_PLAIN = SENT_ARRAYS + "," + _cand(False)
 
@@ -160,14 +176,18 @@ def ascii_marks(x):
 
 
 REPEATS = f"""
-forms AS (SELECT page_id, idx, disputed, source, {visible('text')} AS vis, {core('text')} AS core FROM segs),
-valid AS (SELECT l.page_id, l.idx AS later, e.idx AS earlier
-          FROM forms l JOIN forms e ON e.page_id = l.page_id AND l.idx - e.idx BETWEEN 1 AND 4
-          WHERE l.disputed AND l.source <> 'consensus' AND length(l.core) >= 8 AND e.core <> ''
-            AND (l.vis = e.vis OR contains(e.core, l.core)
-                 OR (least(length(l.core), length(e.core)) * 10 >= greatest(length(l.core), length(e.core)) * 9
-                     AND levenshtein({ascii_marks('l.core')}, {ascii_marks('e.core')})
-                         <= greatest(1, greatest(length(l.core), length(e.core)) // 12)))),
+forms AS (SELECT *, length(core) AS size, {ascii_marks('core')} AS marks
+          FROM (SELECT page_id, idx, disputed, source, {visible('text')} AS vis, {core('text')} AS core FROM segs)),
+later AS (SELECT *, unnest([1, 2, 3, 4]) AS gap FROM forms
+          WHERE disputed AND source <> 'consensus' AND size >= 8),
+near AS (SELECT l.page_id, l.idx AS later, e.idx AS earlier, l.marks AS one, e.marks AS two,
+                l.vis = e.vis OR contains(e.core, l.core) AS same,
+                least(l.size, e.size) AS short, greatest(l.size, e.size) AS long
+         FROM later l JOIN forms e ON e.page_id = l.page_id AND e.idx = l.idx - l.gap WHERE e.core <> ''),
+valid AS (SELECT page_id, later, earlier FROM near WHERE same
+          UNION ALL
+          SELECT page_id, later, earlier FROM (SELECT * FROM near WHERE NOT same AND short * 10 >= long * 9)
+          WHERE levenshtein(one, two) <= greatest(1, long // 12)),
 kept AS (SELECT s.*, row_number() OVER (PARTITION BY s.page_id ORDER BY s.idx) - 1 AS nidx FROM segs s
          WHERE NOT EXISTS (SELECT 1 FROM valid v WHERE v.page_id = s.page_id AND v.later = s.idx))"""
 
