@@ -20,8 +20,8 @@ from variorum.session import ship_package, stage
 WINDOW = 13
 #: Words of an anchor. Of the anchors in a window the one with the smallest hash stands for it.
 ANCHOR = 5
-#: Windows that one automaton holds before the next is begun.
-PATTERNS = 40_000
+#: Phrases whose passages go into one automaton before the next is begun.
+PATTERNS = 20_000
 
 #: `place` is the doc_id, a null one behind all others; `row` tells texts under one id apart.
 SEGMENTS = "place long, row long, start long, anchor long, segment long, words string"
@@ -34,6 +34,15 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def smallest_of_runs(values: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of each run of `n` values, from smallest of runs half as long."""
+    width = 1
+    while 2 * width <= n:
+        values = np.minimum(values[:-width], values[width:])
+        width *= 2
+    return np.minimum(values[: len(values) - (n - width)], values[n - width :]) if n > width else values
+
+
 def runs(lists: list[list[bytes]], window: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor: (number of the text, first window, last window, anchor).
 
@@ -47,8 +56,7 @@ def runs(lists: list[list[bytes]], window: int, size: int) -> tuple[np.ndarray,
     if len(hashes_of) < window:
         return none, none, none, none
     grams = mixed(rolling(numbers.hashes()[hashes_of], size))
-    across = window - size + 1
-    anchors = np.lib.stride_tricks.sliding_window_view(grams, across).min(axis=1)
+    anchors = smallest_of_runs(grams, window - size + 1)
     owner = np.repeat(np.arange(len(lists)), counts)
     inside = owner[: len(anchors)] == owner[window - 1 :]
     first = np.cumsum(counts) - counts
@@ -122,54 +130,70 @@ def segments(rows: DataFrame, shared: DataFrame, window: int, size: int) -> Data
     return in_batches(held, SEGMENTS, make)
 
 
-def confirm(phrases: list[tuple[bytes, int, int]], window: int) -> tuple[list[tuple], dict[tuple, int]]:
-    """Phrases as word numbers, and the windows that documents of two ids have, with the smallest id.
+def confirm(
+    phrases: list[tuple[tuple[int, ...], int, int]], window: int
+) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Recurring passages in the phrases of one anchor, each with the smallest id of the documents that have it.
 
-    A phrase comes with the smallest and the largest id of the documents that have it.
+    A phrase (word numbers) comes with the smallest and the largest id of the documents it stands in. A
+    window recurs if documents of two ids have it; windows in a row with one smallest id are one passage.
     """
-    numbers = Numbering()
-    numbered = [tuple(numbers.ids(words.split()).tolist()) for words, _, _ in phrases]
-    low: dict[tuple, int] = {}
-    high: dict[tuple, int] = {}
-    for ids, (_, first, last) in zip(numbered, phrases):
+    if len(phrases) == 1:
+        ids, low, high = phrases[0]
+        if low < high:
+            yield ids, low
+        return
+    lows: dict[tuple, int] = {}
+    highs: dict[tuple, int] = {}
+    for ids, low, high in phrases:
         for i in range(len(ids) - window + 1):
             run = ids[i : i + window]
-            low[run] = min(low.get(run, first), first)
-            high[run] = max(high.get(run, last), last)
-    return numbered, {run: first for run, first in low.items() if first < high[run]}
-
-
-def occurrences(phrases: list[tuple[bytes, int, int]], window: int) -> Iterator[tuple[int, int, int, int]]:
-    """(number of the phrase, first window, last window, smallest id) wherever an automaton of the confirmed
-    windows finds them; windows in a row with one smallest id are one occurrence."""
+            if run in lows:
+                lows[run], highs[run] = min(lows[run], low), max(highs[run], high)
+            else:
+                lows[run], highs[run] = low, high
+    for ids, _, _ in phrases:
+        start = of = -1
+        for i in range(len(ids) - window + 1):
+            run = ids[i : i + window]
+            low = lows[run] if lows[run] < highs[run] else -1
+            if start < 0 or low != of or of < 0:
+                if start >= 0 and of >= 0:
+                    yield ids[start : i - 1 + window], of
+                start, of = i, low
+        if start >= 0 and of >= 0:
+            yield ids[start:], of
+
+
+def occurrences(groups: list[list[tuple[bytes, int, int]]], window: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(group, phrase, first window, last window, smallest id) wherever an automaton of all confirmed
+    passages finds them. A group holds the phrases of one anchor."""
     import ahocorasick
 
-    numbered, windows = confirm(phrases, window)
-    if not windows:
-        return
+    numbers = Numbering()
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for run, first in windows.items():
-        automaton.add_word(run, first)
+    streams, passages = [], 0
+    for g, group in enumerate(groups):
+        phrases = [(tuple([numbers[w] for w in words.split()]), low, high) for words, low, high in group]
+        found = list(confirm(phrases, window))
+        for passage, low in found:
+            automaton.add_word(passage, (len(passage), low))
+        passages += len(found)
+        if found:
+            streams += [(g, k, ids) for k, (ids, _, _) in enumerate(phrases)]
+    if not passages:
+        return
     automaton.make_automaton()
-    for k, ids in enumerate(numbered):
-        start = last = first = -1
-        for end, low in automaton.iter(ids):
-            at = end - window + 1
-            if start >= 0 and at == last + 1 and low == first:
-                last = at
-                continue
-            if start >= 0:
-                yield k, start, last, first
-            start, last, first = at, at, low
-        if start >= 0:
-            yield k, start, last, first
+    for g, k, ids in streams:
+        for end, (length, low) in automaton.iter(ids):
+            yield g, k, end - length + 1, end - window + 1, low
 
 
 def located(found: DataFrame, window: int, patterns: int) -> DataFrame:
     """(anchor, segment, first, last, low) of recurring windows in each distinct segment.
 
     Equal segments of many documents are one row before the shuffle. A shard is a run of anchors with
-    about `patterns` windows; its automaton is compiled and its segments are streamed through it.
+    about `patterns` segments; its automaton is compiled and its segments are streamed through it.
     """
     distinct = found.groupBy("anchor", "segment", "words").agg(
         F.min("place").alias("low"), F.max("place").alias("high")
@@ -177,16 +201,15 @@ def located(found: DataFrame, window: int, patterns: int) -> DataFrame:
     dealt = distinct.repartition("anchor").sortWithinPartitions("anchor", "segment")
 
     def make():
-        shard: list[tuple[int, int, bytes, int, int]] = []
+        shard: list[list[tuple[int, int, bytes, int, int]]] = []
         size = 0
 
         def run() -> list[list]:
-            rows = list(shard)
-            shard.clear()
             out = [
-                (rows[k][0], rows[k][1], first, last, low)
-                for k, first, last, low in occurrences([r[2:] for r in rows], window)
+                (*shard[g][k][:2], first, last, low)
+                for g, k, first, last, low in occurrences([[r[2:] for r in group] for group in shard], window)
             ]
+            shard.clear()
             return [[list(c) for c in zip(*out)]] if out else []
 
         def work(batch: pa.RecordBatch | None) -> Iterator[list]:
@@ -197,11 +220,13 @@ def located(found: DataFrame, window: int, patterns: int) -> DataFrame:
             columns = [c.to_pylist() for c in batch.columns[:2]]
             columns += [batch.column(2).cast(pa.binary()).to_pylist(), *(c.to_pylist() for c in batch.columns[3:])]
             for row in zip(*columns):
-                if size >= patterns and row[0] != shard[-1][0]:
-                    yield from run()
-                    size = 0
-                shard.append(row)
-                size += row[2].count(b" ") + 2 - window
+                if not shard or row[0] != shard[-1][0][0]:
+                    if size >= patterns:
+                        yield from run()
+                        size = 0
+                    shard.append([])
+                shard[-1].append(row)
+                size += 1
 
         return work
 
