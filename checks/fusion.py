@@ -233,6 +233,18 @@ def j3(spark, sf):
     )
 
 
+@check("j3_repeated_answers", SQL["j3_j4_apply_resolutions"])
+def j3_repeated(spark, sf):
+    """Each region is answered twice, first wrongly; the later answer counts."""
+    disputes = stage(votes.dispute_blocks(stage(_voted(spark, sf), "voted")), "disputes")
+    answers = I.answers_for(spark, sf)(disputes)
+    first = answers.withColumn("text", F.concat(F.lit("zzz "), "text")).withColumn("seq", F.lit(1))
+    both = answers.withColumn("seq", F.lit(2)).unionByName(first)
+    return resolve.apply_resolutions(disputes, both).select(
+        "page_id", "segment", "outcome", "text", "confidence", F.array_join("from", "|").alias("froms")
+    )
+
+
 @check(
     "j4_corroborate",
     Q.query(
@@ -472,6 +484,17 @@ def j7(spark, sf):
     )
 
 
+@check("j7_repeated_edits", SQL["j7_apply_edits"])
+def j7_repeated(spark, sf):
+    """Each edited segment was edited before; the later edit counts."""
+    segments = _segments(spark, sf)
+    edits = _edits(segments)
+    first = edits.withColumn("kind", F.lit("edit")).withColumn("text", F.lit("zzz")).withColumn("seq", F.lit(1))
+    return assemble.apply_edits(segments, first.unionByName(edits.withColumn("seq", F.lit(2)))).select(
+        "page_id", "idx", "text", "confidence", "source", F.array_join("from", "|").alias("froms")
+    )
+
+
 @check(
     "a11_visible_summary",
     Q.query(
@@ -711,7 +734,8 @@ def j2_misread(spark, sf):
         + """ AS confidence FROM kept GROUP BY page_id)""",
         """SELECT eng.page_id, engines, failed AS failed_engines, coalesce(c, 0) + coalesce(oc.r, 0) AS segments,
         coalesce(c, 0) AS consensus_segments, coalesce(e, 0) AS escalated_segments, coalesce(f, 0) AS fallback_segments,
-        coalesce(d, 0) AS dropped_segments, coalesce(text, '') AS text, coalesce(confidence, 0) AS confidence,
+        coalesce(d, 0) AS dropped_segments, 'arbiter' AS escalator, '' AS escalation_err, 'checker' AS duplicate_checker,
+        '' AS duplicate_check_err, coalesce(text, '') AS text, coalesce(confidence, 0) AS confidence,
         coalesce(g, 0) AS duplicate_segments
         FROM eng LEFT JOIN ag USING (page_id) LEFT JOIN oc USING (page_id) LEFT JOIN gone USING (page_id) LEFT JOIN pg USING (page_id)""",
     ),
@@ -794,6 +818,31 @@ def x2(spark, sf):
     return X.fuse_slots(slots, I.readings(spark, sf), arbiter).outcomes.select("page_id", "segment", "outcome")
 
 
+@check(
+    "x2_failed_arbiter_pages",
+    Q.query(
+        Q.CAND_LOSSY + "," + Q.VOTES,
+        """SELECT doc_id AS page_id, 'arbiter' AS escalator,
+        CASE WHEN lang <> 'fr' AND EXISTS (SELECT 1 FROM disputes d WHERE d.page_id = doc_id) THEN 'HTTP 500' ELSE '' END
+        AS escalation_err, '' AS duplicate_checker, '' AS duplicate_check_err FROM documents""",
+    ),
+)
+def x2_pages(spark, sf):
+    """The page results name the arbiter, and its error where it failed."""
+    langs = I.table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), "lang")
+
+    def arbiter(disputes):
+        return disputes.join(langs, "page_id").select(
+            "page_id", "segment", F.lit("answer").alias("text"),
+            F.when(F.col("lang") == "fr", "").otherwise("HTTP 500").alias("error"),
+        )
+
+    slots = stage(I.slots(spark, sf), "slots")
+    return X.fuse_slots(slots, I.readings(spark, sf), arbiter).pages.select(
+        "page_id", "escalator", "escalation_err", "duplicate_checker", "duplicate_check_err"
+    )
+
+
 @check(
     "o1_engine_order",
     Q.query(

@@ -99,3 +99,14 @@ def joined_text(order: str, text: str, separator: str) -> Column:
     """Aggregate: texts of a group joined in order. The result is one value, so the group is its size."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
     return F.array_join(F.transform(rows, lambda r: r["t"]), separator)
+
+
+def last_per_key(rows: DataFrame, keys: Sequence[str], order: str = "seq") -> DataFrame:
+    """One row per key: that with the largest ``order`` or, in a table without such a column, the largest values.
+
+    Reduced before the shuffle, so a key with many rows costs one row a task.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    by = [order, *(c for c in rest if c != order)] if order in rest else rest
+    last = rows.groupBy(*keys).agg(F.max(F.struct(*by)).alias("_last"))
+    return last.select(*keys, *(F.col(f"_last.{c}").alias(c) for c in rest))

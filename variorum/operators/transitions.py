@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from variorum.functions import text as T
-from variorum.operators import documents as D
+from variorum.operators import documents as D, ordered
 from variorum.session import stage
 
 KEYS = ["doc_id", "page_id"]
@@ -147,8 +147,10 @@ def finish_pages(pages: DataFrame, results: DataFrame, now: Column) -> DataFrame
 
     ``results``: ``doc_id, page_id, engines, failed_engines, confidence, segments,
     pending_disputes, duration_ms, error``. An error fails the page and keeps its old numbers; a
-    result whose engines all failed is stored but the page is failed.
+    result whose engines all failed is stored but the page is failed. The last of several results of a
+    page counts, by ``seq`` if there is one.
     """
+    results = ordered.last_per_key(results, KEYS)
     told = results.select(
         *KEYS,
         F.lit(True).alias("_told"),
@@ -180,8 +182,8 @@ def finish_pages(pages: DataFrame, results: DataFrame, now: Column) -> DataFrame
 
 
 def save_review(pages: DataFrame, results: DataFrame, now: Column) -> DataFrame:
-    """Fold edited results (``confidence, segments, pending_disputes``) into the pages."""
-    told = results.select(
+    """Fold edited results (``confidence, segments, pending_disputes``) into the pages; a page's last one counts."""
+    told = ordered.last_per_key(results, KEYS).select(
         *KEYS,
         F.lit(True).alias("_told"),
         *(F.col(c).alias(f"_{c}") for c in ("confidence", "segments", "pending_disputes")),
@@ -282,8 +284,8 @@ def start_tasks(tasks: DataFrame) -> DataFrame:
 
 
 def finish_tasks(tasks: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
-    """``outcomes``: ``task_id, result, duration_ms, error``; a task without a result has failed."""
-    told = outcomes.select(
+    """``outcomes``: ``task_id, result, duration_ms, error``; a task without a result has failed. The last one counts."""
+    told = ordered.last_per_key(outcomes, ["task_id"]).select(
         "task_id",
         F.lit(True).alias("_told"),
         *(F.col(c).alias(f"_{c}") for c in ("result", "duration_ms", "error")),
