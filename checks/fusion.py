@@ -366,15 +366,17 @@ def p16(spark, sf):
     "p20_validate_disputes",
     Q.query(
         Q.CAND_LOSSY + "," + Q.VOTES,
-        """SELECT page_id, count(*) AS regions, count(*) FILTER (WHERE segment < 3) AS bad_regions,
-        CASE WHEN count(*) > 200 THEN 'too many regions' ELSE 'bad region' END AS violation
-        FROM disputes GROUP BY page_id HAVING count(*) > 200 OR count(*) FILTER (WHERE segment < 3) > 0""",
+        """SELECT doc_id AS page_id, count(segment) AS regions, count(*) FILTER (WHERE segment < 3) AS bad_regions,
+        CASE WHEN count(segment) > 200 THEN 'too many regions' WHEN count(segment) = 0 THEN 'no regions' ELSE 'bad region' END AS violation
+        FROM documents LEFT JOIN disputes ON page_id = doc_id GROUP BY doc_id
+        HAVING count(segment) > 200 OR count(segment) = 0 OR count(*) FILTER (WHERE segment < 3) > 0""",
     ),
 )
 def p20(spark, sf):
     disputes = votes.dispute_blocks(stage(_voted(spark, sf), "voted"))
+    pages = I.table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"))
     # Shifted by three, so the regions at the very start of a page are invalid numbers.
-    return resolve.validate_disputes(disputes.withColumn("segment", F.col("segment") - 3))
+    return resolve.validate_disputes(disputes.withColumn("segment", F.col("segment") - 3), requests=pages)
 
 
 # Segments and pages

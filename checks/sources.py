@@ -112,19 +112,22 @@ def s1_candidates(spark, sf):
     ),
 )
 def s8(spark, sf):
-    """A first run writes every page; a second run replaces the pages of some sources."""
+    """A first run writes every page, some twice; a second replaces the pages of some sources; runs are then joined."""
     base = I.sentence_arrays(spark, sf)
 
-    def run(df, state):
+    def run(df, state, seq=1):
         return df.select(
             F.col("page_id").cast("string").alias("doc_id"), F.col("lang").alias("page_id"), F.lit(state).alias("state"),
-            F.size("sents").cast("long").alias("segments"),
+            F.size("sents").cast("long").alias("segments"), F.lit(seq).alias("seq"),
         )
 
     folder = fresh_folder(spark, "stored")
-    results.write_results(run(base, "first"), folder, buckets=16)
-    results.write_results(run(base.filter("source IN ('src1', 'src2', 'src3')"), "edited"), folder, buckets=16)
-    return spark.read.parquet(folder).select("doc_id", "page_id", "state", "segments")
+    twice = run(base.filter("source <> 'src4'"), "superseded", 0)
+    results.write_results(run(base, "first").unionByName(twice), folder)
+    results.write_results(run(base.filter("source IN ('src1', 'src2', 'src3')"), "edited").drop("seq"), folder)
+    results.compact_results(spark, folder)
+    results.write_results(run(base.filter("source = 'src2'"), "edited"), folder)
+    return results.read_stored(spark, folder).select("doc_id", "page_id", "state", "segments")
 
 
 @check(

@@ -311,6 +311,14 @@ def t3_stream(spark, sf):
     return live.newest(_drain(spark, B.latest_progress(snapshots)), ["doc_id"], ["sequence"]).drop("epoch", "batch")
 
 
+@check("t4_stream_idle", SQL["t4_idle_attempts"])
+def t4_stream(spark, sf):
+    from variorum.streaming import live
+
+    waits = _drain(spark, live.idle_attempts(_stream(spark, sf), timeout=36000))
+    return live.settled_idle(waits, now()).withColumn("idle_at", F.date_format("idle_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 @check("t7_stream_barrier_audit", Q.query(_AUDIT, "SELECT doc_id, page_id, violations FROM v WHERE violations <> ''"))
 def t7_stream(spark, sf):
     from variorum.streaming import live

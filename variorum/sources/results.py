@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from variorum import schemas
-from variorum.session import stage
-
-BUCKETS = 256
+from variorum.operators.ordered import last_per_key
 
 
 def read_results(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -132,29 +131,38 @@ def nest_results(pages: DataFrame, segments: DataFrame, readings: DataFrame) ->
     )
 
 
-def write_results(results: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Keep one result per (document, page) under ``path``; a rerun replaces its pages.
+KEYS = ["doc_id", "page_id"]
+
 
-    Partitions are hash buckets of the page, so their number does not grow with the documents and
-    the pages of a large document spread over all of them. Only the buckets that get new rows are
-    read and written again.
+def write_results(results: DataFrame, path: str, order: str = "seq") -> None:
+    """Add a run of results to the store at ``path``; ``read_stored`` gives the newest of each page.
+
+    A run is a folder of its own, so its cost follows the pages it brings and not the store. It keeps one
+    row per (document, page): of several the last by ``order``, if there is such a column. Rows are spread
+    over tasks by page, whatever document they belong to.
     """
-    spark = results.sparkSession
-    keys = ["doc_id", "page_id"]
-    fresh = stage(results.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "page_id"), F.lit(buckets)).cast("int")), "fresh")
-    merged = fresh
-    try:
-        old = spark.read.parquet(path)
-    except AnalysisException:
-        old = None
-    if old is not None:
-        touched = fresh.select("bucket").distinct()
-        kept = old.join(touched, "bucket", "left_semi").join(fresh.select(*keys), keys, "left_anti")
-        merged = stage(fresh.unionByName(kept, allowMissingColumns=True), "merged")
-    (
-        merged.repartition("bucket")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
+    run = time.time_ns() // 1000
+    rows = last_per_key(results, KEYS, order)
+    rows.write.parquet(f"{path.rstrip('/')}/run={run}")
+
+
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """The newest result of each page of a store. Runs may differ in columns."""
+    rows = spark.read.option("mergeSchema", True).parquet(path).withColumn("run", F.col("run").cast("long"))
+    rest = [c for c in rows.columns if c not in (*KEYS, "run")]
+    newest = rows.groupBy(*KEYS).agg(F.max_by(F.struct(*rest), "run").alias("_newest"))
+    return newest.select(*KEYS, "_newest.*")
+
+
+def compact_results(spark: SparkSession, path: str) -> None:
+    """Write the newest results as one run and remove the runs before it.
+
+    If it breaks off in between, both are there and reading gives the same rows.
+    """
+    root = path.rstrip("/")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in fs.listStatus(fs_path) if s.getPath().getName().startswith("run=")]
+    read_stored(spark, path).write.parquet(f"{root}/run={time.time_ns() // 1000}")
+    for folder in old:
+        fs.delete(folder, True)

@@ -12,21 +12,18 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from variorum.functions import text as T
+from variorum.session import ship_package
 from variorum.streaming import batch as B
 
 STATE_HOURS = 24
 HEARTBEAT_MS = 1000
 TAIL = 2000
 
-# The white space of Unicode.
-_SPACES = frozenset(
-    "\t\n\x0b\x0c\r \x85\xa0                　"
-)
-
 _STATE = (
     "last_seq long, status string, started_at long, first_token_at long, first_output_at long, finished_at long, "
     "output_chars long, closed_tokens long, open_run long, output string, thinking string, error string, "
@@ -49,18 +46,6 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
-def _count(closed: int, run: int, text: str) -> tuple[int, int]:
-    """Tokens already closed and the length of the ASCII run still open after ``text``."""
-    for ch in text:
-        space = ch in _SPACES
-        if ch < "\x80" and not space:
-            run += 1
-            continue
-        closed += (run + 3) // 4 + (0 if space or ch < "\x80" else 1)
-        run = 0
-    return closed, run
-
-
 def _fresh(at: int) -> dict:
     return {
         "last_seq": -1, "status": "waiting", "started_at": at, "first_token_at": None, "first_output_at": None,
@@ -89,7 +74,12 @@ def _apply(s: dict, e: dict) -> None:
             if s["first_output_at"] is None:
                 s["first_output_at"] = e["at"]
             s["output_chars"] += len(e["text"])
-            s["closed_tokens"], s["open_run"] = _count(s["closed_tokens"], s["open_run"], e["text"])
+            run = s["open_run"] + e["lead"]
+            if e["whole"]:
+                s["open_run"] = run
+            else:
+                s["closed_tokens"] += (run + 3) // 4 + e["inner"]
+                s["open_run"] = e["trail"]
             s["output"] = (s["output"] + e["text"])[-TAIL:]
     elif kind == "attempt_failed":
         again = e["attempt"] < e["max_attempts"]
@@ -170,9 +160,14 @@ def agent_progress(events: DataFrame, beat: bool = False, expire: bool = False)
 
     ``beat`` adds a row per second for every agent still running, stamped ``observed_at``.
     """
-    mine = events.filter(F.col("type").isin(*B.AGENT_EVENTS)).withColumn("at", F.unix_micros("ts"))
+    ship_package(events.sparkSession)
+    mine = (
+        events.filter(F.col("type").isin(*B.AGENT_EVENTS))
+        .withColumn("at", F.unix_micros("ts"))
+        .withColumn("parts", T.token_parts("text"))
+    )
     folded = (
-        mine.select(*B.AGENT, "seq", "at", "type", "kind", "text", "attempt", "max_attempts", "error")
+        mine.select(*B.AGENT, "seq", "at", "type", "kind", "text", "attempt", "max_attempts", "error", "parts.*")
         .groupBy(*B.AGENT)
         .transformWithStateInPandas(
             AgentFold(beat, expire), outputStructType=_OUTPUT, outputMode="Update", timeMode=_clock(beat or expire)
@@ -216,6 +211,9 @@ class TerminalGate(StatefulProcessor):
 def after_terminal(
     events: DataFrame, keys: Sequence[str] = B.PAGE, terminal: Sequence[str] = B.TERMINAL, expire: bool = False
 ) -> DataFrame:
+    """Events up to each key's first terminal one. With ``expire`` a key is forgotten after STATE_HOURS without
+    an event, so that repeats later than that pass again."""
+    ship_package(events.sparkSession)
     return events.groupBy(*keys).transformWithStateInPandas(
         TerminalGate(events.columns, terminal, expire),
         outputStructType=events.schema,
@@ -224,20 +222,69 @@ def after_terminal(
     )
 
 
-def idle_attempts(events: DataFrame, timeout: int = B.IDLE_SECONDS, late: str = "10 minutes") -> DataFrame:
-    """Waits that reached the timeout, as sessions whose last event is a start or a fragment.
+class IdleWatch(StatefulProcessor):
+    """Waits of one agent: those an event ended after the timeout, and the one still open."""
+
+    def __init__(self, timeout: int, expire: bool = False):
+        self.timeout = timeout * 1_000_000
+        self.ttl = STATE_HOURS * 3_600_000 if expire else None
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("wait", "last_seq long, epoch long, since long, told long", self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, epoch, since, told = self.state.get() if self.state.exists() else (-1, 0, None, -1)
+        found = []
+        for event in _ordered(rows):
+            if event["seq"] <= last:
+                continue
+            last = int(event["seq"])
+            if since is not None and event["at"] - since >= self.timeout and told < epoch:
+                told = epoch
+                found.append((*key, epoch, since + self.timeout, last, False))
+            epoch += event["type"] == "attempt_start"
+            since = int(event["at"]) if event["type"] in ("attempt_start", "delta") else None
+        self.state.update((last, epoch, since, told))
+        open_at = since + self.timeout if since is not None and told < epoch else None
+        found.append((*key, epoch, open_at, last, True))
+        frame = pd.DataFrame(found, columns=[*B.AGENT, "attempt_no", "idle_at", "seq", "open"])
+        frame["idle_at"] = frame["idle_at"].astype("Int64")
+        yield frame
+
+    def close(self) -> None:
+        pass
+
+
+def idle_attempts(events: DataFrame, timeout: int = B.IDLE_SECONDS, expire: bool = False) -> DataFrame:
+    """Idle moments per attempt as they become known; ``settled_idle`` makes the batch twin's rows of them.
 
-    A session closes after ``timeout`` without an event of its agent; a session that closed on a
-    failure or an end was not idle. The watermark bounds how long a session is kept.
+    A row says that a wait reached the timeout (its attempt's first), or, with ``open``, when the newest
+    wait of the agent will if nothing ends it (null: it isn't waiting). No event is dropped for being late;
+    within an agent events count in the order of ``seq``, and one at or below the newest is a repeat.
     """
-    seconds = f"{timeout} seconds"
-    mine = events.filter(F.col("type").isin(*B.AGENT_EVENTS)).withWatermark("ts", late)
-    sessions = mine.groupBy(*B.AGENT, F.session_window("ts", seconds).alias("wait")).agg(
-        F.max_by("type", "seq").alias("last_type"), F.max_by("attempt", "seq").alias("attempt")
-    )
-    return sessions.filter(F.col("last_type").isin("attempt_start", "delta")).select(
-        *B.AGENT, F.col("wait.end").alias("idle_at"), "attempt"
+    ship_package(events.sparkSession)
+    mine = events.filter(F.col("type").isin(*B.AGENT_EVENTS)).withColumn("at", F.unix_micros("ts"))
+    waits = (
+        mine.select(*B.AGENT, "seq", "at", "type")
+        .groupBy(*B.AGENT)
+        .transformWithStateInPandas(
+            IdleWatch(timeout, expire),
+            outputStructType="doc_id string, page_id string, stage string, agent string, attempt_no long, idle_at long, seq long, open boolean",
+            outputMode="Update",
+            timeMode=_clock(expire),
+        )
     )
+    return waits.withColumn("idle_at", F.timestamp_micros("idle_at"))
+
+
+def settled_idle(waits: DataFrame, now: Column) -> DataFrame:
+    """Per attempt the first idle moment up to ``now``, from all rows that ``idle_attempts`` gave."""
+    newest_wait = (
+        waits.filter("open").groupBy(*B.AGENT).agg(F.max_by(F.struct("attempt_no", "idle_at"), "seq").alias("last"))
+    ).select(*B.AGENT, "last.attempt_no", "last.idle_at")
+    over = waits.filter("NOT open").select(*B.AGENT, "attempt_no", "idle_at")
+    every = over.unionByName(newest_wait.filter(F.col("idle_at") <= now))
+    return every.groupBy(*B.AGENT, F.col("attempt_no").alias("epoch")).agg(F.min("idle_at").alias("idle_at"))
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
