@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from variorum.functions import text as T
 from variorum.operators import ordered
+from variorum.session import stage
 
 PAGE = ["doc_id", "page_id"]
 AGENT = ["doc_id", "page_id", "stage", "agent"]
@@ -46,12 +47,17 @@ def attempts(events: DataFrame) -> DataFrame:
 
 
 def _current(events: DataFrame) -> DataFrame:
-    """Events of agents with ``current``: whether the row belongs to the newest attempt of its agent."""
-    numbered = ordered.running_total(
-        events.filter(_is(*AGENT_EVENTS)), AGENT, ["seq"], ordered.bucket_of("seq"), _is("attempt_start").cast("int"), "epoch"
+    """Events of agents with ``current``: whether the row belongs to the newest attempt of its agent.
+
+    That attempt begins at the agent's last start, so one aggregate tells it and nothing is scanned in order.
+    """
+    mine = events.filter(_is(*AGENT_EVENTS))
+    last = mine.groupBy(*AGENT).agg(F.max(F.when(_is("attempt_start"), F.col("seq"))).alias("_start"))
+    return (
+        mine.join(last, AGENT)
+        .withColumn("current", F.col("_start").isNull() | (F.col("seq") >= F.col("_start")))
+        .drop("_start")
     )
-    last = numbered.groupBy(*AGENT).agg(F.max("epoch").alias("_last"))
-    return numbered.join(last, AGENT).withColumn("current", F.col("epoch") == F.col("_last")).drop("_last", "epoch")
 
 
 def joined_tokens(fragments: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -66,23 +72,21 @@ def joined_tokens(fragments: DataFrame, keys: Sequence[str]) -> DataFrame:
     numbered = ordered.running_total(
         parts, keys, ["seq"], ordered.bucket_of("seq"), (~F.col("p.whole")).cast("int"), "breaks"
     )
-    piece = F.when(
-        F.col("p.whole"), F.array(F.struct(F.col("breaks").alias("run"), F.col("p.lead").alias("length")))
-    ).otherwise(
-        F.array(
-            F.struct((F.col("breaks") - 1).alias("run"), F.col("p.lead").alias("length")),
-            F.struct(F.col("breaks").alias("run"), F.col("p.trail").alias("length")),
-        )
+
+    def piece(run: Column, length: str, inner: Column) -> Column:
+        return F.struct(run.alias("run"), F.col(length).alias("length"), inner.alias("inner"))
+
+    here, none = F.col("breaks"), F.lit(0).cast("long")
+    pieces = F.when(F.col("p.whole"), F.array(piece(here, "p.lead", F.col("p.inner")))).otherwise(
+        F.array(piece(here - 1, "p.lead", none), piece(here, "p.trail", F.col("p.inner")))
     )
-    runs = (
-        numbered.select(*keys, F.explode(piece).alias("r"))
+    return (
+        numbered.select(*keys, F.explode(pieces).alias("r"))
         .groupBy(*keys, "r.run")
-        .agg(F.sum("r.length").alias("length"))
+        .agg(F.sum("r.length").alias("length"), F.sum("r.inner").alias("inner"))
         .groupBy(*keys)
-        .agg(F.sum(F.floor((F.col("length") + 3) / 4)).alias("_runs"))
+        .agg((F.sum(F.floor((F.col("length") + 3) / 4)) + F.sum("inner")).cast("long").alias("tokens"))
     )
-    inner = parts.groupBy(*keys).agg(F.sum("p.inner").alias("_inner"))
-    return runs.join(inner, keys).select(*keys, (F.col("_runs") + F.col("_inner")).cast("long").alias("tokens"))
 
 
 def joined_tail(fragments: DataFrame, keys: Sequence[str], out: str, chars: int = T.PREVIEW_CHARS) -> DataFrame:
@@ -96,10 +100,15 @@ def joined_tail(fragments: DataFrame, keys: Sequence[str], out: str, chars: int
 
 def agent_state(events: DataFrame) -> DataFrame:
     """State of every agent after its last event: times, measures of the newest attempt, errors."""
-    marked = _current(events)
-    # An attempt that starts after a run ended in an error keeps that error as the last one.
+    wanted = ("seq", "ts", "type", "kind", "text", "attempt", "max_attempts", "error", "current")
+    marked = stage(_current(events).select(*AGENT, *wanted), "marked")
+    # An attempt that starts after a run ended in an error keeps that error as the last one. Fragments have
+    # no say in it and stay out of the ordered scan.
     ended = F.when(_is("attempt_failed", "agent_done"), F.col("error"))
-    told = ordered.carry_last(marked, AGENT, ["seq"], ordered.bucket_of("seq"), ended, "_ended")
+    turns = marked.filter(_is("attempt_start", "attempt_failed", "agent_done")).select(*AGENT, "seq", "type", "error")
+    told = ordered.carry_last(turns, AGENT, ["seq"], ordered.bucket_of("seq"), ended, "_ended")
+    keeps = _is("attempt_failed") | (_is("attempt_start") & (F.coalesce("_ended", F.lit("")) != ""))
+    errors = told.groupBy(*AGENT).agg(F.coalesce(_newest(F.col("_ended"), keeps), F.lit("")).alias("last_error"))
     now = F.col("current")
     out = now & _is("delta") & (F.col("kind") != "thinking")
     retry = F.col("attempt") < F.col("max_attempts")
@@ -110,8 +119,7 @@ def agent_state(events: DataFrame) -> DataFrame:
         .otherwise(F.when(F.col("error") != "", "failed").otherwise("completed"))
     )
     error = F.when(_is("attempt_start") | (_is("attempt_failed") & retry), "").otherwise(F.col("error"))
-    keeps = _is("attempt_failed") | (_is("attempt_start") & (F.coalesce("_ended", F.lit("")) != ""))
-    base = told.groupBy(*AGENT).agg(
+    base = marked.groupBy(*AGENT).agg(
         F.max("seq").alias("last_seq"),
         F.max_by(status, "seq").alias("status"),
         F.coalesce(_newest(F.col("ts"), _is("attempt_start")), F.min_by("ts", "seq")).alias("started_at"),
@@ -124,17 +132,19 @@ def agent_state(events: DataFrame) -> DataFrame:
             _newest(F.col("max_attempts"), _is("agent_start", "attempt_start", "attempt_failed")), F.lit(0)
         ).alias("max_attempts"),
         F.coalesce(_newest(error, _is("attempt_start", "attempt_failed", "agent_done")), F.lit("")).alias("error"),
-        F.coalesce(_newest(F.col("_ended"), keeps), F.lit("")).alias("last_error"),
     )
-    fragments = marked.filter(now & _is("delta")).select(*AGENT, "seq", "kind", "text")
-    output = fragments.filter("kind <> 'thinking'")
-    thinking = fragments.filter("kind = 'thinking'")
+    thought = (F.col("kind") == "thinking").alias("thought")
+    fragments = marked.filter(now & _is("delta")).select(*AGENT, thought, "seq", "text")
+    tails = joined_tail(fragments, [*AGENT, "thought"], "tail").groupBy(*AGENT).agg(
+        F.max(F.when(~F.col("thought"), F.col("tail"))).alias("output"),
+        F.max(F.when(F.col("thought"), F.col("tail"))).alias("thinking"),
+    )
     return (
-        base.join(joined_tokens(output, AGENT), AGENT, "left")
-        .join(joined_tail(output, AGENT, "output"), AGENT, "left")
-        .join(joined_tail(thinking, AGENT, "thinking"), AGENT, "left")
+        base.join(errors, AGENT, "left")
+        .join(joined_tokens(fragments.filter("NOT thought"), AGENT), AGENT, "left")
+        .join(tails, AGENT, "left")
         .withColumn("tokens", F.coalesce("tokens", F.lit(0).cast("long")))
-        .na.fill("", ["output", "thinking"])
+        .na.fill("", ["output", "thinking", "last_error"])
     )
 
 
