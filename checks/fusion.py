@@ -347,15 +347,15 @@ _QUOTED = "CAST(to_json({x}) AS VARCHAR)"
     Q.query(
         Q.CAND_LOSSY + "," + Q.VOTES
         + f""",
-        lines AS (SELECT page_id, segment, string_agg('  - engine ' || {_QUOTED.format(x='agent')} || ' read: '
+        lines AS (SELECT page_id, segment, string_agg('* ' || {_QUOTED.format(x='agent')} || ' has '
                   || {_QUOTED.format(x='text')} || chr(10), '' ORDER BY agent) AS body FROM merged GROUP BY page_id, segment),
         parts AS (SELECT d.page_id, d.segment, chr(10) || '#' || d.segment
-                  || CASE WHEN before <> '' OR after <> '' THEN ' (between ' || {_QUOTED.format(x='before')} || ' and '
-                     || {_QUOTED.format(x='after')} || ')' ELSE '' END || ':' || chr(10) || body AS part
+                  || CASE WHEN before <> '' OR after <> '' THEN ', after ' || {_QUOTED.format(x='before')} || ', before '
+                     || {_QUOTED.format(x='after')} ELSE '' END || ':' || chr(10) || body AS part
                   FROM disputes d JOIN lines l ON l.page_id = d.page_id AND l.segment = d.segment)""",
-        """SELECT page_id, 'Disputed text regions (' || count(*) || '):' || chr(10)
+        """SELECT page_id, 'The readings differ in ' || count(*) || ' places.' || chr(10)
         || string_agg(part, '' ORDER BY segment) || chr(10)
-        || 'Return one "#<region> <text>" line per disputed region.' AS prompt FROM parts GROUP BY page_id""",
+        || 'Answer with a line "#<number> <text>" for each place.' AS prompt FROM parts GROUP BY page_id""",
     ),
 )
 def p16(spark, sf):
@@ -650,9 +650,9 @@ def p15_errors(spark, sf):
     "p16_duplicate_prompts",
     Q.query(
         Q.CAND_LOSSY + "," + Q.FUSED,
-        f"""SELECT page_id, 'Final OCR text regions (' || count(*) || '):' || chr(10)
+        f"""SELECT page_id, 'The page in ' || count(*) || ' numbered pieces:' || chr(10)
         || string_agg('#' || idx || ' ' || {_QUOTED.format(x='text')} || chr(10), '' ORDER BY idx)
-        || chr(10) || 'Return duplicate mappings only, or NONE.' AS prompt FROM segs GROUP BY page_id""",
+        || chr(10) || 'Answer with a line "#<repeat> -> #<first>" for each repeat, or with NONE.' AS prompt FROM segs GROUP BY page_id""",
     ),
 )
 def p16_duplicates(spark, sf):

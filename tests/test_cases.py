@@ -27,31 +27,31 @@ def rows(df, *columns, order):
 def test_three_paths(spark):
     given = readings(
         spark,
-        c="发票号码0A2。\n总金额¥128。付款状态为未支付。",
-        a="发票号码042。总金额 ¥128。付款状态为已支付。",
-        b="发票号码O42。总金额¥128。付款状态为已支付。",
+        c="列车班次7K3。\n站台编号9号。开车时间是晚上。",
+        a="列车班次713。站台编号 9号。开车时间是早上。",
+        b="列车班次7l3。站台编号9号。开车时间是早上。",
     )
-    answers = spark.createDataFrame([(1, 0, "发票号码042。"), (1, 9, "stray")], "page_id long, segment long, text string")
+    answers = spark.createDataFrame([(1, 0, "列车班次713。"), (1, 9, "stray")], "page_id long, segment long, text string")
     out = fuse(given, answers)
     assert rows(out.segments, "text", "confidence", "source", "disputed", order="idx") == [
-        ("发票号码042。", 0.95, "escalated", True),
-        ("总金额¥128。", 0.971, "consensus", False),
-        ("付款状态为已支付。", 0.7699, "consensus", False),
+        ("列车班次713。", 0.95, "escalated", True),
+        ("站台编号9号。", 0.971, "consensus", False),
+        ("开车时间是早上。", 0.7699, "consensus", False),
     ]
     page = out.pages.first()
     assert (page.engines, page.segments, page.consensus_segments, page.escalated_segments) == (3, 3, 2, 1)
     dispute = out.disputes.first()
-    assert (dispute.segment, dispute.before, dispute.after, len(dispute.candidates)) == (0, "", "总金额¥128。", 3)
+    assert (dispute.segment, dispute.before, dispute.after, len(dispute.candidates)) == (0, "", "站台编号9号。", 3)
 
 
 def test_adjacent_disputes_are_one_region(spark):
-    out = fuse(readings(spark, a="共同内容。发票编号042。应付金额128元。", b="共同内容。发票编号O42。应付金额129元。"))
-    assert rows(out.disputes, "segment", "before", order="segment") == [(1, "共同内容。")]
-    assert out.disputes.first().candidates[0].text == "发票编号042。应付金额128元。"
+    out = fuse(readings(spark, a="山路很长。第一座桥有12根柱。过桥费要30块钱。", b="山路很长。第一座桥有l2根柱。过桥费要39块钱。"))
+    assert rows(out.disputes, "segment", "before", order="segment") == [(1, "山路很长。")]
+    assert out.disputes.first().candidates[0].text == "第一座桥有12根柱。过桥费要30块钱。"
 
 
 def test_deferred_dropped_and_single(spark):
-    given = readings(spark, a="应付金额¥128。", b="应付金额128。")
+    given = readings(spark, a="水温¥21。", b="水温21。")
     answers = spark.createDataFrame([(1, 0, " ")], "page_id long, segment long, text string")
     assert rows(fuse(given, answers, defer=True).segments, "source", "disputed", order="idx") == [("fallback", True)]
     page = fuse(given, answers).pages.first()
@@ -76,13 +76,13 @@ def test_consensus_confidence(spark, k, n, want):
 
 
 def test_text_forms(spark):
-    df = spark.createDataFrame([(" 金额： ¥ 1,280.00 \n", "多引擎融合", "多引擎融台")], "t string, a string, b string")
+    df = spark.createDataFrame([(" 高度： ≈ 3,456.7 \n", "三座山连线", "三座山连钱")], "t string, a string, b string")
     row = df.select(T.visible_form("t"), T.similarity("a", "b")).first()
-    assert row[0] == "金额：¥1,280.00" and 0.5 < row[1] < 1
-    text = "这是第一\n句话。 \n这是第二句话！“第三句？\n”末尾无标点"
-    cut = spark.createDataFrame([(text,), ("Better\nOCR works!",)], "t string").select(T.segments_of("t")).collect()
-    assert cut[0][0] == ["这是第一句话。", "这是第二句话！", "“第三句？”", "末尾无标点"]
-    assert cut[1][0] == ["Better OCR works!"]
+    assert row[0] == "高度：≈3,456.7" and 0.5 < row[1] < 1
+    text = "早上下\n大雪。 \n中午出太阳！“晚上呢？\n”夜里看星星"
+    cut = spark.createDataFrame([(text,), ("Two\nlines meet!",)], "t string").select(T.segments_of("t")).collect()
+    assert cut[0][0] == ["早上下大雪。", "中午出太阳！", "“晚上呢？”", "夜里看星星"]
+    assert cut[1][0] == ["Two lines meet!"]
 
 
 def test_answer_lines(spark):
@@ -102,7 +102,7 @@ def test_answer_lines(spark):
 
 
 def test_unsafe_repeats_stay(spark):
-    text = "这是一个足够长的重复句子。"
+    text = "河边的老树每年春天都会开花。"
     data = [(1, 0, text, 0.9, "consensus", False), (1, 1, text, 0.5, "fallback", True), (1, 2, text, 0.9, "consensus", False),
             (1, 3, "短句。", 0.5, "fallback", True), (1, 6, text, 0.5, "fallback", True)]
     segments = spark.createDataFrame(data, "page_id long, idx long, text string, confidence double, source string, disputed boolean")
@@ -140,8 +140,7 @@ def test_files_on_disk(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     accepted, rejected = files.admit_files(spark, str(tmp_path))
     assert sorted(r.source_type for r in accepted.collect()) == ["image", "pdf"]
-    # Spark's file listing leaves empty files out; a table of files with lengths may hold them.
-    assert sorted(r.reason for r in rejected.collect()) == ["unsupported format"]
+    assert sorted(r.reason for r in rejected.collect()) == ["empty file", "unsupported format"]
 
 
 def test_results_by_path(spark, tmp_path):

@@ -57,10 +57,27 @@ def admit(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return accepted, rejected
 
 
+def empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path, length`` of the files without a byte under ``path``, which Spark's own listing leaves out.
+
+    The listing is read entry by entry and only the paths of empty files are kept.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listing = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    found = []
+    while listing.hasNext():
+        status = listing.next()
+        if status.getLen() == 0:
+            found.append((status.getPath().toString(), 0))
+    return spark.createDataFrame(found, "path string, length long")
+
+
 def admit_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Admission of the files under ``path``. Spark lists no empty files, so those are not reported here."""
+    """Admission of the files under ``path``, the empty ones among the rejected."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return admit(files)
+    accepted, rejected = admit(files)
+    empty = empty_files(spark, path).withColumn("reason", F.lit("empty file"))
+    return accepted, rejected.unionByName(empty)
 
 
 def build_requests(pages: DataFrame, catalog: DataFrame) -> DataFrame:
