@@ -662,9 +662,8 @@ def p16_duplicates(spark, sf):
 # Similarity, alignment and the whole fusion
 
 
-@check(
-    "j1_similar_segments",
-    Q.query(
+def _similar_sql(floor):
+    return Q.query(
         Q.SENT_ARRAYS
         + f""",
         cores AS (SELECT page_id, {Q.core('seg')} AS core, count(*) AS copies FROM sent GROUP BY ALL),
@@ -673,14 +672,22 @@ def p16_duplicates(spark, sf):
         SELECT x.page_id, x.core AS left_core, y.core AS right_core, x.copies AS copies_left, y.copies AS copies_right,
                CAST({Q.jaccard('x', 'y')} AS DOUBLE) AS s
         FROM prof x JOIN prof y ON x.page_id = y.page_id AND x.core < y.core
-         AND least(len(x.g), len(y.g)) > 0.6 * greatest(len(x.g), len(y.g))) WHERE s > 0.6""",
-    ),
-)
+         AND least(len(x.g), len(y.g)) > {floor} * greatest(len(x.g), len(y.g))) WHERE s > {floor}""",
+    )
+
+
+@check("j1_similar_segments", _similar_sql(0.6))
 def j1(spark, sf):
     found = similar.similar_segments(I.sentences(spark, sf), ["page_id"], "seg", floor=0.6)
     return found.withColumn("similarity", F.round("similarity", 9))
 
 
+@check("j1_default_floor", _similar_sql(0.35))
+def j1_default(spark, sf):
+    found = similar.similar_segments(I.sentences(spark, sf), ["page_id"], "seg")
+    return found.withColumn("similarity", F.round("similarity", 9))
+
+
 @check(
     "j2_align_readings",
     Q.query(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from variorum.functions import text as T
+from variorum.session import stage
 
 
 def similar_segments(df: DataFrame, keys: Sequence[str], text: str, floor: float = 0.35) -> DataFrame:
@@ -20,23 +21,25 @@ def similar_segments(df: DataFrame, keys: Sequence[str], text: str, floor: float
     still follow the first shared one, are checked inside the join, before anything is emitted.
     """
     keys = list(keys)
-    forms = (
+    # Forms feed three branches and the prefix two; each is written once, so the texts are cut once.
+    forms = stage(
         df.select(*keys, T.core_form(text).alias("core"))
         .filter("core <> ''")
         .groupBy(*keys, "core")
         .agg(F.count(F.lit(1)).alias("copies"))
         .withColumn("grams", T.bigrams("core"))
         .withColumn("size", F.size("grams"))
-        .filter("size > 0")
+        .filter("size > 0"),
+        "forms",
     )
-    # Outer, so that no inferred size() filter builds the grams a second time.
-    spread = forms.select(*keys, "core", "size", F.explode_outer("grams").alias("gram"))
+    spread = forms.select(*keys, "core", "size", F.explode("grams").alias("gram"))
     common = spread.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("df"))
     by_form = Window.partitionBy(*keys, "core").orderBy("df", "gram")
-    prefix = (
+    prefix = stage(
         spread.join(common, [*keys, "gram"])
         .withColumn("at", F.row_number().over(by_form))
-        .filter(F.col("at") <= F.col("size") - F.ceil(F.col("size") * floor) + 1)
+        .filter(F.col("at") <= F.col("size") - F.ceil(F.col("size") * floor) + 1),
+        "prefix",
     )
     left = prefix.select(*keys, "gram", *(F.col(c).alias(f"l_{c}") for c in ("core", "size", "at")))
     right = prefix.select(*keys, "gram", *(F.col(c).alias(f"r_{c}") for c in ("core", "size", "at")))
