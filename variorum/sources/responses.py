@@ -115,25 +115,33 @@ def ingest_responses(df: DataFrame, api: str, body: str) -> DataFrame:
     )
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def frames(log: str | Column) -> Column:
     """Array of ``event, data`` frames of an event-stream log, in order."""
     lines = F.regexp_replace(T.col(log), r"\r(?=\n|\z)", "")
     blocks = F.split(lines, r"\n\n+")
 
-    def frame(block: Column) -> Column:
-        told = F.filter(F.split(block, "\n"), lambda line: (line != "") & ~line.startswith(":"))
-
-        def values(field: str) -> Column:
-            mine = F.filter(told, lambda line: (line == field) | line.startswith(field + ":"))
-            return F.transform(mine, lambda line: F.regexp_replace(line, rf"\A{field}:? ?", ""))
-
-        events = values("event")
-        return F.struct(
-            F.coalesce(F.try_element_at(events, F.lit(-1)), F.lit("")).alias("event"),
-            F.size(values("data")).alias("lines"),
-            F.array_join(values("data"), "\n").alias("data"),
+    def values(lines: Column, field: str) -> Column:
+        mine = F.filter(lines, lambda line: (line == field) | line.startswith(field + ":"))
+        return F.transform(mine, lambda line: F.regexp_replace(line, rf"\A{field}:? ?", ""))
+
+    def told(lines: Column) -> Column:
+        return _let(
+            F.struct(values(lines, "event").alias("event"), values(lines, "data").alias("data")),
+            lambda found: F.struct(
+                F.coalesce(F.try_element_at(found["event"], F.lit(-1)), F.lit("")).alias("event"),
+                F.size(found["data"]).alias("lines"),
+                F.array_join(found["data"], "\n").alias("data"),
+            ),
         )
 
+    def frame(block: Column) -> Column:
+        return _let(F.split(block, "\n"), told)
+
     return F.filter(F.transform(blocks, frame), lambda f: f["lines"] > 0)
 
 
@@ -166,11 +174,16 @@ def _block(v: Column) -> Column:
 
 
 def _frame_error(api: Column, event: Column, data: Column) -> Column:
-    """Why a frame ends its stream, or the empty string. Most frames are settled by their words."""
+    """Why a frame ends its stream, or the empty string.
+
+    In a frame that names no error, and escapes no letter that could name one, none is looked for.
+    """
     v = F.try_parse_json(data)
     kind = _text(v, "$.type")
     bad = ("response.error", "response.failed")
-    suspect = data.contains("error") | data.contains("failed") | event.isin("error", *bad)
+    suspect = (
+        data.contains("error") | data.contains("failed") | data.contains("\\u") | event.isin("error", *bad)
+    )
     return (
         F.when(v.isNull(), "invalid event")
         .when(~suspect, "")
