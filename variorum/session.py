@@ -61,9 +61,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(cleanup, before)
+    _staged(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _staged(spark: SparkSession) -> list[str]:
+    context = spark.sparkContext
+    if not hasattr(context, "_variorum_staged"):
+        context._variorum_staged = []
+    return context._variorum_staged
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Remove what ``stage`` has written in this session. Results are lazy over it: write or count them first."""
+    paths = _staged(spark)
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table in fewer pieces than there are cores is spread once; a large one already is and stays."""
     cores = df.sparkSession.sparkContext.defaultParallelism
