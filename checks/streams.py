@@ -131,6 +131,39 @@ def t2(spark, sf):
     )
 
 
+CLOSED_EVENTS = EVENTS.replace("ag AS (SELECT * FROM ev", """named AS (SELECT * REPLACE (
+    CASE WHEN type = 'done' AND seq % 3 = 0 THEN 'error' WHEN type = 'done' AND seq % 3 = 1 THEN 'result' ELSE type END AS type,
+    CASE WHEN type = 'done' AND seq % 3 = 0 THEN 'broke at ' || seq ELSE error END AS error) FROM ev),
+closing AS (SELECT doc_id, page_id, min(seq) AS closed_at FROM named WHERE type IN ('result', 'error') GROUP BY ALL),
+open AS (SELECT named.* FROM named LEFT JOIN closing USING (doc_id, page_id) WHERE closed_at IS NULL OR seq <= closed_at),
+ag AS (SELECT * FROM open""")
+
+
+@check(
+    "t2_closed_pages",
+    Q.query(
+        PAGES.replace(EVENTS, CLOSED_EVENTS).replace("count(*) AS sequence, min(ts) AS started_at FROM ev", "count(*) AS sequence, min(ts) AS started_at FROM open")
+        + """,
+        ends AS (SELECT doc_id, page_id, type, error, ts FROM named JOIN closing USING (doc_id, page_id) WHERE seq = closed_at)""",
+        f"""SELECT pp.doc_id, pp.page_id, CASE WHEN type IS NULL THEN stage ELSE 'complete' END AS stage, total_engines, completed_engines, sequence,
+        CASE type WHEN 'error' THEN 'failed' WHEN 'result' THEN 'completed' ELSE 'running' END AS status, coalesce(error, '') AS error,
+        (epoch_us(coalesce(ts, TIMESTAMP '{NOW}')) - epoch_us(started_at)) // 1000 AS elapsed_ms
+        FROM pp LEFT JOIN ends USING (doc_id, page_id)""",
+    ),
+)
+def t2_closed(spark, sf):
+    """Some runs end with a result or an error; what comes after no longer counts."""
+    done, turn = F.col("type") == "done", F.col("seq") % 3
+    events = I.lifecycle(spark, sf).withColumn(
+        "error", F.when(done & (turn == 0), F.concat(F.lit("broke at "), "seq")).otherwise(F.col("error"))
+    )
+    events = events.withColumn("type", F.when(done & (turn == 0), "error").when(done & (turn == 1), "result").otherwise(F.col("type")))
+    seen, _ = B.after_terminal(stage(events, "events"))
+    return B.page_progress(seen, B.agent_state(seen), now()).select(
+        "doc_id", "page_id", "stage", "total_engines", "completed_engines", "sequence", "status", "error", "elapsed_ms"
+    )
+
+
 @check(
     "a13_progress_rollup",
     Q.query(

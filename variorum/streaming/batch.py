@@ -170,7 +170,11 @@ def agent_progress(events: DataFrame, now: Column) -> DataFrame:
 
 
 def page_stage(events: DataFrame) -> DataFrame:
-    """Stage machine per page. A plain aggregate, so the same plan runs on a stream."""
+    """Stage machine per page. A plain aggregate, so the same plan runs on a stream.
+
+    ``closing`` is the first terminal event, null while there is none: the page is then complete. Events
+    behind it must be left out first, see ``after_terminal``.
+    """
     after = (
         F.when(_is("stage_start", "agent_start", "attempt_start"), F.col("stage"))
         .when(_is("stage_done") & (F.col("stage") == "engine"), "merge")
@@ -179,15 +183,23 @@ def page_stage(events: DataFrame) -> DataFrame:
     )
     counted = _is("stage_start") & (F.col("stage") == "engine") & (F.col("total") > 0)
     return events.groupBy(*PAGE).agg(
-        F.coalesce(_newest(after, after.isNotNull()), F.lit("loading")).alias("stage"),
+        F.when(F.count_if(_is(*TERMINAL)) > 0, "complete")
+        .otherwise(F.coalesce(_newest(after, after.isNotNull()), F.lit("loading")))
+        .alias("stage"),
         F.coalesce(_newest(F.col("total"), counted), F.lit(0)).alias("total_engines"),
         F.count(F.lit(1)).alias("sequence"),
         F.min("ts").alias("started_at"),
+        F.min_by(F.when(_is(*TERMINAL), F.struct("ts", "type", "error")), F.when(_is(*TERMINAL), F.col("seq"))).alias("closing"),
     )
 
 
 def page_progress(events: DataFrame, agents: DataFrame, now: Column) -> DataFrame:
-    """Page snapshots: stage, engines done and in total, elapsed time."""
+    """Page snapshots: stage, status, error, engines done and in total, elapsed time.
+
+    A page is closed by its first terminal event: a result completes it, an error fails it, its clock stands
+    still from then on, and nothing that comes later counts. ``agents`` is the state of ``events`` up to there.
+    """
+    events, _ = after_terminal(events)
     done = agents.filter("stage = 'engine' AND status IN ('completed', 'failed')").groupBy(*PAGE).agg(
         F.count(F.lit(1)).alias("completed_engines")
     )
@@ -195,8 +207,13 @@ def page_progress(events: DataFrame, agents: DataFrame, now: Column) -> DataFram
         page_stage(events)
         .join(done, PAGE, "left")
         .withColumn("completed_engines", F.coalesce("completed_engines", F.lit(0).cast("long")))
-        .withColumn("elapsed_ms", _millis("started_at", now))
-        .withColumn("status", F.lit("running"))
+        .withColumn("elapsed_ms", _millis("started_at", F.coalesce("closing.ts", now)))
+        .withColumn(
+            "status",
+            F.when(F.col("closing").isNull(), "running").when(F.col("closing.type") == "error", "failed").otherwise("completed"),
+        )
+        .withColumn("error", F.coalesce("closing.error", F.lit("")))
+        .drop("closing")
     )
 
 
