@@ -62,7 +62,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(cleanup, before)
     _staged(spark).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._variorum_path = path
+    return read
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Remove tables that ``stage`` returned and nothing will read again."""
+    for table in tables:
+        spark, place = table.sparkSession, table._variorum_path
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _staged(spark).remove(place)
 
 
 def _staged(spark: SparkSession) -> list[str]:
