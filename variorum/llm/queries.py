@@ -82,7 +82,61 @@ QUERIES = {
     "op10_bpe": op10_bpe,
 }
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_RUNS = """run{n} AS (SELECT doc_id, i, array_to_string(words[i : i + {n} - 1], ' ') AS run FROM w, unnest(range(1, len(words) - {n} + 2)) t(i)),
+cover{n} AS (SELECT DISTINCT doc_id, i + k AS pos
+             FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS copies FROM run{n}), range({n}) r(k) WHERE copies > 1),
+dup{n} AS (SELECT doc_id, count(*) AS n, sum(length(words[pos])) AS chars FROM cover{n} JOIN w USING (doc_id) GROUP BY doc_id)"""
+_LENGTHS = list(quality.NGRAM_SHARES)
+_OVER = " OR ".join(
+    f"coalesce(dup{n}.chars, 0) > {share}::DOUBLE * word_chars" for n, share in quality.NGRAM_SHARES.items()
+)
+
 SQL = {
+    "op1_quality_rules": rf"""
+        WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+        {", ".join(_RUNS.format(n=n) for n in _LENGTHS)},
+        lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM w),
+        told AS (SELECT *, length(regexp_replace(line, '[ 	-
+]+', '', 'g')) AS chars,
+                        row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again FROM lines),
+        per AS (SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE again) AS again,
+                       coalesce(sum(chars) FILTER (WHERE again), 0) AS again_chars FROM told WHERE chars > 0 GROUP BY doc_id),
+        base AS (SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+                        length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                        coalesce(again, 0) AS n_dup_lines, coalesce(dup8.n, 0) AS n_repeat_words, coalesce(again_chars, 0) AS dup_line_chars,
+                        coalesce(lines, 0) AS lines
+                 FROM w LEFT JOIN per USING (doc_id) LEFT JOIN dup8 USING (doc_id)),
+        judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+        SELECT judged.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, CAST(dup_line_chars AS BIGINT) AS dup_line_chars,
+               {", ".join(f"CAST(coalesce(dup{n}.chars, 0) AS BIGINT) AS dup_chars_{n}" for n in _LENGTHS)}, base_failed,
+               NOT (base_failed OR n_dup_lines > {quality.LINE_SHARE}::DOUBLE * lines
+                    OR dup_line_chars > {quality.LINE_CHAR_SHARE}::DOUBLE * word_chars OR {_OVER}) AS kept
+        FROM judged {" ".join(f"LEFT JOIN dup{n} ON dup{n}.doc_id = judged.doc_id" for n in _LENGTHS)}
+    """,
+    "op7_substring_dedup": rf"""
+        WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+        runs AS (SELECT doc_id, i, array_to_string(words[i : i + 12], ' ') AS run FROM w, unnest(range(1, len(words) - 11)) t(i)),
+        low AS (SELECT run, min(doc_id) AS low FROM runs GROUP BY run),
+        gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM runs JOIN low USING (run), range(13) r(k) WHERE low < doc_id),
+        each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+        SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)
+    """,
+    "op8_near_dedup": rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents
+        ),
+        sets AS (SELECT DISTINCT doc_id, array_to_string(words[i : i + 2], ' ') AS shingle
+                 FROM w, unnest(range(1, greatest(len(words) - 1, 2))) t(i) WHERE len(words) > 0),
+        sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)),
+        reach AS (SELECT doc_id, doc_id AS other FROM w UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+        lowest AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM lowest LEFT JOIN sizes USING (doc_id)
+    """,
     "op4_chat_format": r"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
