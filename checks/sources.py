@@ -346,6 +346,24 @@ def _export_inputs(spark, sf):
     return documents, pages, texts
 
 
+@check(
+    "s9_text_pieces",
+    Q.query(
+        D.BOTH,
+        """SELECT d.doc_id, 'scan ' || d.doc_id || '.txt' AS file_name, coalesce(pos, 0) AS pos,
+        coalesce(CASE WHEN pos = min(pos) OVER (PARTITION BY d.doc_id) THEN '' ELSE chr(10) || chr(10) || chr(12) || chr(10) || chr(10) END
+                 || '第 ' || (pos + 1) || ' 页' || chr(10) || 'text of ' || page_id, '') AS piece
+        FROM docs d LEFT JOIN (SELECT * FROM pgs WHERE result_ready AND mark <> 13) p ON p.doc_id = d.doc_id""",
+    ),
+)
+def s9_pieces(spark, sf):
+    """Written page by page and read back."""
+    folder = fresh_folder(spark, "pieces")
+    pieces = exports.text_pieces(*_export_inputs(spark, sf))
+    exports.write_pieces(pieces, folder)
+    return spark.read.schema(pieces.schema).json(folder)
+
+
 @check(
     "s9_export_text",
     Q.query(

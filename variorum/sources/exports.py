@@ -30,6 +30,37 @@ def export_text(documents: DataFrame, pages: DataFrame, results: DataFrame) -> D
     )
 
 
+def text_pieces(documents: DataFrame, pages: DataFrame, results: DataFrame) -> DataFrame:
+    """``doc_id, file_name, pos, piece``: the text export page by page, for documents of any size.
+
+    Pieces of a document, joined in the order of ``pos``, are its body; a document without a page that has
+    a result is one empty piece. No row is larger than a page and no document meets in one task.
+    """
+    shown = page_results(pages.select("doc_id", "page_id", "pos", "page_number", "result_ready"), results, keep_all=False)
+    part = F.concat(F.format_string(PAGE_HEADING, F.col("page_number")), T.trim_space("text"))
+    parts = shown.select("doc_id", "pos", part.alias("part"))
+    first = parts.groupBy("doc_id").agg(F.min("pos").alias("_first"))
+    named = documents.select("doc_id", F.concat(T.document_stem("name"), F.lit(".txt")).alias("file_name"))
+    breaks = F.when(F.col("pos") == F.col("_first"), "").otherwise(PAGE_BREAK)
+    return (
+        named.join(first, "doc_id", "left")
+        .join(parts, "doc_id", "left")
+        .select(
+            "doc_id",
+            "file_name",
+            F.coalesce("pos", F.lit(0)).cast("long").alias("pos"),
+            F.coalesce(F.concat(breaks, "part"), F.lit("")).alias("piece"),
+        )
+    )
+
+
+def write_pieces(pieces: DataFrame, path: str) -> None:
+    """Pieces as JSON lines in order of document and position, file after file; a document may span files."""
+    pieces.repartitionByRange("doc_id", "pos").sortWithinPartitions("doc_id", "pos").write.mode("overwrite").option(
+        "compression", "gzip"
+    ).json(path)
+
+
 def export_audit(documents: DataFrame, pages: DataFrame, results: DataFrame, exported_at) -> DataFrame:
     """``doc_id, file_name, body``: metadata and every page in order as JSON, without a result where there is none.
 
