@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from variorum.llm.near import pieces
 from variorum.llm.tables import in_batches, texts
 from variorum.llm.words import Numbering, mixed, rolling
-from variorum.session import ship_package, stage
+from variorum.session import ship_package, stage, unstage
 
 #: Words of a window; a passage is one or more windows in a row.
 WINDOW = 13
@@ -251,10 +251,14 @@ def repeated_ranges(
 ) -> DataFrame:
     """(place, row, cuts) of each text of `keyed` rows that has something to cut; one row for each."""
     rows = rows.select("place", "row", "text")
-    shared = stage(recurring(anchor_table(rows, window, anchor)), "shared-anchors")
+    anchors = stage(anchor_table(rows, window, anchor), "anchors")  # read twice, made once
+    shared = stage(recurring(anchors), "shared-anchors")
+    unstage(anchors)
     found = stage(segments(rows, shared, window, anchor), "segments")
     places = stage(located(found, window, patterns), "located")
-    return stage(removals(found, places, window), "cuts")
+    cuts = stage(removals(found, places, window), "cuts")
+    unstage(shared, found, places)
+    return cuts
 
 
 def cut_words(words: list[bytes], cuts: np.ndarray) -> list[bytes]:
