@@ -136,8 +136,12 @@ def confirmed(
     across = side.any()
     registers = np.array([hyperminhash(s, order) for s in sets])
     sizes = np.array([len(s) for s in sets], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    member = np.zeros(len(names), bool)
     collision = chance_of_collision(sizes.mean() / len(order))
-    links, found = Links(len(sets)), []
+    limit, links, found = percent / 100, Links(len(sets)), []
     for x in range(1, len(sets)):
         near = np.minimum(sizes[:x], sizes[x]) * 100 >= percent * np.maximum(sizes[:x], sizes[x])
         if across:
@@ -145,17 +149,18 @@ def confirmed(
         others = np.flatnonzero(near)
         if not len(others):
             continue
-        limit = percent / 100
         error = np.sqrt(limit * (1 - limit) * (1 / len(order) + 1 / np.maximum(sizes[others], sizes[x])))
-        guess = estimates(registers[x], registers[others], collision)
-        passed = guess >= limit - ERRORS * error
-        others = others[passed][np.argsort(-guess[passed], kind="stable")]
-        for y in others.tolist():
-            if links.root(x) == links.root(y):
-                continue
-            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
-                links.join(x, y)
+        others = others[estimates(registers[x], registers[others], collision) >= limit - ERRORS * error]
+        others = others[[links.root(x) != links.root(y) for y in others.tolist()]] if len(others) else others
+        if not len(others):
+            continue
+        # What all earlier sets share with this one, in one pass over their elements.
+        own, before = ids[starts[x] : starts[x] + sizes[x]], slice(0, starts[x])
+        member[own] = True
+        both = np.bincount(owner[before][member[ids[before]]], minlength=x)[others]
+        member[own] = False
+        for y in others[100 * both >= percent * (sizes[others] + sizes[x] - both)].tolist():
+            if links.join(x, y):
                 found.append((x, y))
     return found
 
