@@ -55,6 +55,21 @@ def test_near(docs, rows, shingle, percent, block):
     assert all(r.component_id == r.doc_id for r in got if r.kept)
 
 
+@pytest.mark.parametrize("block", [2000, 2])
+def test_near_copies_of_a_row_without_an_id(spark, block):
+    base = [f"w{i}" for i in range(200)]
+    near_copy = lambda k: " ".join(base[:k] + ["other"] + base[k + 1 :])
+    text = " ".join(base)
+    # The null ids come first, so that one is the row of its class; 9 and 8 are copies of it, the rest near copies.
+    rows = [(None, text), (None, text), (9, text), (8, text.upper())] + [(k, near_copy(k)) for k in (50, 100, 150)]
+    rows += [(None, "alone, without an id"), (None, near_copy(180)), (77, "alone, with an id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = near.near_duplicates(docs, shingle=3, percent=85, block=block).collect()
+    want = Counter((doc, doc if "alone" in t else 8) for doc, t in rows)
+    assert Counter((r.doc_id, r.component_id) for r in got) == want
+    assert Counter(r.doc_id for r in got if r.kept) == Counter([8, 77, None])
+
+
 def test_registers_estimate_similarity():
     np.seterr(over="ignore")
     rnd, order = np.random.default_rng(3), near.donors(512)

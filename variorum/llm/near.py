@@ -217,9 +217,11 @@ def clusters(classes: DataFrame) -> DataFrame:
 def verified_links(docs: DataFrame, members: DataFrame, shingle: int, percent: int, bands: int, block: int) -> DataFrame:
     """Links (a, b) between classes of one cluster, confirmed on full sets; they span what is linked.
 
-    `members` has class, doc_id, set_1, set_2 and cluster. A text goes to one task with its cluster; a
+    `members` has class, doc_id, text_hash, set_1, set_2 and cluster. A text goes to one task with its cluster; a
     cluster of over `block` texts is dealt out by pairs of blocks, so that no task holds more than two.
+    Texts are found by id and hash, null ids as well as others.
     """
+    place = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("place")
     size = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_blocks"))
     own = F.pmod(F.xxhash64("class"), F.col("n_blocks")).cast("int")
     dealt = (
@@ -227,11 +229,11 @@ def verified_links(docs: DataFrame, members: DataFrame, shingle: int, percent: i
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         .select(
-            "doc_id", "class", "set_1", "set_2", "own", "cluster",
+            place, "text_hash", "class", "set_1", "set_2", "own", "cluster",
             F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
         )
     )
-    held = docs.join(dealt, "doc_id").drop("doc_id")
+    held = docs.select(place, F.xxhash64("text").alias("text_hash"), "text").join(dealt, ["place", "text_hash"])
     spread = held.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "class")
 
     def make():
@@ -245,7 +247,7 @@ def verified_links(docs: DataFrame, members: DataFrame, shingle: int, percent: i
                 part = group[at : at + 200]
                 for row, found in zip(part, shingle_sets([r[0] for r in part], shingle)):
                     one, two = divmod(xxhash.xxh3_128_intdigest(found.tobytes()), 1 << 64)
-                    # Rows of another text under the same id are not this class.
+                    # Another text under the same id and hash is not this class.
                     if (one, two) == (row[2] % (1 << 64), row[3] % (1 << 64)):
                         seen[row[1]] = (found, int(row[4] == row[6]))
             names = list(seen)
@@ -268,7 +270,9 @@ def verified_links(docs: DataFrame, members: DataFrame, shingle: int, percent: i
                     if waiting and row[5:] != waiting[0][5:]:
                         out += compare(waiting)
                         waiting = []
-                    waiting.append(row)
+                    # Rows with one text and no id (or one id) all meet their class; one of them will do.
+                    if not waiting or row[:2] != waiting[-1][:2]:
+                        waiting.append(row)
             if out:
                 yield [list(x) for x in zip(*out)]
 
@@ -301,7 +305,7 @@ def near_duplicates(
     full = rows.filter("n_shingles > 0")
     classes = stage(full.groupBy("set_1", "set_2").agg(F.min("row_id").alias("class")), "classes")
     firsts = full.join(classes, full["row_id"] == classes["class"]).select(
-        "class", "doc_id", full["set_1"], full["set_2"], "bands"
+        "class", "doc_id", "text_hash", full["set_1"], full["set_2"], "bands"
     )
     cluster = clusters(firsts.select("class", "bands")).withColumnRenamed("component", "cluster")
     members = firsts.drop("bands").join(cluster, firsts["class"] == cluster["node"]).drop("node")
