@@ -93,6 +93,24 @@ def test_substrings(docs, rows, patterns):
     assert any(r.n_removed for r in got)
 
 
+def test_substrings_of_crowded_anchors(spark, docs, rows):
+    """No task holds an anchor with more windows than the limit, and results stay the same."""
+    limit = 12
+    keyed = substrings.keyed(docs, "doc_id", "text").select("place", "row", "text")
+    shared = substrings.recurring(substrings.anchor_table(keyed, substrings.WINDOW, substrings.ANCHOR))
+    found = substrings.segments(keyed, shared, substrings.WINDOW, substrings.ANCHOR).cache()
+    held = found.join(substrings.crowded_anchors(found, limit), "anchor", "left_anti")
+    windows = Counter()
+    for anchor, words in {(r.anchor, r.words) for r in held.collect()}:
+        windows[anchor] += len(words.split()) - substrings.WINDOW + 1
+    assert max(windows.values()) <= limit < found.count() and held.count() < found.count()
+    plain = cases.cut_repeats(rows)
+    want = Counter((doc, *plain[doc, text][:2], b" ".join(plain[doc, text][2]).decode()) for doc, text in rows)
+    for crowded in (limit, 0):
+        got = substrings.without_repeats(docs, crowded=crowded).collect()
+        assert Counter(tuple(r) for r in got) == want
+
+
 def test_cut_repeats_leaves_other_texts_and_columns(docs, rows):
     got = substrings.cut_repeats(docs)
     assert got.columns == docs.columns

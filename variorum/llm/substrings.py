@@ -22,9 +22,13 @@ WINDOW = 13
 ANCHOR = 5
 #: Phrases whose passages go into one automaton before the next is begun.
 PATTERNS = 20_000
+#: Windows in the distinct contexts of one anchor that one task holds; those of a more common anchor are dealt out one by one.
+CROWDED = 200_000
+#: Windows that are handed on at once.
+BLOCK_WINDOWS = 10_000
 
 #: `place` is the doc_id, a null one behind all others; `row` tells texts under one id apart.
-SEGMENTS = "place long, row long, start long, anchor long, segment long, words string"
+SEGMENTS = "place long, row long, start long, anchor long, segment long, windows long, words string"
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -121,7 +125,7 @@ def segments(rows: DataFrame, shared: DataFrame, window: int, size: int) -> Data
                 names = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
                 yield [
                     part.column(0).to_numpy()[text], part.column(1).to_numpy()[text], first, anchor, names,
-                    pa.array(words, pa.binary()).cast(pa.string()),
+                    last - first + 1, pa.array(words, pa.binary()).cast(pa.string()),
                 ]
 
         return work
@@ -189,16 +193,74 @@ def occurrences(groups: list[list[tuple[bytes, int, int]]], window: int) -> Iter
             yield g, k, end - length + 1, end - window + 1, low
 
 
-def located(found: DataFrame, window: int, patterns: int) -> DataFrame:
-    """(anchor, segment, first, last, low) of recurring windows in each distinct segment.
+def crowded_anchors(found: DataFrame, crowded: int) -> DataFrame:
+    """Anchors whose distinct segments have over `crowded` windows."""
+    each = found.groupBy("anchor", "segment").agg(F.max("windows").alias("windows"))
+    return each.groupBy("anchor").agg(F.sum("windows").alias("windows")).filter(F.col("windows") > crowded).select("anchor")
+
+
+def distinct_segments(found: DataFrame) -> DataFrame:
+    """Equal segments of many documents are one row, with the smallest and the largest place they have."""
+    return found.groupBy("anchor", "segment", "words").agg(F.min("place").alias("low"), F.max("place").alias("high"))
 
-    Equal segments of many documents are one row before the shuffle. A shard is a run of anchors with
-    about `patterns` segments; its automaton is compiled and its segments are streamed through it.
+
+def located_by_window(found: DataFrame, window: int) -> DataFrame:
+    """What `located` gives, a row for each window, for anchors of any size.
+
+    Windows meet under their own words, reduced to a smallest and a largest place before the shuffle, and no
+    task holds a group. The join back to the segments may be skewed by one window; adaptive execution splits it.
     """
-    distinct = found.groupBy("anchor", "segment", "words").agg(
-        F.min("place").alias("low"), F.max("place").alias("high")
+
+    def make():
+        def work(batch: pa.RecordBatch) -> Iterator[list]:
+            out: list[tuple] = []
+            for k, text in enumerate(batch.column(2).cast(pa.binary())):
+                words = text.as_py().split()
+                given = [batch.column(c)[k].as_py() for c in (0, 1, 3, 4)]
+                for i in range(len(words) - window + 1):
+                    out.append((*given, i, b" ".join(words[i : i + window])))
+                    if len(out) >= BLOCK_WINDOWS:
+                        yield columns(out)
+                        out = []
+            if out:
+                yield columns(out)
+
+        def columns(out: list[tuple]) -> list:
+            *numbers, run = zip(*out)
+            return [*map(list, numbers), pa.array(run, pa.binary()).cast(pa.string())]
+
+        return work
+
+    rows = distinct_segments(found).select("anchor", "segment", "words", "low", "high")
+    each = in_batches(rows, "anchor long, segment long, low long, high long, at long, run string", make)
+    recur = each.groupBy("anchor", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high")
+    recur = stage(recur, "recurring-windows")  # else the join below could not be split
+    return (
+        each.select("anchor", "segment", "at", "run")
+        .join(recur.drop("high"), ["anchor", "run"])
+        .select("anchor", "segment", F.col("at").alias("first"), F.col("at").alias("last"), "low")
     )
-    dealt = distinct.repartition("anchor").sortWithinPartitions("anchor", "segment")
+
+
+def located(found: DataFrame, window: int, patterns: int, crowded: int = CROWDED) -> DataFrame:
+    """(anchor, segment, first, last, low) of recurring windows in each distinct segment.
+
+    Anchors with over `crowded` windows go by window; all others are held by one task each.
+    """
+    many = stage(crowded_anchors(found, crowded), "crowded-anchors")
+    if many.isEmpty():
+        return located_by_anchor(found, window, patterns)
+    few = located_by_anchor(found.join(many, "anchor", "left_anti"), window, patterns)
+    return few.unionByName(located_by_window(found.join(many, "anchor", "left_semi"), window))
+
+
+def located_by_anchor(found: DataFrame, window: int, patterns: int) -> DataFrame:
+    """What `located` gives, with all distinct segments of an anchor in one task.
+
+    A shard is a run of anchors with about `patterns` segments; its automaton is compiled and its segments
+    are streamed through it.
+    """
+    dealt = distinct_segments(found).repartition("anchor").sortWithinPartitions("anchor", "segment")
 
     def make():
         shard: list[list[tuple[int, int, bytes, int, int]]] = []
@@ -247,7 +309,7 @@ def removals(found: DataFrame, places: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_ranges(
-    rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, patterns: int = PATTERNS
+    rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, patterns: int = PATTERNS, crowded: int = CROWDED
 ) -> DataFrame:
     """(place, row, cuts) of each text of `keyed` rows that has something to cut; one row for each."""
     rows = rows.select("place", "row", "text")
@@ -255,7 +317,7 @@ def repeated_ranges(
     shared = stage(recurring(anchors), "shared-anchors")
     unstage(anchors)
     found = stage(segments(rows, shared, window, anchor), "segments")
-    places = stage(located(found, window, patterns), "located")
+    places = stage(located(found, window, patterns, crowded), "located")
     cuts = stage(removals(found, places, window), "cuts")
     unstage(shared, found, places)
     return cuts
@@ -274,6 +336,7 @@ def without_repeats(
     window: int = WINDOW,
     anchor: int = ANCHOR,
     patterns: int = PATTERNS,
+    crowded: int = CROWDED,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -287,7 +350,7 @@ def without_repeats(
     texts are shuffled twice, to meet what is known of them; all results are written in between.
     """
     rows = keyed(docs, id_col, text_col)
-    cuts = repeated_ranges(rows, window, anchor, patterns)
+    cuts = repeated_ranges(rows, window, anchor, patterns, crowded)
 
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[list]:
