@@ -1,19 +1,25 @@
 """Structured Streaming jobs over lifecycle events.
 
-Rows of one key are put in ``seq`` order inside each micro-batch, and a row at or below the newest
-``seq`` of its key is a repeat and is dropped. State of a key is a fixed set of small values: texts
-are kept as counters and bounded tails, never whole. With ``expire`` idle state is dropped after
+Rows of one key are put in ``seq`` order inside each micro-batch. A row whose ``seq`` its key has seen is
+a repeat and is dropped. One below the newest ``seq`` that was never seen is late: what it would have
+changed is told already, so it does not count, and comes out as JSON in the column ``late_event`` of a row
+of its own. ``run_once`` writes these rows to a folder beside the others and returns their number.
+
+State of a key is a fixed set of small values and the list of seen ``seq``, which is only read when a row
+is below the newest: texts are kept as counters and bounded tails, never whole. With ``expire`` idle state is dropped after
 ``STATE_HOURS``; that needs the processing clock, which never lets a run over "what is there" end,
 so drained runs leave it out.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from variorum.functions import text as T
@@ -23,6 +29,7 @@ from variorum.streaming import batch as B
 STATE_HOURS = 24
 HEARTBEAT_MS = 1000
 TAIL = 2000
+LATE = "late_event"
 
 _STATE = (
     "last_seq long, status string, started_at long, first_token_at long, first_output_at long, finished_at long, "
@@ -33,7 +40,7 @@ _COLUMNS = [part.split()[0] for part in _STATE.split(", ")]
 _OUTPUT = (
     "doc_id string, page_id string, stage string, agent string, last_seq long, status string, started_at long, "
     "first_token_at long, first_output_at long, finished_at long, output_chars long, tokens long, output string, "
-    "thinking string, error string, last_error string, attempt int, max_attempts int, observed_at long"
+    "thinking string, error string, last_error string, attempt int, max_attempts int, observed_at long, late_event string"
 )
 
 
@@ -98,6 +105,35 @@ def _ordered(rows: Iterator[pd.DataFrame]) -> list[dict]:
     return pd.concat(frames).sort_values("seq", kind="stable").to_dict("records")
 
 
+def _told_apart(rows: Iterator[pd.DataFrame], newest: int | None, seen) -> tuple[list[dict], list[dict]]:
+    """Rows above the newest ``seq`` of their key in order, and those below it that were never seen; no repeats."""
+    fresh, late, known, last = [], [], None, newest
+    for event in _ordered(rows):
+        seq = int(event["seq"])
+        if last is None or seq > last:
+            last = seq
+            fresh.append(event)
+        elif newest is not None and seq <= newest:
+            if known is None:
+                known = {row[0] for row in seen.get()} if seen.exists() else set()
+            if seq not in known:
+                known.add(seq)
+                late.append(event)
+    return fresh, late
+
+
+def _remember(seen, *events: list[dict]) -> None:
+    if numbers := [(int(e["seq"]),) for part in events for e in part]:
+        seen.appendList(numbers)
+
+
+def _late_rows(columns: Sequence[str], keys: Sequence[str], key, late: list[dict]) -> pd.DataFrame:
+    told = dict(zip(keys, key))
+    rows = [{**told, LATE: json.dumps({**told, **event}, default=str)} for event in late]
+    frame = pd.DataFrame(rows, columns=columns, dtype=object)
+    return frame.where(frame.notna(), None)
+
+
 class AgentFold(StatefulProcessor):
     """State machine of one agent. With processing time, a running agent is reported every second."""
 
@@ -108,12 +144,14 @@ class AgentFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("agent", _STATE, self.ttl)
+        self.seen = handle.getListState("seen", "seq long", self.ttl)
 
     def _row(self, key, s: dict, observed: int | None) -> pd.DataFrame:
         told = dict(zip(B.AGENT, key))
         told.update({c: s[c] for c in _COLUMNS if c not in ("closed_tokens", "open_run")})
         told["tokens"] = s["closed_tokens"] + (s["open_run"] + 3) // 4
         told["observed_at"] = observed
+        told[LATE] = None
         frame = pd.DataFrame([told])
         for c in ("first_token_at", "first_output_at", "finished_at", "observed_at"):
             frame[c] = frame[c].astype("Int64")
@@ -126,16 +164,16 @@ class AgentFold(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         known = self.state.get() if self.state.exists() else None
         s = dict(zip(_COLUMNS, known)) if known is not None else None
-        changed = False
-        for event in _ordered(rows):
+        fresh, late = _told_apart(rows, s and s["last_seq"], self.seen)
+        _remember(self.seen, fresh, late)
+        for event in fresh:
             if s is None:
                 s = _fresh(event["at"])
-            elif event["seq"] <= s["last_seq"]:
-                continue
             _apply(s, event)
             s["last_seq"] = int(event["seq"])
-            changed = True
-        if changed:
+        if late:
+            yield _late_rows([part.split()[0] for part in _OUTPUT.split(", ")], B.AGENT, key, late)
+        if fresh:
             self.state.update(tuple(s[c] for c in _COLUMNS))
             self._schedule(s, timerValues)
             yield self._row(key, s, None)
@@ -180,29 +218,31 @@ def agent_progress(events: DataFrame, beat: bool = False, expire: bool = False)
 class TerminalGate(StatefulProcessor):
     """Passes the rows of a key up to its first terminal event and nothing after."""
 
-    def __init__(self, columns: Sequence[str], terminal: Sequence[str], expire: bool = False):
-        self.columns, self.terminal = list(columns), tuple(terminal)
+    def __init__(self, columns: Sequence[str], keys: Sequence[str], terminal: Sequence[str], expire: bool = False):
+        self.columns, self.keys, self.terminal = list(columns), list(keys), tuple(terminal)
         self.ttl = STATE_HOURS * 3_600_000 if expire else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("gate", "last_seq long, closed boolean", self.ttl)
+        self.seen = handle.getListState("seen", "seq long", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, closed = self.state.get() if self.state.exists() else (-1, False)
-        if closed:
-            return
+        last, closed = self.state.get() if self.state.exists() else (None, False)
+        fresh, late = _told_apart(rows, last, self.seen)
         passed = []
-        for event in _ordered(rows):
-            if event["seq"] <= last:
-                continue
+        for event in [] if closed else fresh:
             last = int(event["seq"])
             passed.append(event)
             if event["type"] in self.terminal:
                 closed = True
                 break
-        self.state.update((last, closed))
+        _remember(self.seen, passed, late)
         if passed:
-            yield pd.DataFrame(passed)[self.columns]
+            self.state.update((last, closed))
+            yield pd.DataFrame(passed)[self.columns].assign(**{LATE: None})
+        if late:
+            told = _late_rows([LATE], self.keys, key, late)[LATE]
+            yield pd.DataFrame(late)[self.columns].assign(**{LATE: told})
 
     def close(self) -> None:
         pass
@@ -211,12 +251,12 @@ class TerminalGate(StatefulProcessor):
 def after_terminal(
     events: DataFrame, keys: Sequence[str] = B.PAGE, terminal: Sequence[str] = B.TERMINAL, expire: bool = False
 ) -> DataFrame:
-    """Events up to each key's first terminal one. With ``expire`` a key is forgotten after STATE_HOURS without
+    """Events up to each key's first terminal one, and late ones marked. With ``expire`` a key is forgotten after STATE_HOURS without
     an event, so that repeats later than that pass again."""
     ship_package(events.sparkSession)
     return events.groupBy(*keys).transformWithStateInPandas(
-        TerminalGate(events.columns, terminal, expire),
-        outputStructType=events.schema,
+        TerminalGate(events.columns, keys, terminal, expire),
+        outputStructType=S.StructType([*events.schema.fields, S.StructField(LATE, S.StringType())]),
         outputMode="Append",
         timeMode=_clock(expire),
     )
@@ -231,23 +271,27 @@ class IdleWatch(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("wait", "last_seq long, epoch long, since long, told long", self.ttl)
+        self.seen = handle.getListState("seen", "seq long", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, epoch, since, told = self.state.get() if self.state.exists() else (-1, 0, None, -1)
+        last, epoch, since, told = self.state.get() if self.state.exists() else (None, 0, None, -1)
+        fresh, late = _told_apart(rows, last, self.seen)
+        _remember(self.seen, fresh, late)
+        columns = [*B.AGENT, "attempt_no", "idle_at", "seq", "open", LATE]
+        if late:
+            yield _late_rows(columns, B.AGENT, key, late)
         found = []
-        for event in _ordered(rows):
-            if event["seq"] <= last:
-                continue
+        for event in fresh:
             last = int(event["seq"])
             if since is not None and event["at"] - since >= self.timeout and told < epoch:
                 told = epoch
-                found.append((*key, epoch, since + self.timeout, last, False))
+                found.append((*key, epoch, since + self.timeout, last, False, None))
             epoch += event["type"] == "attempt_start"
             since = int(event["at"]) if event["type"] in ("attempt_start", "delta") else None
         self.state.update((last, epoch, since, told))
         open_at = since + self.timeout if since is not None and told < epoch else None
-        found.append((*key, epoch, open_at, last, True))
-        frame = pd.DataFrame(found, columns=[*B.AGENT, "attempt_no", "idle_at", "seq", "open"])
+        found.append((*key, epoch, open_at, last, True, None))
+        frame = pd.DataFrame(found, columns=columns)
         frame["idle_at"] = frame["idle_at"].astype("Int64")
         yield frame
 
@@ -259,8 +303,9 @@ def idle_attempts(events: DataFrame, timeout: int = B.IDLE_SECONDS, expire: bool
     """Idle moments per attempt as they become known; ``settled_idle`` makes the batch twin's rows of them.
 
     A row says that a wait reached the timeout (its attempt's first), or, with ``open``, when the newest
-    wait of the agent will if nothing ends it (null: it isn't waiting). No event is dropped for being late;
-    within an agent events count in the order of ``seq``, and one at or below the newest is a repeat.
+    wait of the agent will if nothing ends it (null: it isn't waiting). There is no
+    watermark; within an agent events count in the order of ``seq``, and one that comes in a later micro-batch
+    than a newer one does not count but is told as late.
     """
     ship_package(events.sparkSession)
     mine = events.filter(F.col("type").isin(*B.AGENT_EVENTS)).withColumn("at", F.unix_micros("ts"))
@@ -269,7 +314,7 @@ def idle_attempts(events: DataFrame, timeout: int = B.IDLE_SECONDS, expire: bool
         .groupBy(*B.AGENT)
         .transformWithStateInPandas(
             IdleWatch(timeout, expire),
-            outputStructType="doc_id string, page_id string, stage string, agent string, attempt_no long, idle_at long, seq long, open boolean",
+            outputStructType="doc_id string, page_id string, stage string, agent string, attempt_no long, idle_at long, seq long, open boolean, late_event string",
             outputMode="Update",
             timeMode=_clock(expire),
         )
@@ -287,11 +332,25 @@ def settled_idle(waits: DataFrame, now: Column) -> DataFrame:
     return every.groupBy(*B.AGENT, F.col("attempt_no").alias("epoch")).agg(F.min("idle_at").alias("idle_at"))
 
 
-def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
-    """Drain what is there into Parquet files of ``path``, one set per micro-batch, safe to repeat."""
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> int:
+    """Drain what is there into Parquet files of ``path``, one set per micro-batch, safe to repeat.
+
+    Late events go to ``path`` + "-late" in the same way; their number in this run is returned.
+    """
+    late = 0
 
     def write(part: DataFrame, epoch: int) -> None:
-        part.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        nonlocal late
+        rows = part.withColumn("epoch", F.lit(epoch))
+        if LATE not in part.columns:
+            rows.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+            return
+        rows.persist()
+        rows.filter(F.col(LATE).isNull()).drop(LATE).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        aside = rows.filter(F.col(LATE).isNotNull()).select(LATE, "epoch")
+        aside.write.mode("overwrite").parquet(f"{path}-late/batch={epoch}")
+        late += aside.count()
+        rows.unpersist()
 
     query = (
         stream.writeStream.outputMode(mode)
@@ -301,6 +360,7 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "update"
         .start()
     )
     query.awaitTermination()
+    return late
 
 
 def newest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
