@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variorum.llm import bpe, chat, exact, near, packing, pages, quality, substrings, token_counts, toxicity
+from variorum.llm import bpe, chat, exact, near, packing, pages, quality, repair, substrings, token_counts, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_digests(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair_reports(table(spark, folder, "conversations"), damaged=True)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -80,6 +84,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -92,6 +97,33 @@ _OVER = " OR ".join(
     f"coalesce(dup{n}.chars, 0) > {share}::DOUBLE * word_chars" for n, share in quality.NGRAM_SHARES.items()
 )
 
+#: One bit of CRC-32: the register moves on, by the reflected polynomial where a bit falls out (a fixed value).
+_CRC = "xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))"
+
+
+def _edit_rows() -> str:
+    """(state, initial, fault, letters, cost, next state): up to two inserts and what is done with a row then; fault 9 is the end."""
+    nexts = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    rows = []
+    for state in range(4):
+        put, at = [("", 0, state)], state
+        for k in (1, 2):
+            at = nexts[at, "a" if at == 2 else "u"]
+            put.append(("I" * k, 3 * k, at))
+        for letters, cost, at in put:
+            if at in (0, 3):
+                rows.append((state, "?", 9, letters, cost, at))
+            for initial in "sua?":
+                for fault in range(4):
+                    rows.append((state, initial, fault, letters + "D", cost + 4, at))
+                    if fault in (0, 1):
+                        if (at, initial) in nexts:
+                            rows.append((state, initial, fault, letters + "K", cost + 3 * fault, nexts[at, initial]))
+                        to = nexts[at, "a" if at == 2 else "u"]
+                        rows.append((state, initial, fault, letters + "R", cost + 3 + 3 * fault, to))
+    return ", ".join(map(str, rows))
+
+
 SQL = {
     "op1_quality_rules": rf"""
         WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
@@ -154,6 +186,78 @@ SQL = {
                CAST(sum(12 + role_chars + 1 + text_chars + 11) AS BIGINT) AS formatted_chars
         FROM escaped GROUP BY conv_id
     """,
+    "op12_conversation_repair": rf"""
+        WITH RECURSIVE edits(state, initial, fault, letters, price, next) AS (VALUES {_edit_rows()}),
+        drawn AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+                       string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                       lambda l: [ascii(l)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, x: {_CRC})) % 20 AS draw
+            FROM conversations
+        ),
+        harmed AS (
+            SELECT conv_id, turn, CASE draw WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM drawn, range(CASE draw WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) copies(k)
+        ),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+                   CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '?' END AS initial
+            FROM harmed
+        ),
+        judged AS (
+            SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 2
+                           WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 3
+                           WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 1 ELSE 0 END AS fault,
+                   initial || lead(initial) OVER (PARTITION BY conv_id ORDER BY i) AS pair
+            FROM placed
+        ),
+        counted AS (
+            SELECT conv_id, count(*) AS n,
+                   coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (WHERE fault = 2) AS blank, count(*) FILTER (WHERE fault = 3) AS duplicate,
+                   count(*) FILTER (WHERE fault = 1) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM judged GROUP BY conv_id
+        ),
+        ways AS (
+            SELECT conv_id, 0::BIGINT AS i, 0 AS state, {{'cost': 0::BIGINT, 'audit': ''}} AS best FROM counted
+            UNION ALL
+            SELECT w.conv_id, w.i + 1, e.next, min({{'cost': w.best.cost + e.price, 'audit': w.best.audit || e.letters}})
+            FROM ways w JOIN judged r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1
+                 JOIN edits e ON e.state = w.state AND e.initial = r.initial AND e.fault = r.fault
+            GROUP BY w.conv_id, w.i, e.next
+        ),
+        ended AS (
+            SELECT w.conv_id, min({{'cost': w.best.cost + e.price, 'audit': w.best.audit || e.letters}}) AS best
+            FROM ways w JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i
+                 JOIN edits e ON e.state = w.state AND e.fault = 9
+            GROUP BY w.conv_id
+        ),
+        marks AS (
+            SELECT conv_id, k, best.audit[k] AS letter, length(regexp_replace(best.audit[1 : k], 'I', '', 'g')) AS i
+            FROM ended, unnest(range(1, length(best.audit) + 1)) t(k)
+        ),
+        stay AS (
+            SELECT m.conv_id, k, letter, r.role, CASE letter WHEN 'I' THEN '' ELSE r.text END AS text,
+                   row_number() OVER (PARTITION BY m.conv_id ORDER BY k) AS place
+            FROM marks m LEFT JOIN judged r ON r.conv_id IS NOT DISTINCT FROM m.conv_id AND r.i = m.i
+            WHERE letter <> 'D'
+        ),
+        led AS (SELECT conv_id, min(place) AS first FROM stay WHERE letter <> 'K' OR left(role, 1) <> 's' GROUP BY conv_id),
+        lines AS (
+            SELECT s.conv_id, s.place,
+                   CASE WHEN letter = 'K' THEN role WHEN (s.place - led.first) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text AS line
+            FROM stay s JOIN led ON led.conv_id IS NOT DISTINCT FROM s.conv_id
+        ),
+        mended AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY place)) AS repaired_sha256 FROM lines GROUP BY conv_id)
+        SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+               coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+               coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o
+             LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+             LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+             LEFT JOIN mended m ON m.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
     "op6_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
