@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variorum.llm import bpe, chat, exact, near, packing, pages, quality, repair, substrings, token_counts, toxicity
+from variorum.llm import bpe, chat, exact, near, packing, pages, quality, repair, substrings, token_counts, toxicity, whitening
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.repair_reports(table(spark, folder, "conversations"), damaged=True)
 
 
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -85,6 +89,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"

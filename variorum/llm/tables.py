@@ -64,6 +64,7 @@ _ARROW = {
     "binary": pa.binary(),
     "array<long>": pa.list_(pa.int64()),
     "array<int>": pa.list_(pa.int32()),
+    "array<double>": pa.list_(pa.float64()),
 }
 
 
