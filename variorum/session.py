@@ -67,6 +67,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return read
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh shared folder for files of a job's own; ``clear_staged`` removes it."""
+    path = fresh_folder(spark, name)
+    _staged(spark).append(path)
+    return path
+
+
 def unstage(*tables: DataFrame) -> None:
     """Remove tables that ``stage`` returned and nothing will read again."""
     for table in tables:
