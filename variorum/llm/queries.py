@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variorum.llm import bpe, chat, exact, near, packing, pages, quality, repair, substrings, token_counts, toxicity, whitening
+from variorum.llm import bpe, chat, exact, near, packing, pages, quality, repair, substrings, token_counts, toxicity, warc, whitening
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_digests(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op11_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.read_records(warc.archived(table(spark, folder, "pages")))
+
+
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.repair_reports(table(spark, folder, "conversations"), damaged=True)
 
@@ -88,6 +92,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op11_warc": op11_warc,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
@@ -191,6 +196,20 @@ SQL = {
                CAST(sum(12 + role_chars + 1 + text_chars + 11) AS BIGINT) AS formatted_chars
         FROM escaped GROUP BY conv_id
     """,
+    "op11_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+        digits AS (SELECT *, list_transform(range(8), lambda k: ('0x' || hex[5 * k + 1 : 5 * k + 5])::BIGINT) AS parts FROM p),
+        named AS (
+            SELECT page_id, html, array_to_string(list_transform(range(32), lambda k:
+                       substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((parts[k // 4 + 1] >> (15 - 5 * (k % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+                   max(page_id) OVER (PARTITION BY html) AS keeper
+            FROM digits
+        )
+        SELECT page_id, strlen(html) AS payload_bytes, payload_digest,
+               CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+        FROM named
+    """,
     "op12_conversation_repair": rf"""
         WITH RECURSIVE edits(state, initial, fault, letters, price, next) AS (VALUES {_edit_rows()}),
         drawn AS (
