@@ -1,5 +1,6 @@
 """Exact duplicates, near duplicates, repeated passages and the components under them, against plain versions."""
 
+import random
 from collections import Counter, defaultdict
 
 import cases
@@ -84,31 +85,29 @@ def test_registers_estimate_similarity():
             assert abs(guess - both) < 6 * np.sqrt(0.25 * (1 / 512 + 1 / size)) * max(2 * np.sqrt(both * (1 - both)), 0.3)
 
 
-@pytest.mark.parametrize("patterns", [3, 20_000])
-def test_substrings(docs, rows, patterns):
-    got = substrings.without_repeats(docs, patterns=patterns).collect()
+@pytest.mark.parametrize("shard_bytes, shard_docs", [(substrings.SHARD_BYTES, substrings.SHARD_DOCS), (40, 2)])
+def test_substrings(docs, rows, shard_bytes, shard_docs):
+    got = substrings.without_repeats(docs, shard_bytes=shard_bytes, shard_docs=shard_docs).collect()
     plain = cases.cut_repeats(rows)
     want = Counter((doc, *plain[doc, text][:2], b" ".join(plain[doc, text][2]).decode()) for doc, text in rows)
     assert Counter(tuple(r) for r in got) == want
     assert any(r.n_removed for r in got)
 
 
-def test_substrings_of_crowded_anchors(spark, docs, rows):
-    """No task holds an anchor with more windows than the limit, and results stay the same."""
-    limit = 12
-    keyed = substrings.keyed(docs, "doc_id", "text").select("place", "row", "text")
-    shared = substrings.recurring(substrings.anchor_table(keyed, substrings.WINDOW, substrings.ANCHOR))
-    found = substrings.segments(keyed, shared, substrings.WINDOW, substrings.ANCHOR).cache()
-    held = found.join(substrings.crowded_anchors(found, limit), "anchor", "left_anti")
-    windows = Counter()
-    for anchor, words in {(r.anchor, r.words) for r in held.collect()}:
-        windows[anchor] += len(words.split()) - substrings.WINDOW + 1
-    assert max(windows.values()) <= limit < found.count() and held.count() < found.count()
-    plain = cases.cut_repeats(rows)
-    want = Counter((doc, *plain[doc, text][:2], b" ".join(plain[doc, text][2]).decode()) for doc, text in rows)
-    for crowded in (limit, 0):
-        got = substrings.without_repeats(docs, crowded=crowded).collect()
-        assert Counter(tuple(r) for r in got) == want
+def test_no_copy_of_an_automaton_sees_more_than_its_documents(spark, docs, rows):
+    """A passage that most documents share is dealt over copies; each has all its owners."""
+    rnd = random.Random(8)
+    shared = " ".join(cases.word(rnd) for _ in range(20))
+    more = [(k, f"before{k} {shared} behind{k}") for k in range(400)]
+    keyed = substrings.keyed(spark.createDataFrame(more, "doc_id long, text string"), "doc_id", "text")
+    keyed = keyed.select("place", "row", "text")
+    found = substrings.windows(keyed, substrings.recurring(substrings.anchor_table(keyed, 13, 8)), 13, 8).cache()
+    recur = substrings.confirmed(found).cache()
+    assert recur.count() == 8 and {r.low for r in recur.collect()} == {0}
+    asks = substrings.asked(found, recur, 1 << 20, 20).collect()
+    copies = Counter(r.copy for r in asks if r.owned is None)
+    assert sum(copies.values()) == 399 and len(copies) == 20 and max(copies.values()) < 60
+    assert sorted(r.copy for r in asks if r.owned is not None) == list(range(20))
 
 
 def test_cut_repeats_leaves_other_texts_and_columns(docs, rows):

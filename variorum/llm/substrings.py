@@ -1,4 +1,4 @@
-"""Passages that repeat across documents: confirmed, compiled into automata, and cut from later documents."""
+"""Passages that repeat across documents: confirmed, compiled into sharded automata, and cut from later documents."""
 
 from __future__ import annotations
 
@@ -7,31 +7,30 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from variorum.llm.near import pieces
 from variorum.llm.tables import in_batches, texts
-from variorum.llm.words import Numbering, mixed, rolling
+from variorum.llm.words import FACTOR, Numbering, mixed, rolling
 from variorum.session import ship_package, stage, unstage
 
 #: Words of a window; a passage is one or more windows in a row.
 WINDOW = 13
-#: Words of an anchor. Of the anchors in a window the one with the smallest hash stands for it.
-ANCHOR = 5
-#: Phrases whose passages go into one automaton before the next is begun.
-PATTERNS = 20_000
-#: Windows in the distinct contexts of one anchor that one task holds; those of a more common anchor are dealt out one by one.
-CROWDED = 200_000
-#: Windows that are handed on at once.
-BLOCK_WINDOWS = 10_000
-
-#: `place` is the doc_id, a null one behind all others; `row` tells texts under one id apart.
-SEGMENTS = "place long, row long, start long, anchor long, segment long, windows long, words string"
-
+#: Words of an anchor. Of the anchors in a window the one with the smallest hash stands for it. A longer anchor
+#: recurs by chance less often, a shorter one stands for more windows.
+ANCHOR = 8
+#: Bytes of the confirmed passages in one automaton, about; a document's own passages stay together.
+SHARD_BYTES = 256 << 10
+#: Documents that are streamed through one copy of an automaton; those of a common passage are dealt over several.
+SHARD_DOCS = 4_000
+#: A cut of all words, if they are a window at least: what becomes of a copy.
+WHOLE = -1
+#: Factors of the two rolling hashes of a window (fixed values, odd).
+FACTORS = (FACTOR, np.uint64(0xC2B2AE3D27D4EB4F))
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, place (the doc_id, a null one behind all others), row (tells texts under one id apart), text."""
     rows = texts(docs, id_col, text_col)
     return rows.select(
         "doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("place"), F.xxhash64("text").alias("row"), "text"
@@ -76,7 +75,7 @@ def runs(lists: list[list[bytes]], window: int, size: int) -> tuple[np.ndarray,
 
 
 def anchor_table(rows: DataFrame, window: int, size: int) -> DataFrame:
-    """(anchor, place, row) of each run of windows."""
+    """(anchor, place, text_key) of each run of windows."""
 
     def make():
         np.seterr(over="ignore")
@@ -89,7 +88,13 @@ def anchor_table(rows: DataFrame, window: int, size: int) -> DataFrame:
 
         return work
 
-    return in_batches(rows.select("place", "row", "text"), "anchor long, place long, row long", make)
+    keyed_rows = rows.select("place", text_key().alias("text_key"), "text")
+    return in_batches(keyed_rows, "anchor long, place long, text_key long", make)
+
+
+def text_key() -> Column:
+    """One number for a text and its id. Two texts under one number only lend each other anchors, which changes no result."""
+    return F.xxhash64("place", "row")
 
 
 def recurring(anchors: DataFrame) -> DataFrame:
@@ -100,11 +105,19 @@ def recurring(anchors: DataFrame) -> DataFrame:
         .filter("low < high")
         .select("anchor")
     )
-    return anchors.join(shared, "anchor", "left_semi").groupBy("place", "row").agg(F.collect_set("anchor").alias("shared"))
+    return (
+        anchors.select("anchor", "text_key")
+        .join(shared, "anchor", "left_semi")
+        .groupBy("text_key")
+        .agg(F.collect_set("anchor").alias("shared"))
+    )
+
 
+def windows(rows: DataFrame, shared: DataFrame, window: int, size: int) -> DataFrame:
+    """(h1, h2, place, row, start, bytes) of each window whose anchor recurs: two hashes of its words, and where it stands.
 
-def segments(rows: DataFrame, shared: DataFrame, window: int, size: int) -> DataFrame:
-    """SEGMENTS: the words of each run whose anchor recurs, so that equal windows meet under their anchor."""
+    `bytes` are those of its first word, so that their sum over a passage is nearly the passage's length.
+    """
 
     def make():
         np.seterr(over="ignore")
@@ -113,218 +126,187 @@ def segments(rows: DataFrame, shared: DataFrame, window: int, size: int) -> Data
             for part in pieces(batch, 2):
                 lists = [t.as_py().split() for t in part.column(2).cast(pa.binary())]
                 text, first, last, anchor = runs(lists, window, size)
-                wanted = [np.asarray(x.values) for x in part.column(3)]
                 ends = np.searchsorted(text, np.arange(len(lists) + 1))
-                keep = np.concatenate(
-                    [np.isin(anchor[a:b], found) for a, b, found in zip(ends, ends[1:], wanted)] or [[]]
-                ).astype(bool)
-                text, first, last, anchor = text[keep], first[keep], last[keep], anchor[keep]
-                words = [
-                    b" ".join(lists[t][a : b + window]) for t, a, b in zip(text.tolist(), first.tolist(), last.tolist())
-                ]
-                names = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
-                yield [
-                    part.column(0).to_numpy()[text], part.column(1).to_numpy()[text], first, anchor, names,
-                    last - first + 1, pa.array(words, pa.binary()).cast(pa.string()),
-                ]
+                wanted = [np.asarray(x.values) for x in part.column(3)]
+                keep = [np.isin(anchor[a:b], found) for a, b, found in zip(ends, ends[1:], wanted)]
+                keep = np.concatenate([*keep, np.zeros(0, bool)])
+                text, first, last = text[keep], first[keep], last[keep]
+                if not len(text):
+                    continue
+                counts = last - first + 1
+                owner = np.repeat(text, counts)
+                start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
+                before = np.cumsum([0, *map(len, lists)])[:-1]
+                numbers = Numbering()
+                ids = numbers.ids([w for words in lists for w in words])
+                hashes = mixed(numbers.hashes())[ids]
+                at = before[owner] + start
+                one, two = (mixed(rolling(hashes, window, f)[at]).view(np.int64) for f in FACTORS)
+                lengths = np.fromiter(map(len, numbers), np.int64, len(numbers))[ids][at]
+                yield [one, two, part.column(0).to_numpy()[owner], part.column(1).to_numpy()[owner], start, lengths]
 
         return work
 
-    held = rows.join(shared, ["place", "row"]).select("place", "row", "text", "shared")
-    return in_batches(held, SEGMENTS, make)
+    held = rows.withColumn("text_key", text_key()).join(shared, "text_key").select("place", "row", "text", "shared")
+    return in_batches(held, "h1 long, h2 long, place long, row long, start long, bytes long", make)
+
+
+def confirmed(found: DataFrame) -> DataFrame:
+    """Each window that documents of two ids have, once: h1, h2, low (the smallest of these ids), bytes, and how its
+    occurrences are told from those of other windows: their number, sums of hashes of their places, and of the places
+    one word on."""
+    here, ahead = F.xxhash64("place", "row", "start"), F.xxhash64("place", "row", F.col("start") + 1)
+    sums = [
+        F.sum(F.shiftrightunsigned(h, 33 * k).bitwiseAND(0x7FFFFFFF)).alias(f"{name}{k}")
+        for name, h in (("here", here), ("ahead", ahead))
+        for k in (0, 1)
+    ]
+    groups = found.groupBy("h1", "h2").agg(
+        F.min("place").alias("low"), F.max("place").alias("high"), F.max("bytes").alias("bytes"),
+        F.count(F.lit(1)).alias("n"), *sums,
+    )
+    return groups.filter("low < high").drop("high")
+
+
+def asked(found: DataFrame, recur: DataFrame, shard_bytes: int, shard_docs: int) -> DataFrame:
+    """Which texts go to which automata: (place, row, shard, copy, owned).
+
+    A document owns the windows it is the first to have. It comes with them to their shard; to be streamed, a
+    text comes with null to each shard of a window that it has. A shard that many texts are streamed through
+    has copies, with its owners in each.
+    """
+    total = recur.agg(F.sum("bytes")).first()[0] or 0
+    shard = F.pmod(F.xxhash64("low"), F.lit(max(1, -(-total // shard_bytes)))).alias("shard")
+    own = F.struct("start", "n", "here0", "here1", "ahead0", "ahead1")
+    pairs = stage(
+        found.select("h1", "h2", "place", "row", "start")
+        .join(recur.drop("bytes"), ["h1", "h2"])
+        .groupBy("place", "row", shard)
+        .agg(
+            F.max(F.col("place") > F.col("low")).alias("streamed"),
+            F.collect_list(F.when(F.col("place") == F.col("low"), own)).alias("owned"),
+        ),
+        "pairs",
+    )
+    streamed = pairs.filter("streamed")
+    copies = streamed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / shard_docs).alias("copies"))
+    copy = F.pmod(F.xxhash64("place", "row"), F.col("copies")).alias("copy")
+    texts_in = streamed.join(copies, "shard").select(
+        "place", "row", "shard", copy, F.lit(None).cast(pairs.schema["owned"].dataType).alias("owned")
+    )
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
+    owners = pairs.filter(F.size("owned") > 0).join(copies, "shard").select("place", "row", "shard", every, "owned")
+    return texts_in.unionByName(owners)
 
 
-def confirm(
-    phrases: list[tuple[tuple[int, ...], int, int]], window: int
-) -> Iterator[tuple[tuple[int, ...], int]]:
-    """Recurring passages in the phrases of one anchor, each with the smallest id of the documents that have it.
+def passages(owned: pa.StructArray, window: int) -> Iterator[tuple[int, int]]:
+    """(first word, words) of the passages that a text's own windows make.
 
-    A phrase (word numbers) comes with the smallest and the largest id of the documents it stands in. A
-    window recurs if documents of two ids have it; windows in a row with one smallest id are one passage.
+    Two windows in a row are of one passage if every text with the one has the other beside it, one word on: then
+    the passage stands wherever any of its windows does, and one pattern finds all of them.
     """
-    if len(phrases) == 1:
-        ids, low, high = phrases[0]
-        if low < high:
-            yield ids, low
-        return
-    lows: dict[tuple, int] = {}
-    highs: dict[tuple, int] = {}
-    for ids, low, high in phrases:
-        for i in range(len(ids) - window + 1):
-            run = ids[i : i + window]
-            if run in lows:
-                lows[run], highs[run] = min(lows[run], low), max(highs[run], high)
-            else:
-                lows[run], highs[run] = low, high
-    for ids, _, _ in phrases:
-        start = of = -1
-        for i in range(len(ids) - window + 1):
-            run = ids[i : i + window]
-            low = lows[run] if lows[run] < highs[run] else -1
-            if start < 0 or low != of or of < 0:
-                if start >= 0 and of >= 0:
-                    yield ids[start : i - 1 + window], of
-                start, of = i, low
-        if start >= 0 and of >= 0:
-            yield ids[start:], of
-
-
-def occurrences(groups: list[list[tuple[bytes, int, int]]], window: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(group, phrase, first window, last window, smallest id) wherever an automaton of all confirmed
-    passages finds them. A group holds the phrases of one anchor."""
-    import ahocorasick
-
-    numbers = Numbering()
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    streams, passages = [], 0
-    for g, group in enumerate(groups):
-        phrases = [(tuple([numbers[w] for w in words.split()]), low, high) for words, low, high in group]
-        found = list(confirm(phrases, window))
-        for passage, low in found:
-            automaton.add_word(passage, (len(passage), low))
-        passages += len(found)
-        if found:
-            streams += [(g, k, ids) for k, (ids, _, _) in enumerate(phrases)]
-    if not passages:
-        return
-    automaton.make_automaton()
-    for g, k, ids in streams:
-        for end, (length, low) in automaton.iter(ids):
-            yield g, k, end - length + 1, end - window + 1, low
-
-
-def crowded_anchors(found: DataFrame, crowded: int) -> DataFrame:
-    """Anchors whose distinct segments have over `crowded` windows."""
-    each = found.groupBy("anchor", "segment").agg(F.max("windows").alias("windows"))
-    return each.groupBy("anchor").agg(F.sum("windows").alias("windows")).filter(F.col("windows") > crowded).select("anchor")
-
-
-def distinct_segments(found: DataFrame) -> DataFrame:
-    """Equal segments of many documents are one row, with the smallest and the largest place they have."""
-    return found.groupBy("anchor", "segment", "words").agg(F.min("place").alias("low"), F.max("place").alias("high"))
-
-
-def located_by_window(found: DataFrame, window: int) -> DataFrame:
-    """What `located` gives, a row for each window, for anchors of any size.
-
-    Windows meet under their own words, reduced to a smallest and a largest place before the shuffle, and no
-    task holds a group. The join back to the segments may be skewed by one window; adaptive execution splits it.
-    """
-
-    def make():
-        def work(batch: pa.RecordBatch) -> Iterator[list]:
-            out: list[tuple] = []
-            for k, text in enumerate(batch.column(2).cast(pa.binary())):
-                words = text.as_py().split()
-                given = [batch.column(c)[k].as_py() for c in (0, 1, 3, 4)]
-                for i in range(len(words) - window + 1):
-                    out.append((*given, i, b" ".join(words[i : i + window])))
-                    if len(out) >= BLOCK_WINDOWS:
-                        yield columns(out)
-                        out = []
-            if out:
-                yield columns(out)
+    start, n, here0, here1, ahead0, ahead1 = (owned.field(k).to_numpy() for k in range(6))
+    order = np.argsort(start, kind="stable")
+    start, n, here0, here1, ahead0, ahead1 = (c[order] for c in (start, n, here0, here1, ahead0, ahead1))
+    goes_on = (start[1:] == start[:-1] + 1) & (n[1:] == n[:-1])
+    goes_on &= (here0[1:] == ahead0[:-1]) & (here1[1:] == ahead1[:-1])
+    heads = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(start)]):
+        yield int(start[a]), b - a + window - 1
 
-        def columns(out: list[tuple]) -> list:
-            *numbers, run = zip(*out)
-            return [*map(list, numbers), pa.array(run, pa.binary()).cast(pa.string())]
 
-        return work
+def located(rows: DataFrame, asks: DataFrame, window: int) -> DataFrame:
+    """(place, row, cut) where a text has a window of a document with a smaller id, each cut as from * 2**32 + to.
 
-    rows = distinct_segments(found).select("anchor", "segment", "words", "low", "high")
-    each = in_batches(rows, "anchor long, segment long, low long, high long, at long, run string", make)
-    recur = each.groupBy("anchor", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high")
-    recur = stage(recur, "recurring-windows")  # else the join below could not be split
-    return (
-        each.select("anchor", "segment", "at", "run")
-        .join(recur.drop("high"), ["anchor", "run"])
-        .select("anchor", "segment", F.col("at").alias("first"), F.col("at").alias("last"), "low")
+    A task reads a shard's owners first and compiles their passages, word for word, into an automaton; then the
+    shard's documents are streamed through it, whole and one at a time. It holds one automaton and one document.
+    """
+    dealt = (
+        asks.join(rows, ["place", "row"])
+        .repartition("shard", "copy")
+        .sortWithinPartitions("shard", "copy", F.col("owned").isNull())
+        .select("shard", "copy", "place", "row", "owned", "text")
     )
 
+    def make():
+        import ahocorasick
 
-def located(found: DataFrame, window: int, patterns: int, crowded: int = CROWDED) -> DataFrame:
-    """(anchor, segment, first, last, low) of recurring windows in each distinct segment.
+        now: dict = {"of": None}
 
-    Anchors with over `crowded` windows go by window; all others are held by one task each.
-    """
-    many = stage(crowded_anchors(found, crowded), "crowded-anchors")
-    if many.isEmpty():
-        return located_by_anchor(found, window, patterns)
-    few = located_by_anchor(found.join(many, "anchor", "left_anti"), window, patterns)
-    return few.unionByName(located_by_window(found.join(many, "anchor", "left_semi"), window))
+        def begin(of: tuple) -> None:
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            now.update(of=of, ready=False, numbers={}, automaton=automaton)
 
+        def compile_in(words: list[bytes], owned: pa.StructArray, place: int) -> None:
+            numbers, automaton = now["numbers"], now["automaton"]
+            for first, length in passages(owned, window):
+                phrase = tuple([numbers.setdefault(w, len(numbers) + 1) for w in words[first : first + length]])
+                automaton.add_word(phrase, (length, min(place, automaton.get(phrase, (0, place))[1])))
 
-def located_by_anchor(found: DataFrame, window: int, patterns: int) -> DataFrame:
-    """What `located` gives, with all distinct segments of an anchor in one task.
-
-    A shard is a run of anchors with about `patterns` segments; its automaton is compiled and its segments
-    are streamed through it.
-    """
-    dealt = distinct_segments(found).repartition("anchor").sortWithinPartitions("anchor", "segment")
+        def cuts(words: list[bytes], place: int) -> Iterator[int]:
+            if not now["ready"]:
+                now["automaton"].make_automaton()
+                now["ready"] = True
+            number = now["numbers"].get
+            for end, (length, low) in now["automaton"].iter(tuple([number(w, 0) for w in words])):
+                if low < place:
+                    yield (end - length + 1) << 32 | end
 
-    def make():
-        shard: list[list[tuple[int, int, bytes, int, int]]] = []
-        size = 0
-
-        def run() -> list[list]:
-            out = [
-                (*shard[g][k][:2], first, last, low)
-                for g, k, first, last, low in occurrences([[r[2:] for r in group] for group in shard], window)
-            ]
-            shard.clear()
-            return [[list(c) for c in zip(*out)]] if out else []
-
-        def work(batch: pa.RecordBatch | None) -> Iterator[list]:
-            nonlocal size
-            if batch is None:
-                yield from run()
-                return
-            columns = [c.to_pylist() for c in batch.columns[:2]]
-            columns += [batch.column(2).cast(pa.binary()).to_pylist(), *(c.to_pylist() for c in batch.columns[3:])]
-            for row in zip(*columns):
-                if not shard or row[0] != shard[-1][0][0]:
-                    if size >= patterns:
-                        yield from run()
-                        size = 0
-                    shard.append([])
-                shard[-1].append(row)
-                size += 1
+        def work(batch: pa.RecordBatch) -> Iterator[list]:
+            out: list[tuple] = []
+            for i in range(batch.num_rows):
+                shard, copy, place, row = (batch.column(c)[i].as_py() for c in range(4))
+                if now["of"] != (shard, copy):
+                    begin((shard, copy))
+                words = batch.column(5)[i].as_py().encode().split()
+                if batch.column(4)[i].is_valid:
+                    compile_in(words, batch.column(4)[i].values, place)
+                else:
+                    out += [(place, row, cut) for cut in cuts(words, place)]
+            if out:
+                yield list(map(list, zip(*out)))
 
         return work
 
-    rows = dealt.select("anchor", "segment", "words", "low", "high")
-    return in_batches(rows, "anchor long, segment long, first long, last long, low long", make, last=True)
+    return in_batches(dealt, "place long, row long, cut long", make)
 
 
-def removals(found: DataFrame, places: DataFrame, window: int) -> DataFrame:
-    """For each text the ranges of words to cut, each as from * 2**32 + to."""
-    hits = found.join(places, ["anchor", "segment"]).filter(F.col("place") > F.col("low"))
-    begin = F.col("start") + F.col("first")
-    end = F.col("start") + F.col("last") + F.lit(window - 1)
-    return (
-        hits.select("place", "row", (F.shiftleft(begin, 32) + end).alias("cut"))
-        .groupBy("place", "row")
-        .agg(F.collect_list("cut").alias("cuts"))
-    )
+def copied(rows: DataFrame, window: int) -> DataFrame:
+    """(place, row) of texts that a document with a smaller id has word for word and space for space.
+
+    Texts that are too short for a window of words are left out.
+    """
+    each = rows.filter(F.length("text") >= 2 * window - 1).select("place", "row", F.sha2("text", 256).alias("content"))
+    groups = each.groupBy("content").agg(F.min("place").alias("low"), F.max("place").alias("high")).filter("low < high")
+    found = each.join(stage(groups.drop("high"), "copied-contents"), "content").filter("place > low")
+    return found.select("place", "row").distinct()
 
 
 def repeated_ranges(
-    rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, patterns: int = PATTERNS, crowded: int = CROWDED
+    rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES, shard_docs: int = SHARD_DOCS
 ) -> DataFrame:
     """(place, row, cuts) of each text of `keyed` rows that has something to cut; one row for each."""
     rows = rows.select("place", "row", "text")
-    anchors = stage(anchor_table(rows, window, anchor), "anchors")  # read twice, made once
+    copies = stage(copied(rows, window), "copies")  # all their windows go, so nothing else is to be learnt from them
+    anchors = stage(anchor_table(rows.join(copies, ["place", "row"], "left_anti"), window, anchor), "anchors")
     shared = stage(recurring(anchors), "shared-anchors")
     unstage(anchors)
-    found = stage(segments(rows, shared, window, anchor), "segments")
-    places = stage(located(found, window, patterns, crowded), "located")
-    cuts = stage(removals(found, places, window), "cuts")
-    unstage(shared, found, places)
+    found = stage(windows(rows, shared, window, anchor), "windows")
+    unstage(shared)
+    recur = stage(confirmed(found), "recurring-windows")
+    asks = stage(asked(found, recur, shard_bytes, shard_docs), "asks")
+    unstage(found, recur)
+    parts = located(rows, asks, window).groupBy("place", "row").agg(F.collect_set("cut").alias("cuts"))
+    whole = copies.select("place", "row", F.array(F.lit(WHOLE).cast("long")).alias("cuts"))
+    cuts = stage(parts.unionByName(whole), "cuts")
+    unstage(asks, copies)
     return cuts
 
 
-def cut_words(words: list[bytes], cuts: np.ndarray) -> list[bytes]:
+def cut_words(words: list[bytes], cuts: np.ndarray, window: int = WINDOW) -> list[bytes]:
     """The words outside all ranges."""
+    if len(cuts) == 1 and cuts[0] == WHOLE:
+        return [] if len(words) >= window else words
     cover = np.zeros(len(words) + 1, np.int64)
     np.add.at(cover, cuts >> 32, 1)
     np.add.at(cover, (cuts & 0xFFFFFFFF) + 1, -1)
@@ -335,8 +317,8 @@ def without_repeats(
     docs: DataFrame,
     window: int = WINDOW,
     anchor: int = ANCHOR,
-    patterns: int = PATTERNS,
-    crowded: int = CROWDED,
+    shard_bytes: int = SHARD_BYTES,
+    shard_docs: int = SHARD_DOCS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -344,20 +326,23 @@ def without_repeats(
 
     A word goes if a window of `window` words over it also starts in a document with a smaller doc_id;
     kept words are one space apart. Windows are judged on the texts as given. A null text has no words; a
-    null id counts as the largest; rows with one id never cut each other, so repeated rows are cut alike.
+    null id counts as the largest; rows with one id never cut each other, so repeated rows are cut alike. No
+    rows give no rows.
 
-    Only anchors and ids are shuffled for all documents, then the passages under recurring anchors. The
-    texts are shuffled twice, to meet what is known of them; all results are written in between.
+    A copy of an earlier document's whole text goes as a whole. Of all others, a window is looked at if its anchor - its 8-word run with the smallest hash - stands in documents of two
+    ids, and is confirmed if its own 128-bit hash does. Only hashes and places are shuffled for that. Then
+    automata find confirmed windows word for word, so hashes decide what is looked for and never what is cut.
+    Texts are shuffled three times: to meet their recurring anchors, their automata, and their cuts.
     """
     rows = keyed(docs, id_col, text_col)
-    cuts = repeated_ranges(rows, window, anchor, patterns, crowded)
+    cuts = repeated_ranges(rows, window, anchor, shard_bytes, shard_docs)
 
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[list]:
             counts, gone, kept = [], [], []
             for text, cut in zip(batch.column(1).cast(pa.binary()), batch.column(2)):
                 words = text.as_py().split()
-                stays = cut_words(words, np.asarray(cut.values)) if cut.is_valid else words
+                stays = cut_words(words, np.asarray(cut.values), window) if cut.is_valid else words
                 counts.append(len(words))
                 gone.append(len(words) - len(stays))
                 kept.append(b" ".join(stays))
@@ -374,11 +359,14 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ship_package(docs.sparkSession)
     cuts = repeated_ranges(keyed(docs, id_col, text_col))
 
+    def shorter(text: str, cut: np.ndarray) -> str:
+        words = text.encode().split()
+        kept = cut_words(words, cut)
+        return text if len(kept) == len(words) else b" ".join(kept).decode()
+
     @F.pandas_udf("string")
     def shortened(text: pd.Series, cut: pd.Series) -> pd.Series:
-        return pd.Series(
-            [t if c is None else b" ".join(cut_words(t.encode().split(), np.asarray(c))).decode() for t, c in zip(text, cut)]
-        )
+        return pd.Series([t if c is None else shorter(t, np.asarray(c)) for t, c in zip(text, cut)])
 
     place = F.coalesce(docs[id_col].cast("long"), F.lit((1 << 63) - 1))
     row = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
