@@ -1,6 +1,8 @@
 """Main text of pages: the parser, the messages against sums over all states, and labelled pages held back."""
 
 import itertools
+import math
+import time
 
 import numpy as np
 import pytest
@@ -46,6 +48,54 @@ def test_messages_are_exact(model):
         assert np.allclose(model.marginals(forest)[0], by_node / total)
 
 
+def weight(forest, own, pairs, children, node, fixed, above):
+    """Sum of exp(score) below and at `node` over its states, given its parent's, by plain recursion."""
+    total = 0.0
+    for state in (0, 1):
+        if fixed is not None and fixed == (node, 1 - state):
+            continue
+        score = math.exp(own[node] * state + (0 if above is None else pairs[forest.leaf[node], above, state]))
+        for child in children[node]:
+            score *= weight(forest, own, pairs, children, child, fixed, state)
+        total += score
+    return total
+
+
+def test_marginals_of_whole_pages(spark, model):
+    """Every page of the table: each node's marginal as one sum with its state fixed over one without."""
+    for (html,) in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect():
+        tree = parse(html or "")
+        depth = max(n.depth for n in tree.nodes)
+        if len(tree.nodes) > 60 or depth > 9:
+            continue  # the plain sum takes 2 ** depth steps a node
+        forest = pages.Forest.of([tree], model.numbers)
+        own = np.bincount(forest.owner, model.weights[forest.feature], len(forest.parent))
+        children = [[] for _ in forest.parent]
+        for child, up in enumerate(forest.parent.tolist()):
+            if child:
+                children[up].append(child)
+        whole = weight(forest, own, model.pairs, children, 0, None, None)
+        found = model.marginals(forest)[0]
+        for node in range(0, len(found), 7):
+            assert math.isclose(found[node], weight(forest, own, model.pairs, children, 0, (node, 1), None) / whole, rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_tags_left_out(model):
+    assert texts("<html><head><title>t</title><p>text of the article</p>") == ["text of the article"]
+    assert texts("<head><meta x><link y><title>t</title>words <b>and</b> more") == ["words and more"]
+    assert texts("<head><script>a</script><style>b</style></head><body>c") == ["c"]
+    assert texts("<head> <title>t</title> <noscript><img>unseen</noscript><article>d") == ["d"]
+    body = "<nav><a href=/>home</a></nav><article><h1>Title here</h1><p>Some text, and more of it.</p></article>"
+    assert list(pages.main_texts([f"<html><head><title>x</title>{body}"], model)) == ["Title here\nSome text, and more of it."]
+
+
+@pytest.mark.parametrize("piece", ["<a 'z", '<a "z', "<a ", '<a ">" ', "<a b='>", "<!x", "</a '", "<p x=\"'>'"])
+def test_broken_markup_takes_linear_time(piece):
+    begun = time.time()
+    parse(piece * (5_000_000 // len(piece)))
+    assert time.time() - begun < 60
+
+
 def test_held_back_pages(model):
     right = wrong = missed = 0
     given = list(labelled_pages(120, seed=11))
@@ -59,6 +109,7 @@ def test_table(spark, model):
     body = "<nav><a href=/>home</a></nav><article><h1>Title here</h1><p>Some text, and more of it.</p></article><footer>&copy; us</footer>"
     rows = [(1, "u", body), (1, "u", body), (2, None, None), (None, "v", ""), (3, "w", "<p>" + "long text. " * 200_000), (4, "x", "no markup at all")]
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    table = table.selectExpr("*", "1 AS text", "2 AS n_chars", "3 AS row_id", "4 AS class")
     got = sorted((str(r.page_id), r.url, r.text, r.n_chars) for r in pages.extract(table, model).collect())
     assert len(got) == 6
     by = {k[0]: k for k in got}

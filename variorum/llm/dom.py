@@ -23,11 +23,11 @@ ENDS = {
 #: What keeps the rule above from reaching an outer list or table.
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+#: What may stand in a head; anything else, or a word, ends one that is left open (a fixed list of HTML).
+IN_HEAD = frozenset("head meta link title base basefont bgsound script style noscript template".split())
+
+_NAMED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_EDGE = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 
@@ -72,6 +72,8 @@ class Builder:
         self.in_link = 0
 
     def text(self, raw: str) -> None:
+        if self.stack[-1].tag == "head" and raw.strip():
+            self.end("head")
         if raw and not self.stack[-1].unseen:
             words = html.unescape(raw) if "&" in raw else raw
             self.parts.append(words)
@@ -94,6 +96,8 @@ class Builder:
         if tag == "br":
             self.parts.append(" ")
             return
+        if self.stack[-1].tag == "head" and tag not in IN_HEAD:
+            self.end("head")
         inline = tag in INLINE
         if not inline:
             if self.count.get("p"):
@@ -146,23 +150,64 @@ class Builder:
             self.stack.pop()
 
 
+class Tags:
+    """Ends of tags in a page, quoted attributes minded, found in time linear in the page however broken it is."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.hopeless: set[int] = set()  # quotes from which no end of a tag is reached
+
+    def end(self, at: int) -> int:
+        """Where the tag ends whose attributes begin at `at`; if its quotes never close, at the next `>` of any kind; or -1."""
+        pos, met = at, []
+        while pos <= self.last[">"]:
+            edge = _EDGE.search(self.page, pos)
+            if edge[0] == ">":
+                return edge.start()
+            quote = edge.start()
+            if quote in self.hopeless:
+                break
+            met.append(quote)
+            if quote == self.last[edge[0]]:
+                break
+            pos = self.page.find(edge[0], quote + 1) + 1
+        self.hopeless.update(met)
+        return self.page.find(">", at) if at <= self.last[">"] else -1
+
+
 def parse(page: str) -> Tree:
-    """The tree of any text: unknown tags are blocks, tags left open end with the page, stray ends are nothing."""
-    builder, at = Builder(), 0
-    while found := _TOKEN.search(page, at):
-        builder.text(page[at : found.start()])
-        at = found.end()
-        slash, name, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
-        if not name:
+    """The tree of any text: unknown tags are blocks, tags left open end with the page, stray ends are nothing.
+
+    A head that is left open ends at the first tag or word that may not stand in it.
+    """
+    builder, tags, at, looked = Builder(), Tags(page), 0, 0
+    while (begin := page.find("<", looked)) >= 0:
+        looked = begin + 1
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            builder.text(page[at:begin])
+            at = looked = end + 3 if end >= 0 else len(page)
+            continue
+        if page.startswith(("<!", "<?"), begin):
+            end = page.find(">", begin)
+            builder.text(page[at:begin])
+            at = looked = end + 1 if end >= 0 else len(page)
+            continue
+        named = _NAMED.match(page, begin)
+        end = tags.end(named.end()) if named else -1
+        if end < 0:
             continue
-        tag = name.lower()
-        if slash:
+        builder.text(page[at:begin])
+        at = looked = end + 1
+        tag, attributes = named[2].lower(), page[named.end() : end]
+        if named[1]:
             builder.end(tag)
             continue
-        builder.start(tag, attributes or "")
-        if tag in RAW and not (attributes or "").endswith("/"):
+        builder.start(tag, attributes)
+        if tag in RAW and not attributes.endswith("/"):
             close = re.compile(rf"</{tag}\b", re.I).search(page, at)
-            at = close.start() if close else len(page)
+            at = looked = close.start() if close else len(page)
     builder.text(page[at:])
     builder.flush()
     nodes = builder.tree.nodes
