@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from variorum.session import stage
@@ -54,16 +54,22 @@ def exact_duplicates(
     rows = stage(with_row_number(source, F.col("doc_id"), F.col("digest")), "digests")
     winners = stage(heavy_winners(rows, tracked), "heavy")
     marked = rows.join(F.broadcast(winners), "digest", "left")
-    alike = Window.partitionBy("digest")
     heavy = marked.filter("heavy_size is not null").select(
         "doc_id", "digest", "row_id", F.col("heavy_stays").alias("stays"), F.col("heavy_size").alias("group_size")
     )
-    rest = (
-        marked.filter("heavy_size is null")
-        .select("doc_id", "digest", "row_id")
-        .withColumn("stays", F.max(F.struct("doc_id", "row_id")).over(alike))
-        .withColumn("group_size", F.count(F.lit(1)).over(alike))
+    single = marked.filter("heavy_size is null").select("doc_id", "digest", "row_id")
+    # Reduced before the shuffle and joined back: a join can be split where a digest is common, a window cannot.
+    groups = stage(
+        single.groupBy("digest")
+        .agg(F.max(F.struct("doc_id", "row_id")).alias("stays"), F.count(F.lit(1)).alias("group_size"))
+        .filter("group_size > 1"),
+        "copies",
     )
+    rest = single.join(groups, "digest", "left").select(
+        "doc_id", "digest", "row_id",
+        F.coalesce("stays", F.struct("doc_id", "row_id")).alias("stays"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+    )
     return heavy.unionByName(rest).select(
         "doc_id",
         F.col("stays.doc_id").alias("keep_id"),
