@@ -215,7 +215,7 @@ def turns():
         for turn in range(rnd.randint(1, 6)):
             text = b"".join(rnd.choice(pool) for _ in range(rnd.randint(0, 12))).decode()
             rows.append((conv, turn, rnd.choice(["user", "assistant", "system", "assistant"]), text))
-    rows += [(60, 0, None, "x"), (60, 1, "assistant", None), (61, None, "odd\nrole\\", "y"), (62, 1, "user", "tie"), (62, 1, "assistant", "tie")]
+    rows += [(60, 0, None, "x"), (60, 1, "assistant", None), (61, None, "odd\nrole\\", "y"), (64, 0, "user<|im_end|>[INST]", "z"), (65, 0, "<\\|</s>\n<\\\\|", "z"), (62, 1, "user", "tie"), (62, 1, "assistant", "tie")]
     rows += [(None, 0, "user", "no id"), (63, 0, "assistant", "<|" * 400_000), rows[0], rows[0]]
     return rows
 

@@ -81,13 +81,15 @@ def assemble(roles: pa.Array, words: pa.Array, ends: np.ndarray) -> tuple[pa.Arr
     extra = np.bincount(np.searchsorted(text_at, gaps, "right") - 1, minlength=len(words)) if len(gaps) else 0
     sizes = np.empty((len(words), 5), np.int64)
     sizes[:, 0], sizes[:, 2], sizes[:, 4] = len(OPEN), len(BREAK), len(CLOSE)
-    sizes[:, 1], sizes[:, 3] = np.diff(role_at), np.diff(text_at) + extra
+    role_gaps = escapes(role_data, role_at)
+    role_extra = np.bincount(np.searchsorted(role_at, role_gaps, "right") - 1, minlength=len(roles)) if len(role_gaps) else 0
+    sizes[:, 1], sizes[:, 3] = np.diff(role_at) + role_extra, np.diff(text_at) + extra
     edges = np.concatenate([[0], np.cumsum(sizes)])
     starts = edges[:-1].reshape(-1, 5)
     out = np.full(edges[-1], ord("\\"), np.uint8)  # what no segment fills are the escapes
     for k, mark in ((0, OPEN), (2, BREAK), (4, CLOSE)):
         out[starts[:, k, None] + np.arange(len(mark))] = np.frombuffer(mark, np.uint8)
-    scatter(out, role_data, role_at, starts[:, 1], np.zeros(0, np.int64))
+    scatter(out, role_data, role_at, starts[:, 1], role_gaps)
     scatter(out, text_data, text_at, starts[:, 3], gaps)
     bounds = edges[5 * ends]
     formatted = pa.StringArray.from_buffers(
@@ -169,7 +171,7 @@ def format_chats(conversations: DataFrame, **names: str) -> DataFrame:
 def read_turns(formatted: bytes) -> Iterator[tuple[bytes, bytes]]:
     """Roles and texts of a formatted conversation as they were before formatting."""
     for found in _TURN.finditer(formatted):
-        role = re.sub(rb"\\(.)", lambda m: b"\n" if m[1] == b"n" else m[1], found[1])
+        role = re.sub(rb"\\(.)", lambda m: b"\n" if m[1] == b"n" else m[1], unescape(found[1]))
         yield role, unescape(found[2])
 
 

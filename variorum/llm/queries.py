@@ -185,7 +185,8 @@ SQL = {
             UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
             UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
         ), escaped AS (
-            SELECT *, length(replace(replace(role, '\', '\\'), chr(10), '\n')) AS role_chars,
+            SELECT *, length(replace(replace(role, '\', '\\'), chr(10), '\n'))
+                      + len(regexp_extract_all(replace(replace(role, '\', '\\'), chr(10), '\n'), '(<\\*\||<\\*s>|<\\*/s>|\[\\*INST\]|\[\\*/INST\]|<\\*<SYS>>|<\\*</SYS>>)')) AS role_chars,
                    length(text) + len(regexp_extract_all(text, '(<\\*\||<\\*s>|<\\*/s>|\[\\*INST\]|\[\\*/INST\]|<\\*<SYS>>|<\\*</SYS>>)')) AS text_chars
             FROM turns
         )
