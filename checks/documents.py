@@ -365,7 +365,7 @@ def g3_documents(spark, sf):
         ndoc AS (SELECT j.* REPLACE (
           CASE WHEN o AND act THEN 'processing' WHEN o AND wait THEN 'ready' WHEN o THEN 'completed' ELSE status END AS status,
           CASE WHEN o AND act THEN NULL WHEN o AND wait THEN NULL WHEN o THEN {D.NOW} ELSE completed_at END AS completed_at,
-          CASE WHEN o AND NOT act AND nfail > 0 THEN nfail || ' 页处理失败,可单独或批量重试' ELSE '' END AS error,
+          CASE WHEN o AND NOT act AND nfail > 0 THEN '有 ' || nfail || ' 页未能处理,可逐页或整批重试' ELSE '' END AS error,
           {D.NOW} AS updated_at) FROM j)""",
         D.doc_out("ndoc"),
     ),

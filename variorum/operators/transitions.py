@@ -19,7 +19,7 @@ SETTINGS = ("engines", "arbiter", "duplicate_checker", "auto_arbitrate")
 # Messages stored in the tables.
 ALL_ENGINES_FAILED = "所有引擎均失败,请检查 Provider 连接与模型配置"
 INTERRUPTED = "服务重启中断了这次识别"
-PAGES_FAILED = "%d 页处理失败,可单独或批量重试"
+PAGES_FAILED = "有 %d 页未能处理,可逐页或整批重试"
 UNNAMED_IMAGE = "未命名图片"
 
 

@@ -148,21 +148,37 @@ def write_results(results: DataFrame, path: str, order: str = "seq") -> None:
 
 def read_stored(spark: SparkSession, path: str) -> DataFrame:
     """The newest result of each page of a store. Runs may differ in columns."""
-    rows = spark.read.option("mergeSchema", True).parquet(path).withColumn("run", F.col("run").cast("long"))
+    return read_runs(spark, path, [path])
+
+
+def read_runs(spark: SparkSession, path: str, runs: list[str]) -> DataFrame:
+    """The newest result of each page in some runs of a store."""
+    found = spark.read.option("mergeSchema", True).option("basePath", path).parquet(*runs)
+    rows = found.withColumn("run", F.col("run").cast("long"))
     rest = [c for c in rows.columns if c not in (*KEYS, "run")]
     newest = rows.groupBy(*KEYS).agg(F.max_by(F.struct(*rest), "run").alias("_newest"))
     return newest.select(*KEYS, "_newest.*")
 
 
 def compact_results(spark: SparkSession, path: str) -> None:
-    """Write the newest results as one run and remove the runs before it.
+    """Write the newest results of the finished runs as one run and remove these.
 
-    If it breaks off in between, both are there and reading gives the same rows.
+    The new run stands right behind the newest of them, so that a run which is written meanwhile stays newer.
+    Runs from the first unfinished one on are left as they are. If it breaks off in between, both are there
+    and reading gives the same rows.
     """
     root = path.rstrip("/")
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = [s.getPath() for s in fs.listStatus(fs_path) if s.getPath().getName().startswith("run=")]
-    read_stored(spark, path).write.parquet(f"{root}/run={time.time_ns() // 1000}")
-    for folder in old:
-        fs.delete(folder, True)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    finished: dict[int, str] = {}
+    for run in sorted(
+        int(s.getPath().getName()[4:]) for s in fs.listStatus(hadoop(root)) if s.getPath().getName().startswith("run=")
+    ):
+        if not fs.exists(hadoop(f"{root}/run={run}/_SUCCESS")):
+            break
+        finished[run] = f"{root}/run={run}"
+    if len(finished) < 2:
+        return
+    read_runs(spark, path, list(finished.values())).write.parquet(f"{root}/run={max(finished) + 1}")
+    for folder in finished.values():
+        fs.delete(hadoop(folder), True)
