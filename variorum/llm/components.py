@@ -15,6 +15,8 @@ def components(links: DataFrame) -> DataFrame:
     rewritten between what they lead to, so their number falls by half or more a round; a star takes one.
     A round's result is written to the shared folder, so nothing is lost with an executor. Links are only
     counted, never collected.
+
+    No links give no nodes.
     """
     edges = stage(
         links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links"

@@ -115,6 +115,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     twice or more. kept: not base_failed, and the characters inside repeated n-grams of each length and
     inside repeated lines are within the limits above. A null or empty text has no words and fails;
     repeated rows are judged alike. No shuffle; a task holds one Arrow batch and one block of words.
+
+    Repeated rows and null ids count as rows; no rows give no rows.
     """
 
     def make():

@@ -236,7 +236,10 @@ def recount(trees: DataFrame, edits: str, path: str) -> DataFrame:
 
 
 def count_and_recount(docs: DataFrame, edits: str, path: str) -> DataFrame:
-    """`recount` of new trees, all in one task, for documents whose trees were not kept."""
+    """`recount` of new trees, all in one task, for documents whose trees were not kept.
+
+    A null text is empty, null edits are none; repeated rows and null ids are rows; no rows give no rows.
+    """
 
     def make():
         held = counter(path)
