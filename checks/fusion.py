@@ -727,28 +727,25 @@ def j2_misread(spark, sf):
     )
 
 
-@check(
-    "x4_fuse",
-    Q.query(
-        _PLAIN_READINGS + "," + Q.FUSED + "," + Q.REPEATS
-        + """,
-        eng AS (SELECT page_id, count(*) AS engines, count(*) FILTER (WHERE err <> '') AS failed FROM readings GROUP BY page_id),
-        ag AS (SELECT page_id, count(*) AS c FROM agreed GROUP BY page_id),
-        oc AS (SELECT page_id, count(*) AS r, count(*) FILTER (WHERE outcome <> 'fallback') AS e,
-               count(*) FILTER (WHERE outcome = 'fallback') AS f, count(*) FILTER (WHERE outcome = 'dropped') AS d
-               FROM outcomes GROUP BY page_id),
-        gone AS (SELECT page_id, count(DISTINCT later) AS g FROM valid GROUP BY page_id),
-        pg AS (SELECT page_id, string_agg(text, chr(10) ORDER BY nidx) AS text, """
-        + Q.round4(Q.mean("confidence", "nidx"))
-        + """ AS confidence FROM kept GROUP BY page_id)""",
-        """SELECT eng.page_id, engines, failed AS failed_engines, coalesce(c, 0) + coalesce(oc.r, 0) AS segments,
+# From candidates and readings to page results.
+FUSED_PAGES = Q.FUSED + "," + Q.REPEATS + """,
+eng AS (SELECT page_id, count(*) AS engines, count(*) FILTER (WHERE err <> '') AS failed FROM readings GROUP BY page_id),
+ag AS (SELECT page_id, count(*) AS c FROM agreed GROUP BY page_id),
+oc AS (SELECT page_id, count(*) AS r, count(*) FILTER (WHERE outcome <> 'fallback') AS e,
+       count(*) FILTER (WHERE outcome = 'fallback') AS f, count(*) FILTER (WHERE outcome = 'dropped') AS d
+       FROM outcomes GROUP BY page_id),
+gone AS (SELECT page_id, count(DISTINCT later) AS g FROM valid GROUP BY page_id),
+pg AS (SELECT page_id, string_agg(text, chr(10) ORDER BY nidx) AS text, """ + Q.round4(Q.mean("confidence", "nidx")) + """ AS confidence
+       FROM kept GROUP BY page_id)"""
+PAGE_ROWS = """SELECT eng.page_id, engines, failed AS failed_engines, coalesce(c, 0) + coalesce(oc.r, 0) AS segments,
         coalesce(c, 0) AS consensus_segments, coalesce(e, 0) AS escalated_segments, coalesce(f, 0) AS fallback_segments,
         coalesce(d, 0) AS dropped_segments, 'arbiter' AS escalator, '' AS escalation_err, 'checker' AS duplicate_checker,
         '' AS duplicate_check_err, coalesce(text, '') AS text, coalesce(confidence, 0) AS confidence,
         coalesce(g, 0) AS duplicate_segments
-        FROM eng LEFT JOIN ag USING (page_id) LEFT JOIN oc USING (page_id) LEFT JOIN gone USING (page_id) LEFT JOIN pg USING (page_id)""",
-    ),
-)
+        FROM eng LEFT JOIN ag USING (page_id) LEFT JOIN oc USING (page_id) LEFT JOIN gone USING (page_id) LEFT JOIN pg USING (page_id)"""
+
+
+@check("x4_fuse", Q.query(_PLAIN_READINGS + "," + FUSED_PAGES, PAGE_ROWS))
 def x4(spark, sf):
     ship_package(spark)
     readings = stage(I.readings(spark, sf, lossy=False), "readings")
@@ -763,6 +760,47 @@ def x4_lossy(spark, sf):
     return X.fuse(readings, I.answers_for(spark, sf), dedupe.propose_nearby).pages
 
 
+# The vote and the regions once more, from the slots that came out. Tables stand in braces, so others are doubled.
+_BRACED = Q.W.replace("{", "{{").replace("}", "}}")
+RECOUNT = rf"""
+WITH cand AS (SELECT page_id, slot, n, c.agent, c.text FROM (SELECT page_id, slot, n, explode(candidates) AS c FROM {{voted}})),
+grp AS (SELECT page_id, slot, regexp_replace(text, r'[{_BRACED}]+', '') AS form, max(n) AS n, count(*) AS k, min_by(text, agent) AS text
+        FROM cand GROUP BY 1, 2, 3),
+won AS (SELECT page_id, slot, k, text, {Q.round4(f"CASE WHEN n > k THEN {Q.K_CONF} * (1 - 0.5 * (n - k) / n) ELSE {Q.K_CONF} END")} AS confidence
+        FROM grp WHERE k >= 2 AND 2 * k > n),
+vote AS (SELECT v.page_id, count_if(v.consensus <> (w.k IS NOT NULL) OR NOT (v.text <=> w.text)
+                                    OR NOT (v.confidence <=> CAST(w.confidence AS DOUBLE))) AS vote_differs
+         FROM {{voted}} v LEFT JOIN won w ON w.page_id = v.page_id AND w.slot = v.slot GROUP BY v.page_id),
+open AS (SELECT v.page_id, v.slot, v.slot - row_number() OVER (PARTITION BY v.page_id ORDER BY v.slot) AS run
+         FROM {{voted}} v LEFT ANTI JOIN won w ON w.page_id = v.page_id AND w.slot = v.slot),
+runs AS (SELECT page_id, min(slot) AS segment, max(slot) AS last_slot FROM open GROUP BY page_id, run),
+region AS (SELECT page_id, count_if(NOT (d.last_slot <=> r.last_slot)) AS region_differs
+           FROM {{disputes}} d FULL JOIN runs r USING (page_id, segment) GROUP BY page_id),
+said AS (SELECT page_id, agent, max(n) AS n, array_join(transform(array_sort(collect_list(struct(slot, text))), x -> x.text), '') AS text,
+                count(*) - count(DISTINCT slot) AS crowded FROM cand GROUP BY page_id, agent)
+SELECT page_id, agent, CAST(n AS BIGINT) AS n, text, crowded, coalesce(vote_differs, 0) AS vote_differs,
+       coalesce(region_differs, 0) AS region_differs
+FROM said LEFT JOIN vote USING (page_id) LEFT JOIN region USING (page_id)"""
+
+
+@check(
+    "x4_misread_conserved",
+    Q.query(
+        Q.CAND_LOSSY,
+        """SELECT page_id, agent, any_value(n) AS n, string_agg(text, '' ORDER BY slot) AS text, CAST(0 AS BIGINT) AS crowded,
+        CAST(0 AS BIGINT) AS vote_differs, CAST(0 AS BIGINT) AS region_differs
+        FROM cand JOIN nval USING (page_id) GROUP BY page_id, agent""",
+    ),
+)
+def x4_conserved(spark, sf):
+    """The fusion of misread readings, held to what is true of any alignment: each engine's candidates in slot order
+    are its sentences, none twice in a slot; votes, confidences and regions are those of the slots that came out."""
+    ship_package(spark)
+    readings = stage(I.readings(spark, sf), "readings")
+    fused = X.fuse(readings, I.answers_for(spark, sf))
+    return spark.sql(RECOUNT, voted=fused.voted, disputes=fused.disputes)
+
+
 @check(
     "x1_u1_providers",
     Q.query(
