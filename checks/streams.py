@@ -153,15 +153,21 @@ ag AS (SELECT * FROM open""")
 )
 def t2_closed(spark, sf):
     """Some runs end with a result or an error; what comes after no longer counts."""
+    seen, _ = B.after_terminal(stage(_closing(spark, sf), "events"))
+    return B.page_progress(seen, B.agent_state(seen), now()).select(*SNAPSHOT)
+
+
+SNAPSHOT = [
+    "doc_id", "page_id", "stage", "total_engines", "completed_engines", "sequence", "status", "error", "elapsed_ms"
+]
+
+
+def _closing(spark, sf):
     done, turn = F.col("type") == "done", F.col("seq") % 3
     events = I.lifecycle(spark, sf).withColumn(
         "error", F.when(done & (turn == 0), F.concat(F.lit("broke at "), "seq")).otherwise(F.col("error"))
     )
-    events = events.withColumn("type", F.when(done & (turn == 0), "error").when(done & (turn == 1), "result").otherwise(F.col("type")))
-    seen, _ = B.after_terminal(stage(events, "events"))
-    return B.page_progress(seen, B.agent_state(seen), now()).select(
-        "doc_id", "page_id", "stage", "total_engines", "completed_engines", "sequence", "status", "error", "elapsed_ms"
-    )
+    return events.withColumn("type", F.when(done & (turn == 0), "error").when(done & (turn == 1), "result").otherwise(F.col("type")))
 
 
 @check(
@@ -296,13 +302,14 @@ def s6(spark, sf):
 # The same answers from the streaming jobs, drained over files that Spark writes from the events.
 
 
-def _stream(spark, sf):
+def _stream(spark, sf, events=None):
     from variorum.streaming import live
 
     live.use_rocksdb(spark)
     ship_package(spark)
     folder = fresh_folder(spark, "events")
-    I.lifecycle(spark, sf).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(folder)
+    events = I.lifecycle(spark, sf) if events is None else events
+    events.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(folder)
     return lifecycle.read_lifecycle(spark, folder, streaming=True)
 
 
@@ -341,7 +348,8 @@ def t3_stream(spark, sf):
     from variorum.streaming import live
 
     snapshots = _stream(spark, sf).select("doc_id", F.col("seq").alias("sequence"), "type", "stage")
-    return live.newest(_drain(spark, B.latest_progress(snapshots)), ["doc_id"], ["sequence"]).drop("epoch", "batch")
+    told = _drain(spark, live.latest_progress(snapshots, ends=F.col("type") == "done"))
+    return live.newest(told, ["doc_id"], ["sequence"]).drop("epoch", "batch")
 
 
 @check("t4_stream_idle", SQL["t4_idle_attempts"])
@@ -356,8 +364,8 @@ def t4_stream(spark, sf):
 def t7_stream(spark, sf):
     from variorum.streaming import live
 
-    rows = _drain(spark, B.barrier_audit(_stream(spark, sf)))
-    return live.newest(rows, B.PAGE, ["epoch"]).select("doc_id", "page_id", "violations")
+    rows = _drain(spark, live.barrier_audit(_stream(spark, sf)))
+    return live.newest(rows, B.PAGE, ["epoch"]).filter("violations <> ''").select("doc_id", "page_id", "violations")
 
 
 @check(
@@ -372,3 +380,50 @@ def t8_stream(spark, sf):
 
     gate = live.after_terminal(_stream(spark, sf), terminal=("done",))
     return _drain(spark, gate, "append").select("doc_id", "seq", "type")
+
+
+@check("t2_stream_closed", SQL["t2_closed_pages"])
+def t2_stream_closed(spark, sf):
+    """Page snapshots from the stream alone: complete pages stand still, running ones are read off at ``now``."""
+    from variorum.streaming import live
+
+    rows = _drain(spark, live.page_progress(_stream(spark, sf, _closing(spark, sf))))
+    pages = live.newest(rows, B.PAGE, ["epoch"])
+    end = F.coalesce("finished_at", now())
+    elapsed = F.floor((F.unix_micros(end) - F.unix_micros("started_at")) / 1000).cast("long")
+    return pages.withColumn("elapsed_ms", elapsed).select(*SNAPSHOT)
+
+
+@check("t4_stream_idle_reports", SQL["t4_idle_attempts"])
+def t4_stream_reports(spark, sf):
+    """Timers tell idle attempts; a clock row stands for the time that passes after the last event."""
+    from variorum.streaming import live
+
+    events = I.lifecycle(spark, sf)
+    clock = spark.range(1).select(
+        *[F.lit(live.CLOCK if f.name == "type" else now() if f.name == "ts" else 0 if f.name == "seq" else None).cast(f.dataType).alias(f.name) for f in events.schema]
+    )
+    told = _drain(spark, live.idle_reports(_stream(spark, sf, events.unionByName(clock)), timeout=36000), "append")
+    return told.select(
+        *B.AGENT, F.col("attempt_no").alias("epoch"), F.date_format("idle_at", "yyyy-MM-dd HH:mm:ss").alias("idle_at")
+    )
+
+
+@check("t9_stream_beat", Q.query(STATE, PROGRESS_OUT + " WHERE finished_at IS NULL"))
+def t9_stream(spark, sf):
+    """What a running stream says of its own accord, a second after the last event: every agent still running."""
+    import time
+
+    from variorum.streaming import live
+
+    out = fresh_folder(spark, "beats")
+    query = live.run_live(live.agent_progress(_stream(spark, sf), beat=True), out, fresh_folder(spark, "checkpoint"))
+    try:
+        while query.isActive and sum(p.numInputRows == 0 and p.batchId > 0 for p in query.recentProgress) < 2:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    if query.exception():
+        raise query.exception()
+    beats = spark.read.parquet(out).filter("observed_at IS NOT NULL")
+    return B.heartbeat(live.newest(beats, B.AGENT, ["observed_at"]), now()).select(*PROGRESS)

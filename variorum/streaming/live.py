@@ -5,8 +5,8 @@ a repeat and is dropped. One below the newest ``seq`` that was never seen is lat
 changed is told already, so it does not count, and comes out as JSON in the column ``late_event`` of a row
 of its own. ``run_once`` writes these rows to a folder beside the others and returns their number.
 
-State of a key is a fixed set of small values and the list of seen ``seq``, which is only read when a row
-is below the newest: texts are kept as counters and bounded tails, never whole. With ``expire`` idle state is dropped after
+State of a key is a fixed set of small values and the seen ``seq`` as runs, whose number is that of the gaps;
+they are only read when a row is below the newest: texts are kept as counters and bounded tails, never whole. With ``expire`` idle state is dropped after
 ``STATE_HOURS``; that needs the processing clock, which never lets a run over "what is there" end,
 so drained runs leave it out.
 """
@@ -14,13 +14,14 @@ so drained runs leave it out.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from variorum.functions import text as T
 from variorum.session import ship_package
@@ -30,6 +31,8 @@ STATE_HOURS = 24
 HEARTBEAT_MS = 1000
 TAIL = 2000
 LATE = "late_event"
+CLOCK = "clock"
+ENDS = "ends__"  # rows come to a processor through names that may not begin with an underscore
 
 _STATE = (
     "last_seq long, status string, started_at long, first_token_at long, first_output_at long, finished_at long, "
@@ -42,6 +45,16 @@ _OUTPUT = (
     "first_token_at long, first_output_at long, finished_at long, output_chars long, tokens long, output string, "
     "thinking string, error string, last_error string, attempt int, max_attempts int, observed_at long, late_event string"
 )
+_IDLE = (
+    "doc_id string, page_id string, stage string, agent string, attempt_no long, idle_at long, seq long, "
+    "open boolean, late_event string"
+)
+IDLE_COLUMNS = [part.split()[0] for part in _IDLE.split(", ")]
+_PAGE = (
+    "stage string, total_engines long, sequence long, started_at long, finished_at long, status string, "
+    "error string, completed_engines long"
+)
+PAGE_COLUMNS = [part.split()[0] for part in _PAGE.split(", ")]
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -105,26 +118,55 @@ def _ordered(rows: Iterator[pd.DataFrame]) -> list[dict]:
     return pd.concat(frames).sort_values("seq", kind="stable").to_dict("records")
 
 
-def _told_apart(rows: Iterator[pd.DataFrame], newest: int | None, seen) -> tuple[list[dict], list[dict]]:
-    """Rows above the newest ``seq`` of their key in order, and those below it that were never seen; no repeats."""
-    fresh, late, known, last = [], [], None, newest
-    for event in _ordered(rows):
-        seq = int(event["seq"])
-        if last is None or seq > last:
-            last = seq
-            fresh.append(event)
-        elif newest is not None and seq <= newest:
-            if known is None:
-                known = {row[0] for row in seen.get()} if seen.exists() else set()
-            if seq not in known:
-                known.add(seq)
-                late.append(event)
-    return fresh, late
+class _Seen:
+    """The ``seq`` that a key has seen, as runs from start to end: state grows with the gaps, not with the rows.
+
+    The newest run is kept apart, so rows in order read and write one small value; all runs are only read
+    for a row below the newest number.
+    """
 
+    def __init__(self, handle: StatefulProcessorHandle, ttl: int | None):
+        self.runs = handle.getMapState("runs", "start long", "end long", ttl)
+        self.newest = handle.getValueState("newest", "start long, end long", ttl)
+
+    def take(self, rows: Iterator[pd.DataFrame]) -> tuple[list[dict], list[dict]]:
+        """Rows above the newest ``seq`` in order, and those below it that were never seen; no repeats."""
+        start, end = self.newest.get() if self.newest.exists() else (None, None)
+        known, runs, changed = end, None, {}
+        fresh, late = [], []
+        for event in _ordered(rows):
+            seq = int(event["seq"])
+            if end is None or seq > end:
+                start = start if end is not None and seq == end + 1 else seq
+                end = changed[start] = seq
+                fresh.append(event)
+            elif known is not None and seq <= known:
+                if runs is None:
+                    runs = sorted((k[0], v[0]) for k, v in self.runs.iterator())
+                at = bisect_right(runs, (seq, end))
+                if at and runs[at - 1][1] >= seq:
+                    continue
+                low = high = seq
+                if at and runs[at - 1][1] == seq - 1:
+                    at -= 1
+                    low = runs.pop(at)[0]
+                if at < len(runs) and runs[at][0] == seq + 1:
+                    gone, high = runs.pop(at)
+                    self.runs.removeKey((gone,))
+                    changed.pop(gone, None)
+                    start = low if gone == start else start
+                runs.insert(at, (low, high))
+                changed[low] = high
+                late.append(event)
+        for low, high in changed.items():
+            self.runs.updateValue((low,), (high,))
+        if changed:
+            self.newest.update((start, end))
+        return fresh, late
 
-def _remember(seen, *events: list[dict]) -> None:
-    if numbers := [(int(e["seq"]),) for part in events for e in part]:
-        seen.appendList(numbers)
+    def clear(self) -> None:
+        self.runs.clear()
+        self.newest.clear()
 
 
 def _late_rows(columns: Sequence[str], keys: Sequence[str], key, late: list[dict]) -> pd.DataFrame:
@@ -134,6 +176,16 @@ def _late_rows(columns: Sequence[str], keys: Sequence[str], key, late: list[dict
     return frame.where(frame.notna(), None)
 
 
+def _only_timer(handle: StatefulProcessorHandle, at: int | None) -> None:
+    """Leave the key one timer, or none."""
+    standing = list(handle.listTimers())
+    for timer in standing:
+        if timer != at:
+            handle.deleteTimer(timer)
+    if at is not None and at not in standing:
+        handle.registerTimer(at)
+
+
 class AgentFold(StatefulProcessor):
     """State machine of one agent. With processing time, a running agent is reported every second."""
 
@@ -144,7 +196,7 @@ class AgentFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("agent", _STATE, self.ttl)
-        self.seen = handle.getListState("seen", "seq long", self.ttl)
+        self.seen = _Seen(handle, self.ttl)
 
     def _row(self, key, s: dict, observed: int | None) -> pd.DataFrame:
         told = dict(zip(B.AGENT, key))
@@ -158,14 +210,14 @@ class AgentFold(StatefulProcessor):
         return frame
 
     def _schedule(self, s: dict, timers) -> None:
-        if self.beat and s["finished_at"] is None:
-            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + HEARTBEAT_MS)
+        if self.beat:
+            running = s["finished_at"] is None
+            _only_timer(self.handle, timers.getCurrentProcessingTimeInMs() + HEARTBEAT_MS if running else None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         known = self.state.get() if self.state.exists() else None
         s = dict(zip(_COLUMNS, known)) if known is not None else None
-        fresh, late = _told_apart(rows, s and s["last_seq"], self.seen)
-        _remember(self.seen, fresh, late)
+        fresh, late = self.seen.take(rows)
         for event in fresh:
             if s is None:
                 s = _fresh(event["at"])
@@ -223,22 +275,21 @@ class TerminalGate(StatefulProcessor):
         self.ttl = STATE_HOURS * 3_600_000 if expire else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("gate", "last_seq long, closed boolean", self.ttl)
-        self.seen = handle.getListState("seen", "seq long", self.ttl)
+        self.closed = handle.getValueState("gate", "closed_at long", self.ttl)
+        self.seen = _Seen(handle, self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, closed = self.state.get() if self.state.exists() else (None, False)
-        fresh, late = _told_apart(rows, last, self.seen)
-        passed = []
-        for event in [] if closed else fresh:
-            last = int(event["seq"])
-            passed.append(event)
-            if event["type"] in self.terminal:
-                closed = True
-                break
-        _remember(self.seen, passed, late)
+        closed = self.closed.get()[0] if self.closed.exists() else None
+        if closed is not None:
+            rows = (part[part["seq"] < closed] for part in rows)
+        fresh, late = self.seen.take(rows)
+        ends = [int(e["seq"]) for e in (*late, *fresh) if e["type"] in self.terminal]
+        if ends:
+            closed = min(ends)
+            self.closed.update((closed,))
+        passed = [e for e in fresh if closed is None or e["seq"] <= closed]
+        late = [e for e in late if closed is None or e["seq"] <= closed]
         if passed:
-            self.state.update((last, closed))
             yield pd.DataFrame(passed)[self.columns].assign(**{LATE: None})
         if late:
             told = _late_rows([LATE], self.keys, key, late)[LATE]
@@ -251,7 +302,7 @@ class TerminalGate(StatefulProcessor):
 def after_terminal(
     events: DataFrame, keys: Sequence[str] = B.PAGE, terminal: Sequence[str] = B.TERMINAL, expire: bool = False
 ) -> DataFrame:
-    """Events up to each key's first terminal one, and late ones marked. With ``expire`` a key is forgotten after STATE_HOURS without
+    """Events up to each key's first terminal one, and late ones marked; a late terminal one closes its key too. With ``expire`` a key is forgotten after STATE_HOURS without
     an event, so that repeats later than that pass again."""
     ship_package(events.sparkSession)
     return events.groupBy(*keys).transformWithStateInPandas(
@@ -263,23 +314,29 @@ def after_terminal(
 
 
 class IdleWatch(StatefulProcessor):
-    """Waits of one agent: those an event ended after the timeout, and the one still open."""
+    """Waits of one agent: those an event ended after the timeout, and the one still open.
+
+    With ``timed`` an open wait is told when the watermark passes its timeout, by a timer.
+    """
 
-    def __init__(self, timeout: int, expire: bool = False):
+    def __init__(self, timeout: int, expire: bool = False, timed: bool = False):
         self.timeout = timeout * 1_000_000
+        self.timed = timed
         self.ttl = STATE_HOURS * 3_600_000 if expire else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("wait", "last_seq long, epoch long, since long, told long", self.ttl)
-        self.seen = handle.getListState("seen", "seq long", self.ttl)
+        self.seen = _Seen(handle, self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last, epoch, since, told = self.state.get() if self.state.exists() else (None, 0, None, -1)
-        fresh, late = _told_apart(rows, last, self.seen)
-        _remember(self.seen, fresh, late)
-        columns = [*B.AGENT, "attempt_no", "idle_at", "seq", "open", LATE]
+        fresh, late = self.seen.take(part[part["type"] != CLOCK] for part in rows)
+        columns = IDLE_COLUMNS
         if late:
             yield _late_rows(columns, B.AGENT, key, late)
+        if not fresh:
+            return
         found = []
         for event in fresh:
             last = int(event["seq"])
@@ -290,10 +347,23 @@ class IdleWatch(StatefulProcessor):
             since = int(event["at"]) if event["type"] in ("attempt_start", "delta") else None
         self.state.update((last, epoch, since, told))
         open_at = since + self.timeout if since is not None and told < epoch else None
-        found.append((*key, epoch, open_at, last, True, None))
-        frame = pd.DataFrame(found, columns=columns)
+        if self.timed:
+            _only_timer(self.handle, None if open_at is None else -(-open_at // 1000))
+        else:
+            found.append((*key, epoch, open_at, last, True, None))
+        if found:
+            yield self._rows(found)
+
+    def _rows(self, found: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(found, columns=IDLE_COLUMNS)
         frame["idle_at"] = frame["idle_at"].astype("Int64")
-        yield frame
+        return frame
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, epoch, since, told = self.state.get()
+        if since is not None and told < epoch:
+            self.state.update((last, epoch, since, epoch))
+            yield self._rows([(*key, epoch, since + self.timeout, last, False, None)])
 
     def close(self) -> None:
         pass
@@ -314,7 +384,7 @@ def idle_attempts(events: DataFrame, timeout: int = B.IDLE_SECONDS, expire: bool
         .groupBy(*B.AGENT)
         .transformWithStateInPandas(
             IdleWatch(timeout, expire),
-            outputStructType="doc_id string, page_id string, stage string, agent string, attempt_no long, idle_at long, seq long, open boolean, late_event string",
+            outputStructType=_IDLE,
             outputMode="Update",
             timeMode=_clock(expire),
         )
@@ -322,6 +392,151 @@ def idle_attempts(events: DataFrame, timeout: int = B.IDLE_SECONDS, expire: bool
     return waits.withColumn("idle_at", F.timestamp_micros("idle_at"))
 
 
+def idle_reports(events: DataFrame, timeout: int = B.IDLE_SECONDS, delay: str = "0 seconds") -> DataFrame:
+    """Idle moments per attempt, each once: when an event ends its wait too late, or the watermark passes it.
+
+    The watermark is the newest ``ts`` of any agent less ``delay``; Spark drops (and counts) rows behind it. Rows of
+    type ``clock`` only move it, so that time also goes on while no agent says anything.
+    """
+    ship_package(events.sparkSession)
+    timely = events.filter(F.col("type").isin(*B.AGENT_EVENTS, CLOCK)).withWatermark("ts", delay)
+    told = (
+        timely.select(*B.AGENT, "seq", "ts", F.unix_micros("ts").alias("at"), "type")
+        .groupBy(*B.AGENT)
+        .transformWithStateInPandas(
+            IdleWatch(timeout, timed=True), outputStructType=_IDLE, outputMode="Append", timeMode="EventTime"
+        )
+    )
+    return told.select(*B.AGENT, "attempt_no", F.timestamp_micros("idle_at").alias("idle_at"), LATE)
+
+
+class PageFold(StatefulProcessor):
+    """Snapshot of one page, with the state of its agents in a map.
+
+    The first terminal event closes the page, also one that comes late: its clock stands still, nothing that
+    comes later counts, and all state but the snapshot goes.
+    """
+
+    def __init__(self, beat: bool = False, expire: bool = False):
+        self.beat = beat
+        self.ttl = STATE_HOURS * 3_600_000 if expire else None
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.page = handle.getValueState("page", _PAGE, self.ttl)
+        self.agents = handle.getMapState("agents", "stage string, agent string", _STATE, self.ttl)
+        self.seen = _Seen(handle, self.ttl)
+
+    def _row(self, key, page: dict, observed: int | None) -> pd.DataFrame:
+        told = dict(zip(B.PAGE, key)) | page | {"observed_at": observed, LATE: None}
+        frame = pd.DataFrame([told])
+        for c in ("finished_at", "observed_at"):
+            frame[c] = frame[c].astype("Int64")
+        return frame
+
+    def _schedule(self, page: dict, timers) -> None:
+        if self.beat:
+            running = page["status"] == "running"
+            _only_timer(self.handle, timers.getCurrentProcessingTimeInMs() + HEARTBEAT_MS if running else None)
+
+    def _agent(self, agents: dict, event: dict) -> None:
+        name = (event["stage"], event["agent"])
+        if name not in agents:
+            known = self.agents.containsKey(name)
+            agents[name] = dict(zip(_COLUMNS, self.agents.getValue(name))) if known else _fresh(event["at"])
+        _apply(agents[name], event)
+        agents[name]["last_seq"] = int(event["seq"])
+
+    @staticmethod
+    def _close(page: dict, event: dict) -> None:
+        failed = event["type"] == "error"
+        page.update(
+            stage="complete", status="failed" if failed else "completed", finished_at=int(event["at"]),
+            error=event["error"] or "",
+        )
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        page = dict(zip(PAGE_COLUMNS, self.page.get())) if self.page.exists() else None
+        if page is not None and page["status"] != "running":
+            return
+        fresh, late = self.seen.take(rows)
+        if late:
+            yield _late_rows([*B.PAGE, *PAGE_COLUMNS, "observed_at", LATE], B.PAGE, key, late)
+        ends = [event for event in late if event["type"] in B.TERMINAL]
+        if ends:
+            self._close(page, ends[0])
+            fresh = []
+        agents: dict[tuple, dict] = {}
+        for event in fresh:
+            if page is None:
+                page = dict.fromkeys(PAGE_COLUMNS) | {
+                    "stage": "loading", "total_engines": 0, "sequence": 0, "started_at": int(event["at"]),
+                    "status": "running", "error": "", "completed_engines": 0,
+                }
+            page["sequence"] += 1
+            page["started_at"] = min(page["started_at"], int(event["at"]))
+            kind = event["type"]
+            if kind in B.TERMINAL:
+                self._close(page, event)
+                break
+            if kind in ("stage_start", "agent_start", "attempt_start"):
+                page["stage"] = event["stage"]
+            elif kind == "stage_done" and event["stage"] == "engine":
+                page["stage"] = "merge"
+            elif kind == "done" or (kind == "agent_done" and event["stage"] in ("arbiter", "duplicate_check")):
+                page["stage"] = "saving"
+            if kind == "stage_start" and event["stage"] == "engine" and event["total"] > 0:
+                page["total_engines"] = int(event["total"])
+            if kind in B.AGENT_EVENTS:
+                self._agent(agents, event)
+        if not fresh and not ends:
+            return
+        for name, s in agents.items():
+            self.agents.updateValue(name, tuple(s[c] for c in _COLUMNS))
+        if agents:
+            at = _COLUMNS.index("status")
+            page["completed_engines"] = sum(
+                name[0] == "engine" and s[at] in ("completed", "failed") for name, s in self.agents.iterator()
+            )
+        if page["status"] != "running":
+            self.agents.clear()
+            self.seen.clear()
+        self.page.update(tuple(page[c] for c in PAGE_COLUMNS))
+        self._schedule(page, timerValues)
+        yield self._row(key, page, None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        page = dict(zip(PAGE_COLUMNS, self.page.get()))
+        if page["status"] == "running":
+            self._schedule(page, timerValues)
+            yield self._row(key, page, timerValues.getCurrentProcessingTimeInMs() * 1000)
+
+    def close(self) -> None:
+        pass
+
+
+def page_progress(events: DataFrame, beat: bool = False, expire: bool = False) -> DataFrame:
+    """Newest snapshot per page and micro-batch: stage, status, error, engines done and in total, times.
+
+    ``finished_at`` is null while a page runs. ``beat`` adds a row per second for every running page, stamped
+    ``observed_at``; with ``expire`` a page is forgotten after STATE_HOURS without an event.
+    """
+    ship_package(events.sparkSession)
+    timed = events.withColumn("at", F.unix_micros("ts")).withColumn("parts", T.token_parts("text"))
+    columns = (*B.AGENT, "seq", "at", "type", "kind", "text", "total", "attempt", "max_attempts", "error", "parts.*")
+    folded = (
+        timed.select(*columns)
+        .groupBy(*B.PAGE)
+        .transformWithStateInPandas(
+            PageFold(beat, expire),
+            outputStructType=f"doc_id string, page_id string, {_PAGE}, observed_at long, {LATE} string",
+            outputMode="Update",
+            timeMode=_clock(beat or expire),
+        )
+    )
+    return folded.withColumns({c: F.timestamp_micros(c) for c in ("started_at", "finished_at", "observed_at")})
+
+
 def settled_idle(waits: DataFrame, now: Column) -> DataFrame:
     """Per attempt the first idle moment up to ``now``, from all rows that ``idle_attempts`` gave."""
     newest_wait = (
@@ -332,15 +547,125 @@ def settled_idle(waits: DataFrame, now: Column) -> DataFrame:
     return every.groupBy(*B.AGENT, F.col("attempt_no").alias("epoch")).agg(F.min("idle_at").alias("idle_at"))
 
 
-def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> int:
-    """Drain what is there into Parquet files of ``path``, one set per micro-batch, safe to repeat.
+class NewestFold(StatefulProcessor):
+    """Passes a key's newest row on; of a key the state is one number, and nothing once its newest row ends it."""
 
-    Late events go to ``path`` + "-late" in the same way; their number in this run is returned.
+    def __init__(self, columns: Sequence[str], order: str, expire: bool = False):
+        self.columns, self.order = list(columns), order
+        self.ttl = STATE_HOURS * 3_600_000 if expire else None
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "at long", self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat([part for part in rows if len(part)], ignore_index=True)
+        best = frame.loc[[frame[self.order].idxmax()]]
+        at = int(best[self.order].iloc[0])
+        if self.last.exists() and self.last.get()[0] >= at:
+            return
+        if best[ENDS].iloc[0]:
+            self.last.clear()
+        else:
+            self.last.update((at,))
+        yield best[self.columns]
+
+    def close(self) -> None:
+        pass
+
+
+def latest_progress(
+    snapshots: DataFrame, order: str = "sequence", ends: Column | None = None, expire: bool = False
+) -> DataFrame:
+    """Snapshots that are newer than all before of their document, at most one per document and micro-batch.
+
+    A row for which ``ends`` holds takes the document's state away with it: should an older snapshot follow, it is
+    passed on, and loses against the newer one by ``order``. Rows without an order are left out.
     """
-    late = 0
+    ship_package(snapshots.sparkSession)
+    marked = snapshots.filter(F.col(order).isNotNull()).withColumn(
+        ENDS, F.coalesce(F.lit(False) if ends is None else ends, F.lit(False))
+    )
+    return marked.groupBy("doc_id").transformWithStateInPandas(
+        NewestFold(snapshots.columns, order, expire),
+        outputStructType=snapshots.schema, outputMode="Update", timeMode=_clock(expire),
+    )
+
+
+_ORDER = ("engine_done", "barrier", "arbiter_first", "arbiter_last", "repeat_first", "done", "last")
+
+
+class AuditFold(StatefulProcessor):
+    """First and last places of what matters for the order of one page; a terminal event ends the page's state."""
+
+    def __init__(self, expire: bool = False):
+        self.ttl = STATE_HOURS * 3_600_000 if expire else None
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("order", ", ".join(f"{c} long" for c in _ORDER) + ", told string", self.ttl)
+
+    @staticmethod
+    def _broken(s: dict) -> str:
+        def before(one: int | None, two: int | None) -> bool:
+            return one is not None and two is not None and one < two
+
+        barrier = s["barrier"] if s["barrier"] is not None else s["arbiter_last"]
+        rules = [
+            (before(s["barrier"], s["engine_done"]), "engine after barrier"),
+            (before(s["arbiter_first"], barrier), "arbiter before barrier"),
+            (before(s["repeat_first"], s["arbiter_last"]), "repeat check before arbiter"),
+            (before(s["done"], s["last"]), "event after done"),
+        ]
+        return "|".join(text for broken, text in rules if broken)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self.state.get() if self.state.exists() else (*[None] * len(_ORDER), "")
+        s, told = dict(zip(_ORDER, known)), known[-1]
+
+        def first(name: str, seqs: pd.Series) -> None:
+            if len(seqs):
+                s[name] = int(min(seqs.min(), seqs.max() if s[name] is None else s[name]))
+
+        def last(name: str, seqs: pd.Series) -> None:
+            if len(seqs):
+                s[name] = int(max(seqs.max(), seqs.min() if s[name] is None else s[name]))
+
+        ended = False
+        for part in rows:
+            seq, kind, stage = part["seq"], part["type"], part["stage"]
+            last("engine_done", seq[(stage == "engine") & (kind == "agent_done")])
+            last("barrier", seq[(stage == "engine") & (kind == "stage_done")])
+            first("arbiter_first", seq[stage == "arbiter"])
+            last("arbiter_last", seq[stage == "arbiter"])
+            first("repeat_first", seq[stage == "duplicate_check"])
+            first("done", seq[kind == "done"])
+            last("last", seq)
+            ended |= bool(kind.isin(B.TERMINAL).any())
+        now = self._broken(s)
+        if ended:
+            self.state.clear()
+        else:
+            self.state.update((*[s[c] for c in _ORDER], now))
+        if now != told:
+            yield pd.DataFrame([(*key, now)], columns=[*B.PAGE, "violations"])
+
+    def close(self) -> None:
+        pass
+
+
+def barrier_audit(events: DataFrame, expire: bool = False) -> DataFrame:
+    """What breaks the order of a page, told whenever it changes (empty: nothing any more). The page's state goes with
+    its terminal event, or with ``expire`` after STATE_HOURS without one."""
+    ship_package(events.sparkSession)
+    return events.select(*B.PAGE, "seq", "type", "stage").groupBy(*B.PAGE).transformWithStateInPandas(
+        AuditFold(expire),
+        outputStructType="doc_id string, page_id string, violations string", outputMode="Update", timeMode=_clock(expire),
+    )
+
+
+def _writer(path: str, count) -> Callable[[DataFrame, int], None]:
+    """Writes each micro-batch to Parquet files of ``path`` and its late events beside it; safe to repeat."""
 
     def write(part: DataFrame, epoch: int) -> None:
-        nonlocal late
         rows = part.withColumn("epoch", F.lit(epoch))
         if LATE not in part.columns:
             rows.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
@@ -349,18 +674,38 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "update"
         rows.filter(F.col(LATE).isNull()).drop(LATE).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
         aside = rows.filter(F.col(LATE).isNotNull()).select(LATE, "epoch")
         aside.write.mode("overwrite").parquet(f"{path}-late/batch={epoch}")
-        late += aside.count()
+        count(aside.count())
         rows.unpersist()
 
+    return write
+
+
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> int:
+    """Drain what is there into Parquet files of ``path``, one set per micro-batch, safe to repeat.
+
+    Late events go to ``path`` + "-late" in the same way; their number in this run is returned.
+    """
+    late = []
     query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(write)
+        .foreachBatch(_writer(path, late.append))
         .start()
     )
     query.awaitTermination()
-    return late
+    return sum(late)
+
+
+def run_live(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", every: str = "1 second") -> StreamingQuery:
+    """As ``run_once``, but running until it is stopped; timers also fire where no rows come."""
+    return (
+        stream.writeStream.outputMode(mode)
+        .option("checkpointLocation", checkpoint)
+        .trigger(processingTime=every)
+        .foreachBatch(_writer(path, lambda n: None))
+        .start()
+    )
 
 
 def newest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
