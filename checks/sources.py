@@ -9,7 +9,7 @@ from checks import inputs as I
 from checks import sql as Q
 from variorum.functions import text as T
 from variorum.operators.catalog import CHAT, MESSAGES, RESPONSES
-from variorum.session import fresh_folder, stage
+from variorum.session import fresh_folder, scratch_folder, stage
 from variorum.sources import exports, files, responses, results
 
 QUERIES: dict = {}
@@ -313,7 +313,8 @@ def _files(spark, sf):
         .when(F.col("source") == "src8", (32 << 20) + 1)
         .otherwise(F.octet_length("text"))
     )
-    return docs.select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string")).alias("path"), size.cast("long").alias("length"), content.alias("content"))
+    path = F.concat(F.lit("/in/"), F.col("doc_id").cast("string"))
+    return docs.select(path.alias("path"), size.cast("long").alias("length"), content.alias("content"), "lang", "source", "doc_id")
 
 
 _FILES_SQL = """
@@ -337,6 +338,57 @@ def s7(spark, sf):
     )
 
 
+MAX_UPLOAD, MAX_PICTURE = 4000, 1000
+
+
+def _uploads(spark, sf) -> str:
+    """Every document as a file of a folder for its language, among them files without a byte and files over the limits."""
+    folder = scratch_folder(spark, "inbox")
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in ("lang", "source", "doc_id")]
+    place = F.concat(F.concat_ws("/", F.lit(folder), *parts), F.lit(".bin"))
+    named = _files(spark, sf).select(place.alias("place"), "content")
+
+    def write(batches):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder)
+        made = set()
+        for batch in batches:
+            for place, content in zip(*(c.to_pylist() for c in batch.columns)):
+                target = base + place[len(folder) :]
+                if (parent := target.rsplit("/", 1)[0]) not in made:
+                    system.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with system.open_output_stream(target) as file:
+                    file.write(content or b"")
+            yield batch.slice(0, 0)
+
+    # A task that runs again writes the same files again.
+    named.mapInArrow(write, "place string, content binary").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@check(
+    "s7_admit_folder",
+    Q.query(
+        """f AS (SELECT lang || '/' || source || '/' || doc_id || '.bin' AS path, lang, source, CASE WHEN source = 'src5' AND lang = 'en' THEN 0
+             ELSE strlen(text) + CASE WHEN lang = 'en' THEN 8 WHEN lang = 'de' THEN 9 WHEN source = 'src1' THEN 4 WHEN source = 'src2' THEN 15
+               WHEN source = 'src3' THEN 6 WHEN source = 'src4' THEN 0 ELSE 6 END END AS length FROM documents),
+        k AS (SELECT *, CASE WHEN lang = 'en' THEN 'application/pdf' WHEN lang = 'de' THEN 'image/png' WHEN source = 'src1' THEN 'image/jpeg'
+               WHEN source = 'src2' THEN 'image/webp' WHEN source = 'src3' THEN 'image/gif' ELSE 'unsupported format' END AS kind FROM f)""",
+        f"""SELECT path, length, CASE WHEN length = 0 THEN 'empty file' WHEN length > {MAX_UPLOAD} THEN 'file too large'
+            WHEN kind LIKE 'image/%' AND length > {MAX_PICTURE} THEN 'image too large' ELSE kind END AS verdict FROM k""",
+    ),
+)
+def s7_folder(spark, sf):
+    """Files are written from the documents, listed and opened by tasks; the limits are small ones."""
+    accepted, rejected = files.admit_files(spark, _uploads(spark, sf), MAX_UPLOAD, MAX_PICTURE)
+    both = accepted.select("path", "length", F.col("mime_type").alias("verdict")).unionByName(
+        rejected.select("path", "length", F.col("reason").alias("verdict"))
+    )
+    return both.withColumn("path", F.substring_index("path", "/", -3))
+
+
 def _export_inputs(spark, sf):
     documents = I.documents(spark, sf)
     pages = stage(I.pages(spark, sf).withColumn("page_number", F.col("pos") + 1), "pages")
@@ -396,6 +448,33 @@ def s10(spark, sf):
     return exports.export_audit(documents, pages, nested, I.now())
 
 
+@check(
+    "s10_audit_pieces",
+    Q.query(
+        D.BOTH
+        + """,
+        e AS (SELECT doc_id, pos, CASE WHEN pos = min(pos) OVER (PARTITION BY doc_id) THEN '' ELSE ',' END || '{"page_number":' || (pos + 1)
+          || ',"source_page":' || source_page || ',"status":"' || status || '"' || CASE WHEN duration_ms <> 0 THEN ',"duration_ms":' || duration_ms ELSE '' END
+          || CASE WHEN result_ready AND mark <> 13 THEN ',"result":{"text":"' || page_id || '"}' ELSE '' END || '}' AS piece FROM pgs),
+        n AS (SELECT doc_id, count(*) AS pages FROM pgs GROUP BY doc_id)""",
+        """SELECT d.doc_id, 'scan ' || d.doc_id || '-audit.json' AS file_name, p.pos, p.piece FROM docs d JOIN (
+        SELECT doc_id, -1 AS pos, '{"schema":"document-audit.v1","document":{"id":' || doc_id || ',"name":"' || name || '","source_type":"' || source_type
+          || '","size_bytes":' || size_bytes || ',"created_at":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.000Z')
+          || '","exported_at":"2030-01-01T00:00:00.000Z"},"pages":[' AS piece FROM docs
+        UNION ALL SELECT docs.doc_id, coalesce(pages, 0), ']}' FROM docs LEFT JOIN n ON n.doc_id = docs.doc_id
+        UNION ALL SELECT doc_id, pos, piece FROM e) p ON p.doc_id = d.doc_id""",
+    ),
+)
+def s10_pieces(spark, sf):
+    """Written page by page and read back."""
+    documents, pages, _ = _export_inputs(spark, sf)
+    nested = pages.filter("mark <> 13").select("doc_id", "page_id", F.struct(F.col("page_id").alias("text")).alias("result"))
+    folder = fresh_folder(spark, "audit")
+    pieces = exports.audit_pieces(documents, pages, nested, I.now())
+    exports.write_pieces(pieces, folder)
+    return spark.read.schema(pieces.schema).json(folder)
+
+
 @check(
     "s1_check_edited_results",
     Q.query(

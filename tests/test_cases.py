@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from variorum.functions import text as T
 from variorum.operators import dedupe, resolve, similar, votes
 from variorum.plans.fuse import fuse
-from variorum.sources import files, lifecycle, responses, results
+from variorum.sources import exports, files, lifecycle, responses, results
 from variorum.streaming import batch as B
 from variorum.streaming import live
 
@@ -136,11 +136,47 @@ def test_similar_pairs_equal_brute_force(spark):
 
 
 def test_files_on_disk(spark, tmp_path):
-    for name, data in {"a.pdf": b"%PDF-1.7 x", "b.png": b"\x89PNG\r\n\x1a\nxx", "c.txt": b"hello", "d": b""}.items():
+    deep = tmp_path / "x y" / "z%20"
+    deep.mkdir(parents=True)
+    (tmp_path / "nothing here").mkdir()
+    for name, data in {"a.pdf": b"%PDF-1.7 x", "b.png": b"\x89PNG\r\n\x1a\nxx", "c.txt": b"hello", "d": b"", "_SUCCESS": b"", ".c.crc": b"1"}.items():
         (tmp_path / name).write_bytes(data)
-    accepted, rejected = files.admit_files(spark, str(tmp_path))
-    assert sorted(r.source_type for r in accepted.collect()) == ["image", "pdf"]
-    assert sorted(r.reason for r in rejected.collect()) == ["empty file", "unsupported format"]
+    (deep / "e.jpg").write_bytes(b"\xff\xd8\xff" + b"j" * 40)
+    (deep / "f.pdf").write_bytes(b"%PDF-" + b"p" * 90)
+    (deep / "g").write_bytes(b"")
+    (deep / "h").write_bytes(b"%P")
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        accepted, rejected = files.admit_files(spark, root, max_file=90, max_image=30)
+        at = len(str(tmp_path)) + (7 if root.startswith("file") else 0) + 1
+        assert sorted((r.path[at:], r.length, r.source_type) for r in accepted.collect()) == [("a.pdf", 10, "pdf"), ("b.png", 10, "image")]
+        assert sorted((r.path[at:], r.reason) for r in rejected.collect()) == [
+            ("c.txt", "unsupported format"), ("d", "empty file"), ("x y/z%20/e.jpg", "image too large"),
+            ("x y/z%20/f.pdf", "file too large"), ("x y/z%20/g", "empty file"), ("x y/z%20/h", "unsupported format"),
+        ]
+    accepted, rejected = files.admit_files(spark, str(tmp_path / "nothing here"))
+    assert accepted.isEmpty() and rejected.isEmpty()
+
+
+def test_audit_pieces_make_the_audit(spark):
+    documents = spark.createDataFrame(
+        [(1, 'a "b".pdf', "pdf", 5), (2, "none.png", "image", 0)], "doc_id long, name string, source_type string, size_bytes long"
+    ).withColumn("created_at", F.lit("2024-01-02").cast("timestamp"))
+    pages = spark.createDataFrame(
+        [(1, "p2", 1, 2, 2, "failed", 7, "no\nanswer", False), (1, "p1", 0, 1, 1, "completed", 0, "", True), (1, "p3", 4, 3, 3, "completed", 1, "", True)],
+        "doc_id long, page_id string, pos long, page_number int, source_page int, status string, duration_ms long, error string, result_ready boolean",
+    )
+    results = spark.createDataFrame([(1, "p1", "x"), (1, "p2", "unread")], "doc_id long, page_id string, text string").select(
+        "doc_id", "page_id", F.struct("text").alias("result")
+    )
+    now = F.lit("2030-01-01").cast("timestamp")
+    whole = {r.doc_id: r.body for r in exports.export_audit(documents, pages, results, now).collect()}
+    pieces = exports.audit_pieces(documents, pages, results, now).orderBy("doc_id", "pos").collect()
+    joined = {d: "".join(r.piece for r in pieces if r.doc_id == d) for d in (1, 2)}
+    assert joined == whole and [r.pos for r in pieces] == [-1, 0, 1, 4, 5, -1, 0]
+    first = json.loads(joined[1])
+    assert first["document"]["name"] == 'a "b".pdf' and [p["page_number"] for p in first["pages"]] == [1, 2, 3]
+    assert [p.get("result") for p in first["pages"]] == [{"text": "x"}, None, None] and first["pages"][1]["error"] == "no\nanswer"
+    assert json.loads(joined[2])["pages"] == [] and len(pieces) == 7
 
 
 def test_results_by_path(spark, tmp_path):

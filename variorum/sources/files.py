@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from variorum.functions import text as T
 from variorum.operators import catalog as C
+from variorum.session import ship_package, stage
 
 MAX_FILE = 1 << 30
 MAX_IMAGE = 32 << 20
+#: Leading bytes that are read of a file.
+HEAD = 16
+#: Entries of a folder that go on at a time, and files whose leading bytes one task reads.
+LISTED = 10_000
+FILES_A_TASK = 500
 
 # Leading bytes of the accepted formats.
 SIGNATURES = (
@@ -35,17 +46,19 @@ def media_type(content: str | Column) -> Column:
     return kind
 
 
-def admit(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def admit(files: DataFrame, max_file: int = MAX_FILE, max_image: int = MAX_IMAGE) -> tuple[DataFrame, DataFrame]:
     """(accepted with ``mime_type, source_type``, rejected with ``reason``) of ``path, length, content``.
 
+    ``content`` may be the first bytes of a file only.
+
     The two size rules are decided on the length alone, so an oversized file is never opened by the
     first branch and its content is not read by the second.
     """
-    too_large, empty = F.col("length") > MAX_FILE, F.col("length") == 0
+    too_large, empty = F.col("length") > max_file, F.col("length") == 0
     sized = files.filter(~too_large & ~empty).withColumn("mime_type", media_type("content"))
     kind = F.when(F.col("mime_type") == "application/pdf", "pdf").when(F.col("mime_type").isNotNull(), "image")
     typed = sized.withColumn("source_type", kind)
-    heavy = (F.col("source_type") == "image") & (F.col("length") > MAX_IMAGE)
+    heavy = (F.col("source_type") == "image") & (F.col("length") > max_image)
     reason = F.when(F.col("source_type").isNull(), "unsupported format").when(heavy, "image too large")
     judged = typed.withColumn("reason", reason)
     accepted = judged.filter("reason IS NULL").drop("reason")
@@ -57,27 +70,93 @@ def admit(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return accepted, rejected
 
 
-def empty_files(spark: SparkSession, path: str) -> DataFrame:
-    """``path, length`` of the files without a byte under ``path``, which Spark's own listing leaves out.
+def _visible(name: str) -> bool:
+    return not name.startswith((".", "_"))
+
+
+def _prefix(root: str, base: str) -> str:
+    """What stands before a place of the file system to make it a path that Spark reads."""
+    return root[: len(root) - len(base)] if root.endswith(base) else ""
+
+
+def _entries(root: str):
+    """Batches of folders (column place) to batches of what stands in them: place, length; null for a folder."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                seen = [
+                    (e.path, e.size if e.type == fs.FileType.File else None)
+                    for e in system.get_file_info(fs.FileSelector(folder))
+                    if _visible(e.base_name) and e.type in (fs.FileType.File, fs.FileType.Directory)
+                ]
+                for at in range(0, len(seen), LISTED):
+                    places, lengths = zip(*seen[at : at + LISTED])
+                    yield pa.record_batch([pa.array(places, pa.string()), pa.array(lengths, pa.int64())], ["place", "length"])
+
+    return work
 
-    The listing is read entry by entry and only the paths of empty files are kept.
+
+def _heads(root: str, max_file: int):
+    """Batches of (place, length) to batches of (place, length, content): the first bytes of files in the limits."""
+
+    def head(system, place: str, length: int) -> bytes | None:
+        if not 0 < length <= max_file:
+            return None
+        with system.open_input_file(place) as file:
+            return file.read(HEAD)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            places, lengths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            heads = [head(system, place, length) for place, length in zip(places, lengths)]
+            yield pa.record_batch([*batch.columns[:2], pa.array(heads, pa.binary())], ["place", "length", "content"])
+
+    return work
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """``place, length`` of the files under ``path``, however deep, those without a byte among them.
+
+    Folders are rows: a job a level lists the folders of that level in its tasks, so the driver holds
+    no listing. One folder is one unit of work. Names that begin with "." or "_" are left out, files
+    and folders alike, as Spark's readers leave them out; an empty folder gives no row, a missing one is
+    an error. Arrow's file systems do the listing: a local path, HDFS, S3 or GCS.
+    """
+    ship_package(spark)
+    root = path.rstrip("/")
+    _, base = fs.FileSystem.from_uri(root)
+    level = spark.createDataFrame([(base,)], "place string")
+    levels = []
+    while True:
+        seen = stage(level.mapInArrow(_entries(root), "place string, length long"), "listing")
+        levels.append(seen.filter("length IS NOT NULL"))
+        folders = seen.filter("length IS NULL").select("place")
+        if folders.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        # By number, because the rows are few and small but the work behind each is not.
+        level = folders.repartition(spark.sparkContext.defaultParallelism, "place")
+
+
+def admit_files(
+    spark: SparkSession, path: str, max_file: int = MAX_FILE, max_image: int = MAX_IMAGE
+) -> tuple[DataFrame, DataFrame]:
+    """Admission of the files under ``path``: (``path, length, mime_type, source_type``, ``path, length, reason``).
+
+    Of a file only its first bytes are read, and none where its length decides; files are dealt out for
+    that by number, so a folder with a third of all files is read by many tasks. A file that is gone when
+    it is opened is an error.
     """
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    listing = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
-    found = []
-    while listing.hasNext():
-        status = listing.next()
-        if status.getLen() == 0:
-            found.append((status.getPath().toString(), 0))
-    return spark.createDataFrame(found, "path string, length long")
-
-
-def admit_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Admission of the files under ``path``, the empty ones among the rejected."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    accepted, rejected = admit(files)
-    empty = empty_files(spark, path).withColumn("reason", F.lit("empty file"))
-    return accepted, rejected.unionByName(empty)
+    listed = list_files(spark, path)
+    root = path.rstrip("/")
+    _, base = fs.FileSystem.from_uri(root)
+    tasks = -(-listed.count() // FILES_A_TASK) or 1
+    heads = listed.repartition(tasks).mapInArrow(_heads(root, max_file), "place string, length long, content binary")
+    named = F.concat(F.lit(_prefix(root, base)), F.col("place")).alias("path")
+    accepted, rejected = admit(stage(heads.select(named, "length", "content"), "uploads"), max_file, max_image)
+    return accepted.drop("content"), rejected
 
 
 def build_requests(pages: DataFrame, catalog: DataFrame) -> DataFrame:
