@@ -173,12 +173,11 @@ def _block(v: Column) -> Column:
     return F.when(_text(v, "$.type") == "content_block_delta", _text(v, "$.delta.type"))
 
 
-def _frame_error(api: Column, event: Column, data: Column) -> Column:
-    """Why a frame ends its stream, or the empty string.
+def _frame_error(api: Column, event: Column, data: Column, v: Column) -> Column:
+    """Why a frame, `v` once parsed, ends its stream, or the empty string.
 
     In a frame that names no error, and escapes no letter that could name one, none is looked for.
     """
-    v = F.try_parse_json(data)
     kind = _text(v, "$.type")
     bad = ("response.error", "response.failed")
     suspect = (
@@ -198,24 +197,29 @@ def ingest_sse(df: DataFrame, log: str, api: str) -> DataFrame:
     """Delta rows of event-stream logs: all other columns, ``at``, ``kind``, ``text``.
 
     ``kind`` is output, thinking or error. A log stops at its first error, which comes as a row.
-    The stop is found inside the log's own row, so frames become rows without a shuffle.
+    The stop is found inside the log's own row, so frames become rows without a shuffle. A frame is
+    parsed once.
     """
     rest = [c for c in df.columns if c != log]
     told = F.filter(frames(log), lambda f: f["data"] != "[DONE]")
-    judged = df.withColumn("_frames", told).withColumn(
-        "_errors", F.transform("_frames", lambda f: _frame_error(F.col(api), f["event"], f["data"]))
-    )
-    stop = F.array_position(F.transform("_errors", lambda e: e != ""), True).cast("int")
-    kept = judged.select(
-        *rest,
-        F.arrays_zip("_frames", "_errors").alias("_zipped"),
-        F.when(stop > 0, stop).otherwise(F.size("_frames")).alias("_stop"),
-    )
-    # The explode sits between the array work and the parsing, which then runs in generated code.
-    # The outer form keeps Catalyst from adding a size() filter that would do the array work again.
-    rows = kept.select(*rest, "_stop", F.posexplode_outer("_zipped").alias("frame", "z")).filter("frame < _stop").select(
-        *rest, "frame", F.col("z._errors").alias("error"), F.col("z._frames.event").alias("event"),
-        F.try_parse_json("z._frames.data").alias("v"),
+
+    def judged(f: Column) -> Column:
+        return _let(
+            F.try_parse_json(f["data"]),
+            lambda v: F.struct(
+                f["event"].alias("event"), v.alias("v"), _frame_error(F.col(api), f["event"], f["data"], v).alias("error")
+            ),
+        )
+
+    parsed = df.withColumn("_frames", F.transform(told, judged))
+    stop = F.array_position(F.transform("_frames", lambda f: f["error"] != ""), True).cast("int")
+    kept = parsed.select(*rest, "_frames", F.when(stop > 0, stop).otherwise(F.size("_frames")).alias("_stop"))
+    # The explode sits between the array work and the picking of fields, which then runs in generated code.
+    # The outer form and the coalesce keep Catalyst from adding size() and null filters, which it would push to the scan
+    # and for which it would do all the array work again.
+    inside = F.coalesce(F.col("frame") < F.col("_stop"), F.lit(False))
+    rows = kept.select(*rest, "_stop", F.posexplode_outer("_frames").alias("frame", "z")).filter(inside).select(
+        *rest, "frame", F.col("z.error").alias("error"), F.col("z.event").alias("event"), F.col("z.v").alias("v")
     )
     deltas = rows.select(
         *rest, "frame", "error",
