@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from variorum.llm import bpe, chat, packing, quality, token_counts, toxicity
+from variorum.llm import bpe, chat, packing, quality, token_counts, toxicity, words
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -201,6 +201,73 @@ def test_toxicity(spark):
     assert len(empty) == 1 and empty.pop() < 0.3
 
 
+def plain_places(text):
+    """Hashed n-grams of the distinct words of a text, letter by letter."""
+    found = set()
+    for w in set(text.lower().split()):
+        w = "\x02" + w + "\x02"
+        for n in toxicity.LENGTHS:
+            for i in range(len(w) - n + 1):
+                value = 0
+                for letter in w[i : i + n]:
+                    value = (value * int(words.FACTOR) + ord(letter)) % 2**64
+                found.add(int(words.mixed(np.array([value], np.uint64))[0]) >> (64 - toxicity.BITS))
+    return found
+
+
+def plain_toxicity(rows, labels):
+    """Features, ratios, weights and scores with dense rows and loops."""
+    toxic = {}
+    for i, label in labels:
+        if i is not None and label in (0, 1) and zlib.crc32(str(i).encode()) % 4 != 2:
+            toxic[i] = max(label, toxic.get(i, 0))
+    places = [plain_places(text or "") for _, text in rows]
+    fitted = [(held, toxic[i]) for (i, _), held in zip(rows, places) if i in toxic]
+    n = Counter(label for _, label in fitted)
+    positive = Counter(x for held, label in fitted if label for x in held)
+    every = Counter(x for held, _ in fitted for x in held)
+    ratio = {x: np.log((positive[x] + 1) / (n[1] + 2)) - np.log((c - positive[x] + 1) / (n[0] + 2)) for x, c in every.items() if c >= toxicity.LEAST_DOCUMENTS}
+    ratio = {x: r for x, r in ratio.items() if abs(r) >= toxicity.LEAST_RATIO}
+    order = sorted(ratio)
+    scaled = np.array([[ratio[x] if x in held else 0.0 for x in order] for held, _ in fitted])
+    label = np.array([float(x) for _, x in fitted])
+    norm = max(1.0, np.sqrt((scaled**2).sum() / len(label)))
+    matrix = scaled / norm
+    cost = np.array([(0.5 * len(label) / n[int(x)]) ** toxicity.BALANCE for x in label])
+    weights, offset, speed, push = np.zeros(len(order)), np.log(n[1] / n[0]), 0.0, 0.0
+    for _ in range(toxicity.STEPS):
+        error = cost * (1 / (1 + np.exp(-(matrix @ weights + offset))) - label) / len(label)
+        speed = 0.9 * speed - toxicity.RATE * (matrix.T @ error + toxicity.PENALTY * weights)
+        push = 0.9 * push - toxicity.RATE * error.sum()
+        weights, offset = weights + speed, offset + push
+    worth = {x: w * ratio[x] / norm for x, w in zip(order, weights)}
+    return [1 / (1 + np.exp(-min(30, max(-30, offset + sum(worth.get(x, 0.0) for x in held))))) for held in places]
+
+
+@pytest.mark.filterwarnings("ignore:overflow")
+def test_toxicity_equals_a_plain_version(spark):
+    rnd = random.Random(16)
+    rows, labels = [], []
+    for i in range(260):
+        text = [cases.word(rnd) for _ in range(rnd.randint(0, 40))]
+        if i % 4 == 0:
+            text.insert(rnd.randint(0, len(text)), rnd.choice(["vileFOO", "grumbar", "Snotbaz", "é漢😀vile"]) + rnd.choice(["", "ish", "."]))
+        rows.append((i, rnd.choice([" ", "\n", "\t "]).join(text)))
+        if i % 5:
+            labels.append((i, int(i % 4 == 0)))
+    rows += [(300, None), (301, ""), (None, "grumbar " * 3), (8, rows[8][1]), (302, "grumbarish " * 30_000 + "x" * 50_000)]
+    # Told twice and otherwise, a label counts as toxic; unknown labels and ids that no row has count for nothing.
+    labels += [(1, 1), (None, 1), (6, None), (7, 3), (999, 1)]
+    got = toxicity.toxicity(cases.frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    want = defaultdict(list)
+    for (i, _), score in zip(rows, plain_toxicity(rows, labels)):
+        want[i].append(score)
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r.score - want[r.doc_id][0]) < 1e-9, r
+        assert r.predicted == int(want[r.doc_id][0] >= toxicity.THRESHOLD)
+
+
 def test_toxicity_without_labels_or_rows(spark, docs, nothing):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.toxicity(docs, none).collect()} == {0}

@@ -264,7 +264,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """Fit on the labelled documents that are not held out, and score each row of `docs`.
 
     A null text is an empty one, which gets the score of the offset alone; repeated rows score alike; a
-    null id is not held out and has no label. Only texts make a score.
+    null id is not held out and has no label. An id labelled twice and otherwise is toxic; labels other than
+    0 and 1 and labels of unknown ids are passed over. An empty table gives no rows; without labels of both
+    classes all texts score alike. Other columns are not looked at. Only texts make a score.
     """
     rows = texts(docs, id_col, text_col)
     return score(rows, fit(rows, labels))
