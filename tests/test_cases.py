@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from variorum.functions import text as T
-from variorum.operators import dedupe, resolve, similar, votes
+from variorum.operators import assemble, dedupe, resolve, similar, votes
 from variorum.plans.fuse import fuse
 from variorum.sources import exports, files, lifecycle, responses, results
 from variorum.streaming import batch as B
@@ -135,6 +135,42 @@ def test_similar_pairs_equal_brute_force(spark):
         assert {(r.page_id, r.left_core, r.right_core) for r in got.collect()} == want
 
 
+def test_anchors_and_waits_over_many_buckets(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    rng = random.Random(5)
+    segments = []
+    for page in (1, 2):
+        for place in range(60):
+            text = rng.choice(["", " \n", "a%d" % place, "b", ""]) if not 20 < place < 40 else " "
+            # Numbers 700 apart: a bucket holds about six of them, and some hold no text at all.
+            segments.append((page, place * 700, text, rng.random() < 0.4))
+    df = spark.createDataFrame(segments, "page_id long, idx long, text string, disputed boolean").withColumn("candidates", F.lit("c"))
+    got = {(r.page_id, r.segment): (r.before, r.after) for r in assemble.review_anchors(df.repartition(5), ["page_id"]).collect()}
+    want = {}
+    for page, idx, _, disputed in segments:
+        if disputed:
+            near = [(i, t) for p, i, t, _ in segments if p == page and t.strip()]
+            want[page, idx] = (max([x for x in near if x[0] < idx], default=(0, ""))[1], min([x for x in near if x[0] > idx], default=(0, ""))[1])
+    assert got == want and len(want) > 20
+
+    start = datetime(2024, 1, 1)
+    events, clock = [], 0
+    for place in range(80):
+        clock += rng.choice([1, 5, 400, 20])
+        events.append(("d", "p", "engine", "m", place * 900, start + timedelta(seconds=clock), rng.choice(["attempt_start", "delta", "delta", "attempt_failed"])))
+    now = start + timedelta(seconds=clock + 500)
+    epoch, want = 0, {}
+    for this, then in zip(events, [*events[1:], (*events[0][:5], now, "")]):
+        epoch += this[6] == "attempt_start"
+        if this[6] in ("attempt_start", "delta") and (then[5] - this[5]).total_seconds() >= 300:
+            want.setdefault(epoch, this[5] + timedelta(seconds=300))
+    df = spark.createDataFrame(events, "doc_id string, page_id string, stage string, agent string, seq long, ts timestamp, type string")
+    got = {r.epoch: r.idle_at for r in B.idle_attempts(df, F.lit(now), 300).collect()}
+    assert got == want and len(want) > 3
+
+
 def test_files_on_disk(spark, tmp_path):
     deep = tmp_path / "x y" / "z%20"
     deep.mkdir(parents=True)

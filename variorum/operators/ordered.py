@@ -8,9 +8,9 @@ the carried value is joined back on the columns the rows are already partitioned
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BUCKET_ROWS = 4096
@@ -21,27 +21,57 @@ def bucket_of(order: str | Column, size: int = BUCKET_ROWS) -> Column:
     return F.floor(order / F.lit(size)).cast("long")
 
 
-def _carry(summary: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return summary.select(*keys, "_bucket", value.over(before).alias("_carried"))
+def two_pass(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    bucket: Column,
+    within: dict[str, Callable[[WindowSpec], Column]],
+    summary: dict[str, Column],
+    carried: dict[str, Callable[[WindowSpec], Column]],
+) -> DataFrame:
+    """Any number of scans in the same order for two readings of ``df`` and one join.
+
+    ``within``: columns of a row from the rows of its bucket, given the bucket's window in order.
+    ``summary``: aggregates of a bucket, reduced before the shuffle; ``carried``: columns that a bucket
+    gets from the summaries of its key, given their window in order. Both kinds of columns are added.
+    """
+    keys = list(keys)
+    marked = df.withColumn("_bucket", bucket)
+    rows = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    buckets = Window.partitionBy(*keys).orderBy("_bucket")
+    told = marked.groupBy(*keys, "_bucket").agg(*(c.alias(name) for name, c in summary.items()))
+    brought = told.select(*keys, "_bucket", *(make(buckets).alias(name) for name, make in carried.items()))
+    scanned = marked.select("*", *(make(rows).alias(name) for name, make in within.items()))
+    return scanned.join(brought, [*keys, "_bucket"]).drop("_bucket")
+
+
+def up_to(window: WindowSpec) -> WindowSpec:
+    return window.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def before(window: WindowSpec) -> WindowSpec:
+    return window.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def after(window: WindowSpec) -> WindowSpec:
+    return window.rowsBetween(1, Window.unboundedFollowing)
 
 
 def running_total(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column, value: Column, out: str
 ) -> DataFrame:
     """Inclusive running sum of ``value`` in order."""
-    marked = df.withColumn("_bucket", bucket).withColumn("_value", value.cast("long"))
-    within = (
-        Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    totals = marked.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_total"))
-    carried = _carry(totals, keys, F.sum("_total"))
-    return (
-        marked.withColumn(out, F.sum("_value").over(within))
-        .join(carried, [*keys, "_bucket"])
-        .withColumn(out, F.col(out) + F.coalesce(F.col("_carried"), F.lit(0)))
-        .drop("_bucket", "_value", "_carried")
+    scanned = two_pass(
+        df.withColumn("_value", value.cast("long")),
+        keys,
+        order,
+        bucket,
+        {out: lambda w: F.sum("_value").over(up_to(w))},
+        {"_total": F.sum("_value")},
+        {"_carried": lambda w: F.sum("_total").over(before(w))},
     )
+    return scanned.withColumn(out, F.col(out) + F.coalesce(F.col("_carried"), F.lit(0))).drop("_value", "_carried")
 
 
 def number_rows(
@@ -56,43 +86,17 @@ def carry_last(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: Column, out: str
 ) -> DataFrame:
     """Last non-null ``value`` up to and including the row."""
-    marked = df.withColumn("_bucket", bucket).withColumn("_value", value)
-    within = (
-        Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    newest = (
-        marked.filter(F.col("_value").isNotNull())
-        .groupBy(*keys, "_bucket")
-        .agg(F.max_by("_value", F.struct(*order)).alias("_newest"))
-    )
-    # Buckets without a value need the carry too, so every bucket gets a summary row.
-    every = marked.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    summary = every.join(newest, [*keys, "_bucket"], "left")
-    carried = _carry(summary, keys, F.last("_newest", ignorenulls=True))
-    return (
-        marked.withColumn(out, F.last("_value", ignorenulls=True).over(within))
-        .join(carried, [*keys, "_bucket"])
-        .withColumn(out, F.coalesce(F.col(out), F.col("_carried")))
-        .drop("_bucket", "_value", "_carried")
-    )
-
-
-def previous_value(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: Column, out: str
-) -> DataFrame:
-    """``value`` of the row before, null for the first row of a key."""
-    marked = df.withColumn("_bucket", bucket).withColumn("_value", value)
-    within = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    newest = marked.groupBy(*keys, "_bucket").agg(F.max_by("_value", F.struct(*order)).alias("_newest"))
-    before = Window.partitionBy(*keys).orderBy("_bucket")
-    carried = newest.select(*keys, "_bucket", F.lag("_newest").over(before).alias("_carried"))
-    return (
-        marked.withColumn("_at", F.row_number().over(within))
-        .withColumn(out, F.lag("_value").over(within))
-        .join(carried, [*keys, "_bucket"])
-        .withColumn(out, F.when(F.col("_at") == 1, F.col("_carried")).otherwise(F.col(out)))
-        .drop("_bucket", "_value", "_carried", "_at")
+    told = F.when(F.col("_value").isNotNull(), F.struct(*order))
+    scanned = two_pass(
+        df.withColumn("_value", value),
+        keys,
+        order,
+        bucket,
+        {out: lambda w: F.last("_value", ignorenulls=True).over(up_to(w))},
+        {"_newest": F.max_by("_value", told)},
+        {"_carried": lambda w: F.last("_newest", ignorenulls=True).over(before(w))},
     )
+    return scanned.withColumn(out, F.coalesce(F.col(out), F.col("_carried"))).drop("_value", "_carried")
 
 
 def joined_text(order: str, text: str, separator: str) -> Column:

@@ -246,21 +246,20 @@ def idle_attempts(events: DataFrame, now: Column, timeout: int = IDLE_SECONDS) -
 
     An attempt start or a fragment renews the wait; the next event of the agent, or ``now``, ends it.
     """
-    mine = events.filter(_is(*AGENT_EVENTS))
-    told = ordered.running_total(
-        mine, AGENT, ["seq"], ordered.bucket_of("seq"), _is("attempt_start").cast("int"), "epoch"
-    )
-    # A closing row per agent stands for "no event since".
-    last = told.groupBy(*AGENT).agg((F.max("seq") + 1).alias("seq"), F.max("epoch").alias("epoch"))
-    closing = last.select(*AGENT, "seq", now.alias("ts"), F.lit("").alias("type"), "epoch")
-    seen = told.select(*AGENT, "seq", "ts", "type", "epoch").unionByName(closing)
-    before = F.struct("ts", "type", "epoch")
-    lagged = ordered.previous_value(seen, AGENT, ["seq"], ordered.bucket_of("seq"), before, "before")
-    waited = F.unix_micros("ts") - F.unix_micros("before.ts")
-    idle = lagged.filter(F.col("before.type").isin("attempt_start", "delta") & (waited >= timeout * 1_000_000))
-    return idle.groupBy(*AGENT, F.col("before.epoch").alias("epoch")).agg(
-        (F.min("before.ts") + F.make_dt_interval(secs=F.lit(timeout))).alias("idle_at")
+    starts = _is("attempt_start").cast("long")
+    seen = ordered.two_pass(
+        events.filter(_is(*AGENT_EVENTS)).select(*AGENT, "seq", "ts", "type"),
+        AGENT,
+        ["seq"],
+        ordered.bucket_of("seq"),
+        {"epoch": lambda w: F.sum(starts).over(ordered.up_to(w)), "soon": lambda w: F.lead("ts").over(w)},
+        {"starts": F.sum(starts), "first_ts": F.min_by("ts", "seq")},
+        {"started": lambda w: F.sum("starts").over(ordered.before(w)), "later": lambda w: F.lead("first_ts").over(w)},
     )
+    waited = F.unix_micros(F.coalesce("soon", "later", now)) - F.unix_micros("ts")
+    idle = seen.filter(_is("attempt_start", "delta") & (waited >= timeout * 1_000_000))
+    epoch = (F.col("epoch") + F.coalesce("started", F.lit(0))).alias("epoch")
+    return idle.groupBy(*AGENT, epoch).agg((F.min("ts") + F.make_dt_interval(secs=F.lit(timeout))).alias("idle_at"))
 
 
 def retry_outcomes(events: DataFrame) -> DataFrame:
