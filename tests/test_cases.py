@@ -1,10 +1,14 @@
 """Small known cases: what goes in is a few readings, what must come out is spelled out."""
 
 import json
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks import inputs
 from variorum.functions import text as T
 from variorum.operators import assemble, dedupe, resolve, similar, votes
 from variorum.plans.fuse import fuse
@@ -85,6 +89,30 @@ def test_text_forms(spark):
     assert cut[1][0] == ["Two lines meet!"]
 
 
+def test_long_blank_runs_are_cleaned_in_one_pass(spark):
+    """Time by the square of a run of white space would take minutes here."""
+    start = time.time()
+    text = spark.createDataFrame([("a" + "\t " * 300_000 + "b. c" + " " * 300_000 + "!\u3000d",)], "text string")
+    told = text.select(T.clean_layout("text"), F.size(T.segments_of("text")), T.trim_space(F.concat("text", F.lit("\u2009\n")))).first()
+    assert told[:2] == ("a b.c!d", 2) and told[2].endswith("d") and time.time() - start < 30
+
+
+def test_sentences_equal_the_plain_cut(spark):
+    alphabet = "ab1é 。！？!?；;”’」\"')].,中𠀀\t\u2028\u3000$"
+    draw = random.Random(3)
+    texts = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 30))) for _ in range(3000)]
+    given = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    ends, closers = re.escape(T.SENTENCE_ENDS), re.escape(T.CLOSING_MARKS)
+    for row in given.select("text", T.clean_layout("text").alias("clean"), T.segments_of("text").alias("cut")).collect():
+        pieces = re.findall(f"[^{ends}]*[{ends}][{closers}]*|[^{ends}]+", row["clean"])
+        assert row["cut"] == [p.strip() for p in pieces if p.strip()]
+
+
+def test_engines_alone_cut_no_text(spark):
+    plan = inputs.readings(spark, "/root/testdata/sf0.001").select("page_id", "agent")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "replace" not in plan
+
+
 def test_answer_lines(spark):
     fence = "```"
     answers = spark.createDataFrame(

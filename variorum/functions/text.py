@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ MARKS = r"\p{P}\p{S}"
 SENTENCE_ENDS = "。！？!?；;"
 CLOSING_MARKS = "”’」』》）】〕〉])\"'"
 
+# The same white space as SPACE, for trimming without a regular expression.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 PREVIEW_CHARS = 2000
 
 
@@ -23,7 +27,7 @@ def col(c: str | Column) -> Column:
 
 def trim_space(c: str | Column) -> Column:
     """Trim every Unicode white space, not only U+0020."""
-    return F.regexp_replace(col(c), rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.trim(col(c), F.lit(SPACES))
 
 
 def is_blank(c: str | Column) -> Column:
@@ -32,7 +36,7 @@ def is_blank(c: str | Column) -> Column:
 
 def visible_form(c: str | Column) -> Column:
     """White space removed; marks kept. Two readings agree when this is equal."""
-    return F.regexp_replace(col(c), rf"[{SPACE}]+", "")
+    return F.regexp_replace(F.replace(col(c), F.lit(" "), F.lit("")), rf"{SPACE}+", "")
 
 
 def core_form(c: str | Column) -> Column:
@@ -42,21 +46,23 @@ def core_form(c: str | Column) -> Column:
 
 def clean_layout(c: str | Column) -> Column:
     """Keep a white-space run as one blank only between two neighbours that are not CJK or marks."""
-    glue = f"{CJK}{MARKS}"
-    inner = F.regexp_replace(trim_space(c), rf"(?<=[{glue}])[{SPACE}]+|[{SPACE}]+(?=[{glue}])", "")
-    return F.regexp_replace(inner, rf"[{SPACE}]+", " ")
+    glue = f"[{CJK}{MARKS}]"
+    # Runs become one blank first, so scripts are looked up beside blanks only, not at every character.
+    single = F.regexp_replace(trim_space(c), rf"{SPACE}(?:{SPACE}+|(?<! ))", " ")
+    return F.regexp_replace(single, rf" (?:(?<={glue} )|(?={glue}))", "")
 
 
-def segment_pattern(terminators: str = SENTENCE_ENDS) -> str:
-    ends = re.escape(terminators)
-    closers = re.escape(CLOSING_MARKS)
-    return rf"[^{ends}]*[{ends}][{closers}]*|[^{ends}]+"
+def sentence_end(terminators: str = SENTENCE_ENDS) -> str:
+    """A terminator and the closing marks after it. Its category is tested first: one test where the set takes many."""
+    kinds = "".join(sorted({rf"\p{{{unicodedata.category(t)}}}" for t in terminators}))
+    return rf"[{kinds}](?<=[{re.escape(terminators)}])[{re.escape(CLOSING_MARKS)}]*"
 
 
 def segments_of(c: str | Column, terminators: str = SENTENCE_ENDS) -> Column:
     """Array of sentences of a whole text, in order; empty array for blank text."""
-    pieces = F.regexp_extract_all(clean_layout(c), F.lit(segment_pattern(terminators)), F.lit(0))
-    return F.filter(F.transform(pieces, trim_space), lambda s: s != "")
+    # Cleaning leaves no white space but blanks, so a line break can mark the cuts.
+    pieces = F.split(F.regexp_replace(clean_layout(c), sentence_end(terminators), "$0\n"), "\n")
+    return F.filter(F.transform(pieces, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def code_points(c: str | Column) -> Column:
