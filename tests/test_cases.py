@@ -163,6 +163,20 @@ def test_similar_pairs_equal_brute_force(spark):
         assert {(r.page_id, r.left_core, r.right_core) for r in got.collect()} == want
 
 
+def test_similar_pairs_of_small_and_large_keys(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = [(k, "".join(rng.choice("abé😀") for _ in range(rng.randint(1, 9)))) for k in (0, 0, 0, 1) for _ in range(20)]
+    df = spark.createDataFrame(texts + [(0, None), (None, "abab"), (None, "aba")], "page_id int, text string")
+    both = similar.similar_segments(df, ["page_id"], "text", 0.3, direct=30)
+    columns = ("page_id", "left_core", "right_core", "copies_left", "copies_right", "similarity")
+    ways = [{tuple(r[c] for c in columns) for r in similar.similar_segments(df, ["page_id"], "text", 0.3, direct=d).collect()} for d in (0, 99)]
+    assert {tuple(r[c] for c in columns) for r in both.collect()} == ways[0] == ways[1] and len(ways[0]) > 50
+    # A page's forms are shuffled once as they are, not once a gram.
+    assert "gram#" not in similar.similar_segments(df, ["page_id"], "text")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_anchors_and_waits_over_many_buckets(spark):
     import random
     from datetime import datetime, timedelta

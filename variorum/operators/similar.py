@@ -3,67 +3,168 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from variorum.functions import text as T
 from variorum.session import stage
 
+#: Keys with at most this many forms are compared form by form, larger ones through an index.
+DIRECT = 4096
+_WORDS = 4
 
-def similar_segments(df: DataFrame, keys: Sequence[str], text: str, floor: float = 0.35) -> DataFrame:
-    """Pairs of distinct core forms of a key whose bigram Jaccard exceeds ``floor``.
 
-    Copies are grouped first and come back as counts, so a sentence that fills a third of a table
-    is one row here and the result stays whole. Candidate pairs come from an inverted index on the
-    rarest bigrams of each form: two sets with Jaccard above ``floor`` must share a gram among the
-    first ``size - ceil(floor * size) + 1`` in any common order. Sizes, and how many grams can
-    still follow the first shared one, are checked inside the join, before anything is emitted.
+def _profile(core: str) -> Column:
+    """Struct ``size, marks``: the number of distinct bigrams, and the set of them as 256 bits in four numbers.
+
+    A bit may stand for several grams. One-element wrappers bind what is used more than once.
     """
-    keys = list(keys)
-    # Forms feed three branches and the prefix two; each is written once, so the texts are cut once.
-    forms = stage(
-        df.select(*keys, T.core_form(text).alias("core"))
-        .filter("core <> ''")
-        .groupBy(*keys, "core")
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("grams", T.bigrams("core"))
-        .withColumn("size", F.size("grams"))
-        .filter("size > 0"),
-        "forms",
-    )
-    spread = forms.select(*keys, "core", "size", F.explode("grams").alias("gram"))
+
+    def word(places: Column, at: int) -> Column:
+        mine = F.filter(places, lambda p: F.shiftright(p, 6) == at)
+        one = F.lit(1).cast("long")
+        return F.aggregate(
+            mine, F.lit(0).cast("long"), lambda told, p: told.bitwiseOR(F.call_function("shiftleft", one, p.bitwiseAND(63)))
+        )
+
+    def marked(grams: Column) -> Column:
+        places = F.array_distinct(F.transform(grams, lambda g: F.hash(g).bitwiseAND(_WORDS * 64 - 1)))
+        marks = F.element_at(F.transform(F.array(places), lambda p: F.array(*(word(p, at) for at in range(_WORDS)))), 1)
+        return F.struct(F.size(grams).alias("size"), marks.alias("marks"))
+
+    return F.element_at(F.transform(F.array(T.bigrams(core)), marked), 1)
+
+
+def _may_exceed(floor: float) -> Column:
+    """False only where sizes or marks show that Jaccard can't exceed ``floor``.
+
+    A bit that only one side has stands for a gram at least that the other side lacks, so both sides bound what they
+    share from above.
+    """
+
+    def lacking(one: str, other: str) -> Column:
+        return reduce(
+            add, (F.bit_count(F.col(f"{one}_m{at}").bitwiseAND(F.bitwise_not(F.col(f"{other}_m{at}")))) for at in range(_WORDS))
+        )
+
+    smaller = F.least("l_size", "r_size")
+    larger = F.greatest("l_size", "r_size")
+    shared = F.least(F.col("l_size") - lacking("l", "r"), F.col("r_size") - lacking("r", "l"))
+    needed = (F.col("l_size") + F.col("r_size")) * (floor / (1 + floor))
+    return (smaller > larger * floor) & (shared >= needed - 1e-9)
+
+
+def _numbered_grams(core: str) -> Column:
+    """The distinct bigrams of a core form, each as one number, which compare faster than texts."""
+    second = lambda g: F.ascii(F.substring(g, 2, 1))
+    return F.transform(T.bigrams(core), lambda g: F.ascii(g).cast("long") * 2097152 + second(g))
+
+
+def _compared(forms: DataFrame, keys: list[str], floor: float) -> DataFrame:
+    """Pairs of forms of a key, each with each: a form is shuffled once, and most pairs are told by their marks."""
+    columns = ("core", "copies", "size", *(f"m{at}" for at in range(_WORDS)), "grams")
+    # Dealt before the join, so that grams are made behind the shuffle.
+    dealt = forms.repartition(*keys).withColumn("grams", _numbered_grams("core"))
+    left = dealt.select(*keys, *(F.col(c).alias(f"l_{c}") for c in columns))
+    right = dealt.select(*keys, *(F.col(c).alias(f"r_{c}") for c in columns))
+    return left.join(right, keys).filter((F.col("l_core") < F.col("r_core")) & _may_exceed(floor))
+
+
+def _indexed(forms: DataFrame, keys: list[str], floor: float) -> DataFrame:
+    """The same pairs from an inverted index on the rarest bigrams of each form.
+
+    Two sets with Jaccard above ``floor`` must share a gram among the first ``size - ceil(floor * size) + 1`` in any
+    common order. Sizes, and how many grams can still follow the first shared one, are checked inside the join, before
+    anything is emitted. A gram's row holds the number of its form, not its text.
+    """
+    spread = forms.select(*keys, "form", "size", F.explode(T.bigrams("core")).alias("gram"))
     common = spread.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("df"))
-    by_form = Window.partitionBy(*keys, "core").orderBy("df", "gram")
+    by_form = Window.partitionBy(*keys, "form").orderBy("df", "gram")
     prefix = stage(
         spread.join(common, [*keys, "gram"])
         .withColumn("at", F.row_number().over(by_form))
-        .filter(F.col("at") <= F.col("size") - F.ceil(F.col("size") * floor) + 1),
+        .filter(F.col("at") <= F.col("size") - F.ceil(F.col("size") * floor) + 1)
+        .drop("df"),
         "prefix",
     )
-    left = prefix.select(*keys, "gram", *(F.col(c).alias(f"l_{c}") for c in ("core", "size", "at")))
-    right = prefix.select(*keys, "gram", *(F.col(c).alias(f"r_{c}") for c in ("core", "size", "at")))
+    left = prefix.select(*keys, "gram", *(F.col(c).alias(f"l_{c}") for c in ("form", "size", "at")))
+    right = prefix.select(*keys, "gram", *(F.col(c).alias(f"r_{c}") for c in ("form", "size", "at")))
     smaller = F.least("l_size", "r_size")
     larger = F.greatest("l_size", "r_size")
     needed = (F.col("l_size") + F.col("r_size")) * (floor / (1 + floor))
     possible = F.least(F.col("l_size") - F.col("l_at"), F.col("r_size") - F.col("r_at")) + 1
     candidates = (
         left.join(right, [*keys, "gram"])
-        .filter(
-            (F.col("l_core") < F.col("r_core"))
-            & (smaller > larger * floor)
-            & (possible >= needed - 1e-9)
-        )
-        .select(*keys, F.col("l_core").alias("left_core"), F.col("r_core").alias("right_core"))
+        .filter((F.col("l_form") < F.col("r_form")) & (smaller > larger * floor) & (possible >= needed - 1e-9))
+        .select(*keys, "l_form", "r_form")
         .distinct()
     )
-    side = forms.select(*keys, "core", "copies", "grams")
-    a = side.select(*keys, F.col("core").alias("left_core"), F.col("copies").alias("copies_left"), F.col("grams").alias("_a"))
-    b = side.select(*keys, F.col("core").alias("right_core"), F.col("copies").alias("copies_right"), F.col("grams").alias("_b"))
+
+    def side(name: str) -> DataFrame:
+        told = forms.withColumn("grams", _numbered_grams("core"))
+        return told.select(*keys, *(F.col(c).alias(f"{name}_{c}") for c in ("form", "core", "copies", "size", "grams")))
+
+    found = candidates.join(side("l"), [*keys, "l_form"]).join(side("r"), [*keys, "r_form"])
+    turned = F.col("l_core") > F.col("r_core")
+
+    def of(column: str, first: str, second: str) -> Column:
+        return F.when(turned, F.col(f"{second}_{column}")).otherwise(F.col(f"{first}_{column}"))
+
+    return found.select(
+        *keys,
+        of("core", "l", "r").alias("l_core"),
+        of("core", "r", "l").alias("r_core"),
+        of("copies", "l", "r").alias("l_copies"),
+        of("copies", "r", "l").alias("r_copies"),
+        "l_size",
+        "r_size",
+        "l_grams",
+        "r_grams",
+    )
+
+
+def similar_segments(
+    df: DataFrame, keys: Sequence[str], text: str, floor: float = 0.35, direct: int = DIRECT
+) -> DataFrame:
+    """Pairs of distinct core forms of a key whose bigram Jaccard exceeds ``floor``.
+
+    Copies are grouped first and come back as counts, so a sentence that fills a third of a table
+    is one row here and the result stays whole. Keys of up to ``direct`` forms, as pages are, are compared
+    form by form, which shuffles a form once; larger ones go through an inverted index. Both give all pairs.
+    """
+    keys = list(keys)
+    # Forms feed both ways and their choice; they are written once, so the texts are cut once.
+    forms = stage(
+        df.select(*keys, T.core_form(text).alias("core"))
+        .groupBy(*keys, "core")
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .filter("char_length(core) > 1")
+        .select(*keys, "core", "copies", F.monotonically_increasing_id().alias("form"), _profile("core").alias("p")),
+        "forms",
+    )
+    marks = (F.element_at("p.marks", at + 1).alias(f"m{at}") for at in range(_WORDS))
+    forms = forms.select(*keys, "core", "copies", "form", "p.size", *marks)
+    large = forms.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > direct).select(*keys)
+    columns = [*keys, *(f"{side}_{c}" for side in "lr" for c in ("core", "copies", "size", "grams"))]
+    pairs = _compared(forms.join(large, keys, "left_anti"), keys, floor).select(*columns)
+    if not large.isEmpty():
+        pairs = pairs.unionByName(_indexed(forms.join(large, keys, "left_semi"), keys, floor).select(*columns))
+    # Exploded, because the filter would otherwise be pushed down and the grams be compared twice.
+    shared = F.explode_outer(F.array(F.size(F.array_intersect("l_grams", "r_grams")))).alias("shared")
+    union = F.col("l_size") + F.col("r_size") - F.col("shared")
     return (
-        candidates.join(a, [*keys, "left_core"])
-        .join(b, [*keys, "right_core"])
-        .withColumn("similarity", T.jaccard(F.col("left_core"), F.col("_a"), F.col("right_core"), F.col("_b")))
+        pairs.select("*", shared)
+        .withColumn("similarity", F.try_divide(F.col("shared").cast("double"), union.cast("double")))
         .filter(F.col("similarity") > floor)
-        .select(*keys, "left_core", "right_core", "copies_left", "copies_right", "similarity")
+        .select(
+            *keys,
+            F.col("l_core").alias("left_core"),
+            F.col("r_core").alias("right_core"),
+            F.col("l_copies").alias("copies_left"),
+            F.col("r_copies").alias("copies_right"),
+            "similarity",
+        )
     )
