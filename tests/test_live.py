@@ -7,6 +7,7 @@ from types import SimpleNamespace
 
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 
 from variorum import schemas
 from variorum.sources.lifecycle import usable
@@ -182,3 +183,53 @@ def test_beat_of_a_running_stream(spark, tmp_path, make):
     assert len(beats) >= 3
     assert all((b - a).total_seconds() >= 1 for a, b in zip(beats, beats[1:]))
     assert told[-1].finished_at is not None and told[-1].observed_at is None
+
+
+class Counted(Value):
+    def __init__(self):
+        super().__init__()
+        self.calls = 0
+
+    def get(self):
+        self.calls += 1
+        return super().get()
+
+    def update(self, value):
+        self.calls += 1
+        super().update(value)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_packed_numbers_equal_a_set(seed):
+    rng = random.Random(seed)
+    runs, value = Runs(), Counted()
+    handle = SimpleNamespace(getMapState=lambda *a: runs, getValueState=lambda *a: value)
+    seen = live._Seen(handle, None, packed=4, own="count long")
+    known, newest = set(), -1
+    for _ in range(30):
+        batch = [rng.randrange(newest + 1 if rng.random() < 0.5 else 0, newest + 40) for _ in range(rng.randrange(1, 8))]
+        assert (seen.load() or (0,))[0] == len(known)
+        fresh, late = seen.take(iter([pd.DataFrame({"seq": batch})]))
+        assert [e["seq"] for e in fresh] == sorted({n for n in batch if n > newest})
+        assert [e["seq"] for e in late] == sorted({n for n in batch if n < newest} - known)
+        known |= set(batch)
+        newest = max(newest, *batch)
+        if fresh or late:
+            seen.keep(len(known))
+        start, end, starts, ends, _ = value.value
+        whole = [*((low, high) for (low,), (high,) in runs.items()), *zip(starts, ends), (start, end)]
+        assert len(starts) < 4
+        assert sum(high - low + 1 for low, high in whole) == len(known)
+        assert len(set(whole)) == len(whole) == sum(n - 1 not in known for n in known)
+
+
+def test_a_key_costs_two_calls_a_batch():
+    """A map entry a gap was a call to the state store a row."""
+    value = Counted()
+    handle = SimpleNamespace(getMapState=lambda *a: None, getValueState=lambda *a: value)
+    gate = live.TerminalGate(["seq", "type"], ["doc_id"], ("done",))
+    gate.init(handle)
+    for k in range(3):
+        rows = [Row(seq=100 * k + 3 * n, type="delta") for n in range(20)]
+        assert len(list(gate.handleInputRows(("d",), iter(rows), None))) == 20
+        assert value.calls == 2 * (k + 1)

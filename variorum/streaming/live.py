@@ -5,8 +5,9 @@ a repeat and is dropped. One below the newest ``seq`` that was never seen is lat
 changed is told already, so it does not count, and comes out as JSON in the column ``late_event`` of a row
 of its own. ``run_once`` writes these rows to a folder beside the others and returns their number.
 
-State of a key is a fixed set of small values and the seen ``seq`` as runs, whose number is that of the gaps;
-they are only read when a row is below the newest: texts are kept as counters and bounded tails, never whole. With ``expire`` idle state is dropped after
+State of a key is a fixed set of small values and the seen ``seq`` as runs, whose number is that of the gaps. The
+newest runs stand beside the values, so that a key costs one read and one write a micro-batch; older ones
+are only read when a row is below those. Texts are kept as counters and bounded tails, never whole. With ``expire`` idle state is dropped after
 ``STATE_HOURS``; that needs the processing clock, which never lets a run over "what is there" end,
 so drained runs leave it out.
 """
@@ -18,7 +19,7 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -30,6 +31,7 @@ from variorum.streaming import batch as B
 STATE_HOURS = 24
 HEARTBEAT_MS = 1000
 TAIL = 2000
+PACKED = 256
 LATE = "late_event"
 CLOCK = "clock"
 ENDS = "ends__"  # rows come to a processor through names that may not begin with an underscore
@@ -111,39 +113,64 @@ def _apply(s: dict, e: dict) -> None:
         s.update(status="failed" if e["error"] else "completed", error=e["error"], finished_at=e["at"])
 
 
-def _ordered(rows: Iterator[pd.DataFrame]) -> list[dict]:
-    frames = [f for f in rows if len(f)]
-    if not frames:
-        return []
-    return pd.concat(frames).sort_values("seq", kind="stable").to_dict("records")
+def _ordered(parts: Iterator[Row | pd.DataFrame]) -> list[dict]:
+    events = []
+    for part in parts:
+        events.extend([part.asDict()] if isinstance(part, Row) else part.to_dict("records"))
+    return sorted(events, key=lambda event: event["seq"])
 
 
 class _Seen:
     """The ``seq`` that a key has seen, as runs from start to end: state grows with the gaps, not with the rows.
 
-    The newest run is kept apart, so rows in order read and write one small value; all runs are only read
-    for a row below the newest number.
+    A call to the state store costs more than the work on a row. So the newest ``packed`` runs of a key stand in one
+    value, beside the ``own`` values of its processor; older runs have a map entry each, which is only read for a row
+    below those of the value. Without ``packed`` all runs are in the map and the newest one in the value too.
     """
 
-    def __init__(self, handle: StatefulProcessorHandle, ttl: int | None):
+    def __init__(self, handle: StatefulProcessorHandle, ttl: int | None, packed: int = 0, own: str = ""):
         self.runs = handle.getMapState("runs", "start long", "end long", ttl)
-        self.newest = handle.getValueState("newest", "start long, end long", ttl)
-
-    def take(self, rows: Iterator[pd.DataFrame]) -> tuple[list[dict], list[dict]]:
-        """Rows above the newest ``seq`` in order, and those below it that were never seen; no repeats."""
-        start, end = self.newest.get() if self.newest.exists() else (None, None)
-        known, runs, changed = end, None, {}
+        kept = "start long, end long, starts array<long>, ends array<long>"
+        self.newest = handle.getValueState("newest", f"{kept}, {own}" if own else kept, ttl)
+        self.packed, self.alone = packed, not own
+
+    def load(self) -> tuple | None:
+        """The values that the processor kept for this key."""
+        value = self.newest.get()
+        self.recent, self.mapped = [], {}
+        if value is None:
+            return None
+        start, end, starts, ends, *own = value
+        self.recent = [*zip(starts, ends), (start, end)]
+        if not self.packed:
+            self.mapped[start] = end
+        return tuple(own)
+
+    def take(self, parts: Iterator[Row | pd.DataFrame]) -> tuple[list[dict], list[dict]]:
+        """Rows above the newest ``seq`` in order, and those below it that were never seen; no repeats.
+
+        With ``own`` values the caller has to ``load`` before it, and to ``keep`` after it if there are any rows.
+        """
+        if self.alone:
+            self.load()
+        runs = self.recent
+        known, whole = runs[-1][1] if runs else None, False
         fresh, late = [], []
-        for event in _ordered(rows):
+        for event in _ordered(parts):
             seq = int(event["seq"])
-            if end is None or seq > end:
-                start = start if end is not None and seq == end + 1 else seq
-                end = changed[start] = seq
+            if not runs or seq > runs[-1][1]:
+                if runs and seq == runs[-1][1] + 1:
+                    runs[-1] = (runs[-1][0], seq)
+                else:
+                    runs.append((seq, seq))
                 fresh.append(event)
             elif known is not None and seq <= known:
-                if runs is None:
-                    runs = sorted((k[0], v[0]) for k, v in self.runs.iterator())
-                at = bisect_right(runs, (seq, end))
+                # Rows come in order, so the map is read before any run has changed.
+                if not whole and seq < runs[0][0]:
+                    whole = True
+                    self.mapped = {k[0]: v[0] for k, v in self.runs.iterator()}
+                    runs[:] = sorted((self.mapped | dict(runs)).items())
+                at = bisect_right(runs, (seq, runs[-1][1]))
                 if at and runs[at - 1][1] >= seq:
                     continue
                 low = high = seq
@@ -151,39 +178,47 @@ class _Seen:
                     at -= 1
                     low = runs.pop(at)[0]
                 if at < len(runs) and runs[at][0] == seq + 1:
-                    gone, high = runs.pop(at)
-                    self.runs.removeKey((gone,))
-                    changed.pop(gone, None)
-                    start = low if gone == start else start
+                    high = runs.pop(at)[1]
                 runs.insert(at, (low, high))
-                changed[low] = high
                 late.append(event)
-        for low, high in changed.items():
-            self.runs.updateValue((low,), (high,))
-        if changed:
-            self.newest.update((start, end))
+        if self.alone and (fresh or late):
+            self.keep()
         return fresh, late
 
+    def keep(self, *own) -> None:
+        """Write the runs, and the processor's values beside them."""
+        split = max(0, len(self.recent) - self.packed)
+        older, packed = dict(self.recent[:split]), self.recent[split:-1]
+        for low in self.mapped.keys() - older.keys():
+            self.runs.removeKey((low,))
+        for low, high in older.items():
+            if self.mapped.get(low) != high:
+                self.runs.updateValue((low,), (high,))
+        self.newest.update((*self.recent[-1], [low for low, _ in packed], [high for _, high in packed], *own))
+
     def clear(self) -> None:
         self.runs.clear()
         self.newest.clear()
 
 
-def _late_rows(columns: Sequence[str], keys: Sequence[str], key, late: list[dict]) -> pd.DataFrame:
+def _late_rows(keys: Sequence[str], key, late: list[dict]) -> Iterator[Row]:
     told = dict(zip(keys, key))
-    rows = [{**told, LATE: json.dumps({**told, **event}, default=str)} for event in late]
-    frame = pd.DataFrame(rows, columns=columns, dtype=object)
-    return frame.where(frame.notna(), None)
+    for event in late:
+        yield Row(**told, **{LATE: json.dumps({**told, **event}, default=_as_text)})
+
 
+def _as_text(value) -> str:
+    return str(value.replace(tzinfo=None) if hasattr(value, "tzinfo") else value)
 
-def _only_timer(handle: StatefulProcessorHandle, at: int | None) -> None:
-    """Leave the key one timer, or none."""
-    standing = list(handle.listTimers())
-    for timer in standing:
-        if timer != at:
-            handle.deleteTimer(timer)
-    if at is not None and at not in standing:
-        handle.registerTimer(at)
+
+def _move_timer(handle: StatefulProcessorHandle, standing: int | None, at: int | None) -> int | None:
+    """Leave the key one timer, or none; a processor keeps the time of its timer, so that none are listed."""
+    if standing != at:
+        if standing is not None:
+            handle.deleteTimer(standing)
+        if at is not None:
+            handle.registerTimer(at)
+    return at
 
 
 class AgentFold(StatefulProcessor):
@@ -195,46 +230,42 @@ class AgentFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("agent", _STATE, self.ttl)
-        self.seen = _Seen(handle, self.ttl)
+        self.seen = _Seen(handle, self.ttl, PACKED, f"{_STATE}, timer long")
 
-    def _row(self, key, s: dict, observed: int | None) -> pd.DataFrame:
-        told = dict(zip(B.AGENT, key))
-        told.update({c: s[c] for c in _COLUMNS if c not in ("closed_tokens", "open_run")})
+    def _row(self, key, s: dict, observed: int | None) -> Row:
+        told = {c: s[c] for c in _COLUMNS if c not in ("closed_tokens", "open_run")}
         told["tokens"] = s["closed_tokens"] + (s["open_run"] + 3) // 4
-        told["observed_at"] = observed
-        told[LATE] = None
-        frame = pd.DataFrame([told])
-        for c in ("first_token_at", "first_output_at", "finished_at", "observed_at"):
-            frame[c] = frame[c].astype("Int64")
-        return frame
-
-    def _schedule(self, s: dict, timers) -> None:
+        return Row(**dict(zip(B.AGENT, key)), **told, observed_at=observed)
+
+    def _keep(self, s: dict, timer: int | None, timers) -> None:
         if self.beat:
             running = s["finished_at"] is None
-            _only_timer(self.handle, timers.getCurrentProcessingTimeInMs() + HEARTBEAT_MS if running else None)
+            at = timers.getCurrentProcessingTimeInMs() + HEARTBEAT_MS if running else None
+            timer = _move_timer(self.handle, timer, at)
+        self.seen.keep(*(s[c] for c in _COLUMNS), timer)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.state.get() if self.state.exists() else None
-        s = dict(zip(_COLUMNS, known)) if known is not None else None
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.seen.load()
+        s, timer = (dict(zip(_COLUMNS, known)), known[-1]) if known is not None else (None, None)
         fresh, late = self.seen.take(rows)
         for event in fresh:
             if s is None:
                 s = _fresh(event["at"])
             _apply(s, event)
             s["last_seq"] = int(event["seq"])
-        if late:
-            yield _late_rows([part.split()[0] for part in _OUTPUT.split(", ")], B.AGENT, key, late)
+        yield from _late_rows(B.AGENT, key, late)
         if fresh:
-            self.state.update(tuple(s[c] for c in _COLUMNS))
-            self._schedule(s, timerValues)
+            self._keep(s, timer, timerValues)
             yield self._row(key, s, None)
+        elif late:
+            self.seen.keep(*known)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self.seen.load()
+        if known is None:
             return
-        s = dict(zip(_COLUMNS, self.state.get()))
-        self._schedule(s, timerValues)
+        s = dict(zip(_COLUMNS, known))
+        self._keep(s, None, timerValues)
         yield self._row(key, s, timerValues.getCurrentProcessingTimeInMs() * 1000)
 
     def close(self) -> None:
@@ -259,7 +290,7 @@ def agent_progress(events: DataFrame, beat: bool = False, expire: bool = False)
     folded = (
         mine.select(*B.AGENT, "seq", "at", "type", "kind", "text", "attempt", "max_attempts", "error", "parts.*")
         .groupBy(*B.AGENT)
-        .transformWithStateInPandas(
+        .transformWithState(
             AgentFold(beat, expire), outputStructType=_OUTPUT, outputMode="Update", timeMode=_clock(beat or expire)
         )
     )
@@ -275,25 +306,24 @@ class TerminalGate(StatefulProcessor):
         self.ttl = STATE_HOURS * 3_600_000 if expire else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.closed = handle.getValueState("gate", "closed_at long", self.ttl)
-        self.seen = _Seen(handle, self.ttl)
+        self.seen = _Seen(handle, self.ttl, PACKED, "closed_at long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        closed = self.closed.get()[0] if self.closed.exists() else None
-        if closed is not None:
-            rows = (part[part["seq"] < closed] for part in rows)
-        fresh, late = self.seen.take(rows)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.seen.load()
+        closed = known[0] if known is not None else None
+        fresh, late = self.seen.take(row for row in rows if closed is None or row["seq"] < closed)
+        if not fresh and not late:
+            return
         ends = [int(e["seq"]) for e in (*late, *fresh) if e["type"] in self.terminal]
         if ends:
             closed = min(ends)
-            self.closed.update((closed,))
+        self.seen.keep(closed)
         passed = [e for e in fresh if closed is None or e["seq"] <= closed]
         late = [e for e in late if closed is None or e["seq"] <= closed]
-        if passed:
-            yield pd.DataFrame(passed)[self.columns].assign(**{LATE: None})
-        if late:
-            told = _late_rows([LATE], self.keys, key, late)[LATE]
-            yield pd.DataFrame(late)[self.columns].assign(**{LATE: told})
+        for event in passed:
+            yield Row(**{c: event[c] for c in self.columns})
+        for event, told in zip(late, _late_rows(self.keys, key, late)):
+            yield Row(**{c: event[c] for c in self.columns}, **{LATE: told[LATE]})
 
     def close(self) -> None:
         pass
@@ -305,7 +335,7 @@ def after_terminal(
     """Events up to each key's first terminal one, and late ones marked; a late terminal one closes its key too. With ``expire`` a key is forgotten after STATE_HOURS without
     an event, so that repeats later than that pass again."""
     ship_package(events.sparkSession)
-    return events.groupBy(*keys).transformWithStateInPandas(
+    return events.groupBy(*keys).transformWithState(
         TerminalGate(events.columns, keys, terminal, expire),
         outputStructType=S.StructType([*events.schema.fields, S.StructField(LATE, S.StringType())]),
         outputMode="Append",
@@ -326,44 +356,42 @@ class IdleWatch(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("wait", "last_seq long, epoch long, since long, told long", self.ttl)
-        self.seen = _Seen(handle, self.ttl)
+        self.seen = _Seen(handle, self.ttl, PACKED, "last_seq long, epoch long, since long, told long, timer long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, epoch, since, told = self.state.get() if self.state.exists() else (None, 0, None, -1)
-        fresh, late = self.seen.take(part[part["type"] != CLOCK] for part in rows)
-        columns = IDLE_COLUMNS
-        if late:
-            yield _late_rows(columns, B.AGENT, key, late)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.seen.load()
+        last, epoch, since, told, timer = known if known is not None else (None, 0, None, -1, None)
+        fresh, late = self.seen.take(row for row in rows if row["type"] != CLOCK)
+        yield from _late_rows(B.AGENT, key, late)
         if not fresh:
+            if late:
+                self.seen.keep(*known)
             return
         found = []
         for event in fresh:
             last = int(event["seq"])
             if since is not None and event["at"] - since >= self.timeout and told < epoch:
                 told = epoch
-                found.append((*key, epoch, since + self.timeout, last, False, None))
+                found.append((*key, epoch, since + self.timeout, last, False))
             epoch += event["type"] == "attempt_start"
             since = int(event["at"]) if event["type"] in ("attempt_start", "delta") else None
-        self.state.update((last, epoch, since, told))
         open_at = since + self.timeout if since is not None and told < epoch else None
         if self.timed:
-            _only_timer(self.handle, None if open_at is None else -(-open_at // 1000))
+            timer = _move_timer(self.handle, timer, None if open_at is None else -(-open_at // 1000))
         else:
-            found.append((*key, epoch, open_at, last, True, None))
-        if found:
-            yield self._rows(found)
+            found.append((*key, epoch, open_at, last, True))
+        self.seen.keep(last, epoch, since, told, timer)
+        yield from self._rows(found)
 
-    def _rows(self, found: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(found, columns=IDLE_COLUMNS)
-        frame["idle_at"] = frame["idle_at"].astype("Int64")
-        return frame
+    def _rows(self, found: list[tuple]) -> Iterator[Row]:
+        for values in found:
+            yield Row(**dict(zip(IDLE_COLUMNS, values)))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, epoch, since, told = self.state.get()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        last, epoch, since, told, _ = self.seen.load()
         if since is not None and told < epoch:
-            self.state.update((last, epoch, since, epoch))
-            yield self._rows([(*key, epoch, since + self.timeout, last, False, None)])
+            self.seen.keep(last, epoch, since, epoch, None)
+            yield from self._rows([(*key, epoch, since + self.timeout, last, False)])
 
     def close(self) -> None:
         pass
@@ -382,7 +410,7 @@ def idle_attempts(events: DataFrame, timeout: int = B.IDLE_SECONDS, expire: bool
     waits = (
         mine.select(*B.AGENT, "seq", "at", "type")
         .groupBy(*B.AGENT)
-        .transformWithStateInPandas(
+        .transformWithState(
             IdleWatch(timeout, expire),
             outputStructType=_IDLE,
             outputMode="Update",
@@ -403,7 +431,7 @@ def idle_reports(events: DataFrame, timeout: int = B.IDLE_SECONDS, delay: str =
     told = (
         timely.select(*B.AGENT, "seq", "ts", F.unix_micros("ts").alias("at"), "type")
         .groupBy(*B.AGENT)
-        .transformWithStateInPandas(
+        .transformWithState(
             IdleWatch(timeout, timed=True), outputStructType=_IDLE, outputMode="Append", timeMode="EventTime"
         )
     )
@@ -423,29 +451,28 @@ class PageFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.page = handle.getValueState("page", _PAGE, self.ttl)
+        self.page = handle.getValueState("page", f"{_PAGE}, timer long", self.ttl)
         self.agents = handle.getMapState("agents", "stage string, agent string", _STATE, self.ttl)
-        self.seen = _Seen(handle, self.ttl)
+        self.seen = _Seen(handle, self.ttl, PACKED)
 
-    def _row(self, key, page: dict, observed: int | None) -> pd.DataFrame:
-        told = dict(zip(B.PAGE, key)) | page | {"observed_at": observed, LATE: None}
-        frame = pd.DataFrame([told])
-        for c in ("finished_at", "observed_at"):
-            frame[c] = frame[c].astype("Int64")
-        return frame
+    def _row(self, key, page: dict, observed: int | None) -> Row:
+        return Row(**dict(zip(B.PAGE, key)), **page, observed_at=observed)
 
-    def _schedule(self, page: dict, timers) -> None:
+    def _keep(self, page: dict, timer: int | None, timers) -> None:
         if self.beat:
             running = page["status"] == "running"
-            _only_timer(self.handle, timers.getCurrentProcessingTimeInMs() + HEARTBEAT_MS if running else None)
+            at = timers.getCurrentProcessingTimeInMs() + HEARTBEAT_MS if running else None
+            timer = _move_timer(self.handle, timer, at)
+        self.page.update((*(page[c] for c in PAGE_COLUMNS), timer))
 
-    def _agent(self, agents: dict, event: dict) -> None:
+    @staticmethod
+    def _agent(agents: dict, event: dict) -> tuple:
         name = (event["stage"], event["agent"])
         if name not in agents:
-            known = self.agents.containsKey(name)
-            agents[name] = dict(zip(_COLUMNS, self.agents.getValue(name))) if known else _fresh(event["at"])
+            agents[name] = _fresh(event["at"])
         _apply(agents[name], event)
         agents[name]["last_seq"] = int(event["seq"])
+        return name
 
     @staticmethod
     def _close(page: dict, event: dict) -> None:
@@ -455,18 +482,22 @@ class PageFold(StatefulProcessor):
             error=event["error"] or "",
         )
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        page = dict(zip(PAGE_COLUMNS, self.page.get())) if self.page.exists() else None
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.page.get()
+        page, timer = (dict(zip(PAGE_COLUMNS, known)), known[-1]) if known is not None else (None, None)
         if page is not None and page["status"] != "running":
             return
         fresh, late = self.seen.take(rows)
-        if late:
-            yield _late_rows([*B.PAGE, *PAGE_COLUMNS, "observed_at", LATE], B.PAGE, key, late)
+        yield from _late_rows(B.PAGE, key, late)
         ends = [event for event in late if event["type"] in B.TERMINAL]
         if ends:
             self._close(page, ends[0])
             fresh = []
         agents: dict[tuple, dict] = {}
+        if page is not None and any(event["type"] in B.AGENT_EVENTS for event in fresh):
+            # All agents in one call: what the done ones are is asked at the end anyway.
+            agents = {tuple(name): dict(zip(_COLUMNS, s)) for name, s in self.agents.iterator()}
+        changed = set()
         for event in fresh:
             if page is None:
                 page = dict.fromkeys(PAGE_COLUMNS) | {
@@ -488,27 +519,26 @@ class PageFold(StatefulProcessor):
             if kind == "stage_start" and event["stage"] == "engine" and event["total"] > 0:
                 page["total_engines"] = int(event["total"])
             if kind in B.AGENT_EVENTS:
-                self._agent(agents, event)
+                changed.add(self._agent(agents, event))
         if not fresh and not ends:
             return
-        for name, s in agents.items():
-            self.agents.updateValue(name, tuple(s[c] for c in _COLUMNS))
-        if agents:
-            at = _COLUMNS.index("status")
+        if changed:
             page["completed_engines"] = sum(
-                name[0] == "engine" and s[at] in ("completed", "failed") for name, s in self.agents.iterator()
+                stage == "engine" and s["status"] in ("completed", "failed") for (stage, _), s in agents.items()
             )
         if page["status"] != "running":
             self.agents.clear()
             self.seen.clear()
-        self.page.update(tuple(page[c] for c in PAGE_COLUMNS))
-        self._schedule(page, timerValues)
+        else:
+            for name in changed:
+                self.agents.updateValue(name, tuple(agents[name][c] for c in _COLUMNS))
+        self._keep(page, timer, timerValues)
         yield self._row(key, page, None)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         page = dict(zip(PAGE_COLUMNS, self.page.get()))
         if page["status"] == "running":
-            self._schedule(page, timerValues)
+            self._keep(page, None, timerValues)
             yield self._row(key, page, timerValues.getCurrentProcessingTimeInMs() * 1000)
 
     def close(self) -> None:
@@ -527,7 +557,7 @@ def page_progress(events: DataFrame, beat: bool = False, expire: bool = False) -
     folded = (
         timed.select(*columns)
         .groupBy(*B.PAGE)
-        .transformWithStateInPandas(
+        .transformWithState(
             PageFold(beat, expire),
             outputStructType=f"doc_id string, page_id string, {_PAGE}, observed_at long, {LATE} string",
             outputMode="Update",
