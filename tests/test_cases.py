@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from checks import inputs
 from variorum.functions import text as T
-from variorum.operators import assemble, dedupe, resolve, similar, votes
+from variorum.operators import assemble, dedupe, documents, resolve, similar, votes
 from variorum.plans.fuse import fuse
 from variorum.sources import exports, files, lifecycle, responses, results
 from variorum.streaming import batch as B
@@ -305,3 +305,28 @@ def test_stream_equals_batch_over_several_runs(spark, tmp_path):
                   "output", "thinking", "error", "last_error", "attempt", "max_attempts"):
             assert got[c] == want[c], (n, c)
     assert (want.status, want.output, want.tokens, want.last_error) == ("completed", "abcdef 中", 3, "reset")
+
+
+def test_reordering_sorts_pages_and_order_once(spark):
+    """Odd rows: a page given twice, one unknown, one missing, no id, a document not asked, a page kept twice."""
+    documents_ = spark.createDataFrame([(d, "ready") for d in range(1, 8)], "doc_id long, status string")
+    pages = spark.createDataFrame(
+        [(1, "a", 0), (1, "b", 1), (2, "a", 0), (2, "b", 1), (3, "a", 0), (4, "a", 0), (5, "a", 0), (5, None, 1), (6, "a", 0), (6, "a", 1)]
+        + [(None, "a", 0)],
+        "doc_id long, page_id string, pos int",
+    )
+    order = spark.createDataFrame(
+        [(1, "a", 5), (1, "b", 4), (2, "a", 1), (2, "a", 0), (3, "x", 0), (5, "a", 1), (5, None, 0), (6, "a", 3), (None, "a", 9)],
+        "doc_id long, page_id string, place int",
+    )
+    moved, rejected = documents.reorder_pages(documents_, pages, order)
+    told = {r.doc_id: r.violation for r in rejected.collect()}
+    repeated = "unknown or repeated page"
+    assert told == {2: repeated, 3: repeated, 5: repeated, None: "order must hold every page"}
+    where = sorted((r.doc_id or 0, r.page_id or "", r.pos) for r in moved.collect())
+    assert where == [
+        (0, "a", 0), (1, "a", 5), (1, "b", 4), (2, "a", 0), (2, "b", 1), (3, "a", 0), (4, "a", 0), (5, "", 1), (5, "a", 0),
+        (6, "a", 3), (6, "a", 3),
+    ]
+    plan = rejected._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan and "LeftSemi" not in plan

@@ -216,15 +216,25 @@ def reorder_pages(
     ``order``: ``doc_id, page_id, place``. It must name every page of the document exactly once.
     """
     keys = ["doc_id", "page_id"]
-    placed = order.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), F.min("place").alias("place"))
-    current = pages.select(*keys, F.lit(True).alias("exists"))
-    asked = order.select("doc_id").distinct()
-    both = current.join(asked, "doc_id", "left_semi").join(placed, keys, "full")
-    counted = both.groupBy("doc_id").agg(
-        F.sum(F.coalesce("copies", F.lit(0))).alias("given"),
-        F.count_if(F.col("exists")).alias("present"),
-        F.count_if(F.col("exists").isNull() | F.col("copies").isNull() | (F.col("copies") > 1)).alias("bad"),
+    # Pages and order meet in one grouping, where joins of the two would sort each of them in the same task.
+    named = order.select(*keys, "place", F.lit(1).alias("copy"), F.lit(0).alias("page")).unionByName(
+        pages.filter("doc_id IS NOT NULL").select(*keys, F.lit(1).alias("page")), allowMissingColumns=True
     )
+    both = named.groupBy(*keys).agg(
+        F.count("copy").alias("copies"), F.min("place").alias("place"), F.sum("page").alias("pages")
+    )
+    rows = F.greatest("pages", F.lit(1))
+    bad = F.col("page_id").isNull() | (F.col("pages") == 0) | (F.col("copies") != 1)
+    counted = (
+        both.groupBy("doc_id")
+        .agg(
+            F.sum(F.col("copies") * rows).alias("given"),
+            F.sum("pages").alias("present"),
+            F.count_if(bad).alias("bad"),
+        )
+        .filter("given > 0")
+    )
+    placed = both.filter("copies > 0")
     rejected = (
         counted.join(documents.select("doc_id", "status"), "doc_id", "left")
         .select(
