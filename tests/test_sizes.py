@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from checks import inputs as I
 from variorum.functions import text as T
-from variorum.operators import votes
+from variorum.operators import documents as documents_
+from variorum.operators import transitions, votes
+from variorum.session import stage
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -75,3 +77,13 @@ def test_regions_at_bucket_edges_and_gaps(spark):
         (4095, 4096, "t4094", "t4097"), (4200, 4200, "", ""),
     ]
     assert [tuple(c) for c in found[0].candidates] == [("a", "pr"), ("b", "q")]
+
+
+def test_queueing_broadcasts_no_table_of_documents_or_pages(spark):
+    documents, pages = I.documents(spark, FOLDER), stage(I.pages(spark, FOLDER), "pages")
+    requests, selection = I.requests(spark, FOLDER), I.selection(pages)
+    checked = documents_.check_selection(requests, selection, documents, pages)
+    queued = transitions.queue_pages(documents, pages, requests, selection, I.now())
+    dequeued = transitions.dequeue_pages(documents, pages, selection, I.now())
+    for df in (checked, *queued, *dequeued):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from variorum.operators import ordered
+from variorum.session import by_shuffle
 
 COUNTERS = ("page_count", "prepared_pages", "processed_pages", "failed_pages", "pending_disputes")
 ACTIVE = ("queued", "processing")
@@ -32,7 +33,7 @@ def count_pages(pages: DataFrame) -> DataFrame:
 
 def recount_documents(documents: DataFrame, pages: DataFrame) -> DataFrame:
     """Documents with their five derived counters; zero for a document without pages."""
-    counted = documents.drop(*COUNTERS).join(count_pages(pages), "doc_id", "left")
+    counted = documents.drop(*COUNTERS).join(by_shuffle(count_pages(pages)), "doc_id", "left")
     return counted.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in COUNTERS})
 
 
@@ -166,10 +167,10 @@ def check_selection(
     is spread over its pages.
     """
     keys = ["doc_id", "page_id"]
-    asked = selection.join(requests.select("doc_id"), "doc_id", "left_semi")
+    asked = selection.join(by_shuffle(requests.select("doc_id")), "doc_id", "left_semi")
     per_page = asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
     known = per_page.join(
-        pages.select(*keys, "status", "image_ready"), keys, "left"
+        by_shuffle(pages.select(*keys, "status", "image_ready")), keys, "left"
     )
     flags = known.groupBy("doc_id").agg(
         F.bool_or(F.col("page_id") == "").alias("blank"),
@@ -178,7 +179,7 @@ def check_selection(
         F.bool_or(~F.col("image_ready") | (F.col("status") == "preparing")).alias("unprepared"),
         F.bool_or(F.col("status") == "processing").alias("busy"),
     )
-    joined = requests.join(flags, "doc_id", "left")
+    joined = requests.join(by_shuffle(flags), "doc_id", "left")
     empty = (F.col("blank").isNull(), "no page selected")
     blank = (F.col("blank"), "blank page id")
     repeated = (F.col("repeated"), "repeated page id")
@@ -191,7 +192,7 @@ def check_selection(
         current = documents.select(
             "doc_id", F.col("status").alias("_status"), *(F.col(c).alias(f"_{c}") for c in settings)
         )
-        joined = joined.join(current, "doc_id", "left")
+        joined = joined.join(by_shuffle(current), "doc_id", "left")
         same = F.lit(True)
         for c in settings:
             same = same & (F.col(c) == F.col(f"_{c}"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from variorum.functions import text as T
 from variorum.operators import documents as D, ordered
-from variorum.session import stage
+from variorum.session import by_shuffle, stage
 
 KEYS = ["doc_id", "page_id"]
 SETTINGS = ("engines", "arbiter", "duplicate_checker", "auto_arbitrate")
@@ -25,7 +25,7 @@ UNNAMED_IMAGE = "未命名图片"
 
 def _flag(df: DataFrame, rows: DataFrame, on: list[str], name: str) -> DataFrame:
     marked = rows.select(*on).distinct().withColumn(name, F.lit(True))
-    return df.join(marked, on, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return df.join(by_shuffle(marked), on, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def _set(df: DataFrame, when: Column, **values) -> DataFrame:
@@ -47,8 +47,8 @@ def queue_pages(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, pages, rejected). ``requests``: ``doc_id`` and the four settings."""
     rejected = stage(D.check_selection(requests, selection, documents, pages), "rejected")
-    taken = requests.join(rejected, "doc_id", "left_anti")
-    picked = selection.join(taken.select("doc_id"), "doc_id", "left_semi")
+    taken = requests.join(by_shuffle(rejected), "doc_id", "left_anti")
+    picked = selection.join(by_shuffle(taken.select("doc_id")), "doc_id", "left_semi")
     flagged = _flag(pages, picked, KEYS, "_picked")
     reset = F.col("_picked") & (F.col("status") != "queued")
     new_pages = _set(
@@ -65,7 +65,7 @@ def queue_pages(
     ).drop("_picked")
     new_pages = stage(new_pages, "pages")
     wanted = taken.select("doc_id", F.lit(True).alias("_asked"), *(F.col(c).alias(f"_{c}") for c in SETTINGS))
-    joined = documents.join(wanted, "doc_id", "left").withColumn("_asked", F.coalesce("_asked", F.lit(False)))
+    joined = documents.join(by_shuffle(wanted), "doc_id", "left").withColumn("_asked", F.coalesce("_asked", F.lit(False)))
     idle = F.col("_asked") & (F.col("status") != "processing")
     settled = _set(joined, idle, **{c: F.col(f"_{c}") for c in SETTINGS})
     started = _set(settled, F.col("_asked"), status="processing", completed_at=F.lit(None), error="")
@@ -99,14 +99,14 @@ def dequeue_pages(
     page that is already being processed is rejected whole."""
     requests = selection.select("doc_id").distinct()
     rejected = stage(D.check_selection(requests, selection, documents, pages, queueing=False), "rejected")
-    taken = requests.join(rejected, "doc_id", "left_anti")
-    picked = selection.join(taken, "doc_id", "left_semi")
+    taken = requests.join(by_shuffle(rejected), "doc_id", "left_anti")
+    picked = selection.join(by_shuffle(taken), "doc_id", "left_semi")
     flagged = _flag(pages, picked, KEYS, "_picked")
     new_pages = _set(
         flagged, F.col("_picked") & (F.col("status") == "queued"), updated_at=now, status="ready"
     ).drop("_picked")
     new_pages = stage(new_pages, "pages")
-    joined = _flag(documents, taken, ["doc_id"], "_asked").join(page_flags(new_pages), "doc_id", "left")
+    joined = _flag(documents, taken, ["doc_id"], "_asked").join(by_shuffle(page_flags(new_pages)), "doc_id", "left")
     idle = F.col("_asked") & ~F.coalesce("_active", F.lit(False))
     new_documents = _touch(_rest(joined, idle, now), new_pages, F.col("_asked"), now)
     return new_documents.drop("_asked", "_active", "_waiting", "_failed"), new_pages, rejected
@@ -128,7 +128,7 @@ def cancel_documents(
 
 def settle_documents(documents: DataFrame, pages: DataFrame, now: Column) -> DataFrame:
     """Status of every document after a batch; cancelled and failed documents keep theirs."""
-    joined = documents.join(page_flags(pages), "doc_id", "left")
+    joined = documents.join(by_shuffle(page_flags(pages)), "doc_id", "left")
     open_ = ~F.col("status").isin("cancelled", "failed")
     active = F.coalesce("_active", F.lit(False))
     failed = F.coalesce("_failed", F.lit(0))
@@ -270,7 +270,7 @@ def delete_pages(
         .alias("violation"),
     ).filter("violation IS NOT NULL")
     rejected = stage(rejected, "rejected")
-    gone = asked.join(rejected, "doc_id", "left_anti")
+    gone = asked.join(by_shuffle(rejected), "doc_id", "left_anti")
     kept = stage(D.renumber(pages.drop("page_number").join(gone, KEYS, "left_anti")), "pages")
     touched = _flag(documents, gone, ["doc_id"], "_asked")
     return _touch(touched, kept, F.col("_asked"), now).drop("_asked"), kept, rejected
