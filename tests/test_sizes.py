@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks import inputs as I
 from variorum.functions import text as T
 from variorum.operators import documents as documents_
-from variorum.operators import transitions, votes
+from variorum.operators import resolve, transitions, votes
 from variorum.session import stage
 
 FOLDER = "/root/testdata/sf0.001"
@@ -87,3 +87,22 @@ def test_queueing_broadcasts_no_table_of_documents_or_pages(spark):
     dequeued = transitions.dequeue_pages(documents, pages, selection, I.now())
     for df in (checked, *queued, *dequeued):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_local_choice_compares_a_pair_once(spark):
+    rows = [
+        (1, 0, [("a", "north wind"), ("b", "north wing"), ("c", "xyz")]),
+        (1, 1, [("a", "日本語"), ("b", "日本𠀀"), ("c", "日本語")]),
+        (1, 2, [("a", "x"), ("b", "y")]),
+        (1, 3, [("a", "")]),
+    ]
+    disputes = spark.createDataFrame(
+        [(p, s, "", "", c) for p, s, c in rows],
+        "page_id long, segment long, before string, after string, candidates array<struct<agent: string, text: string>>",
+    ).repartition(2)
+    outcomes = resolve.apply_resolutions(disputes, None)
+    assert optimized(outcomes).count("array_intersect") == 1
+    found = disputes.select("segment", votes.medoid("candidates").alias("m")).orderBy("segment").select("m.*").collect()
+    # northwind and northwing share 7 of 9 bigrams; 日本語 and 日本𠀀 one of three.
+    assert [tuple(r) for r in found] == [("a", "north wind", 7 / 9), ("a", "日本語", 1 / 3 + 1.0), ("a", "x", 0.0), ("a", "", 0.0)]
+    assert [r["from"] for r in outcomes.collect()] == [["a"]] * 4

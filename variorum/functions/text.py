@@ -83,15 +83,33 @@ def bigrams(core: str | Column) -> Column:
     return F.array_distinct(pairs)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value made once: a one-element wrapper binds it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def gram_codes(core: str | Column) -> Column:
+    """The same bigrams, each as one number: no text is made a gram, and numbers compare faster."""
+    points = F.transform(code_points(core), lambda p: F.ascii(p).cast("long"))
+
+    def paired(points: Column) -> Column:
+        last = F.greatest(F.size(points) - 1, F.lit(0))
+        return F.zip_with(F.slice(points, 1, last), F.slice(points, 2, last), lambda a, b: a * 2097152 + b)
+
+    return F.array_distinct(bound(points, paired))
+
+
 def jaccard(core_a: Column, grams_a: Column, core_b: Column, grams_b: Column) -> Column:
     """Set Jaccard of bigrams; equal cores count as 1 even with one character, empty cores as 0."""
-    shared = F.size(F.array_intersect(grams_a, grams_b))
-    union = F.size(grams_a) + F.size(grams_b) - shared
+
+    def ratio(shared: Column) -> Column:
+        return F.try_divide(shared.cast("double"), (F.size(grams_a) + F.size(grams_b) - shared).cast("double"))
+
     return (
         F.when((core_a == "") | (core_b == ""), 0.0)
         .when(core_a == core_b, 1.0)
         .when((F.size(grams_a) == 0) | (F.size(grams_b) == 0), 0.0)
-        .otherwise(F.try_divide(shared.cast("double"), union.cast("double")))
+        .otherwise(bound(F.size(F.array_intersect(grams_a, grams_b)), ratio))
     )
 
 

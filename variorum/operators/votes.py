@@ -77,37 +77,50 @@ def medoid(candidates: str | Column) -> Column:
             candidates,
             lambda c: F.struct(c["agent"].alias("agent"), c["text"].alias("text"), T.core_form(c["text"]).alias("core")),
         ),
-        lambda c: F.struct(c["agent"], c["text"], c["core"], T.bigrams(c["core"]).alias("grams")),
+        lambda c: F.struct(c["agent"], c["text"], c["core"], T.gram_codes(c["core"]).alias("grams")),
     )
 
-    def score(one: Column, everyone: Column) -> Column:
-        return F.aggregate(
+    def alike(one: Column, other: Column) -> Column:
+        return F.when(
+            other["agent"] != one["agent"], T.jaccard(one["core"], one["grams"], other["core"], other["grams"])
+        ).otherwise(0.0)
+
+    def compared(everyone: Column) -> Column:
+        # A pair is compared once: a candidate has its similarities to those after it.
+        return F.transform(
             everyone,
-            F.lit(0.0),
-            lambda total, other: total
-            + F.when(
-                other["agent"] != one["agent"],
-                T.jaccard(one["core"], one["grams"], other["core"], other["grams"]),
-            ).otherwise(0.0),
+            lambda one, i: F.struct(
+                one["agent"].alias("agent"),
+                one["text"].alias("text"),
+                F.transform(F.slice(everyone, i + 2, F.size(everyone)), lambda other: alike(one, other)).alias("after"),
+            ),
         )
 
-    ranked = F.transform(
-        # A one-element wrapper binds the profile once, so scoring does not rebuild it per pair.
-        F.array(profile),
-        lambda everyone: F.array_max(
+    def score(everyone: Column, i: Column) -> Column:
+        def of(j: Column) -> Column:
+            first, second = F.least(i, j), F.greatest(i, j)
+            return F.when(i == j, 0.0).otherwise(F.get(F.get(everyone, first)["after"], second - first - 1))
+
+        return F.aggregate(
+            F.sequence(F.lit(0), F.size(everyone) - 1), F.lit(0.0), lambda total, j: total + of(j)
+        )
+
+    def chosen(everyone: Column) -> Column:
+        return F.array_max(
             F.transform(
                 everyone,
                 lambda one, i: F.struct(
-                    score(one, everyone).alias("score"),
-                    (-i).alias("rank"),
-                    one["agent"].alias("agent"),
-                    one["text"].alias("text"),
+                    score(everyone, i).alias("score"), (-i).alias("rank"), one["agent"].alias("agent"), one["text"].alias("text")
                 ),
             )
-        ),
+        )
+
+    # Bound at each step, so that nothing is made again for each pair.
+    best = T.bound(profile, lambda everyone: T.bound(compared(everyone), chosen))
+    # Bound too: three fields of an expression under a condition would be three evaluations of it.
+    return T.bound(
+        best, lambda b: F.struct(b["agent"].alias("agent"), b["text"].alias("text"), b["score"].alias("score"))
     )
-    best = F.element_at(ranked, 1)
-    return F.struct(best["agent"].alias("agent"), best["text"].alias("text"), best["score"].alias("score"))
 
 
 def slot_medoid(slots: DataFrame) -> DataFrame:
