@@ -330,3 +330,34 @@ def test_reordering_sorts_pages_and_order_once(spark):
     ]
     plan = rejected._jdf.queryExecution().optimizedPlan().toString()
     assert "FullOuter" not in plan and "LeftSemi" not in plan
+
+
+def test_similar_pairs_by_matrix_and_by_places(monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    cores = sorted({"".join(rng.choice("abc日") for _ in range(rng.randint(2, 9))) for _ in range(70)})
+    grams = [{c[i : i + 2] for i in range(len(c) - 1)} for c in cores]
+    want = {}
+    for i in range(len(cores)):
+        for j in range(i + 1, len(cores)):
+            value = len(grams[i] & grams[j]) / len(grams[i] | grams[j])
+            if value > 0.35:
+                want[i, j] = value
+
+    def found():
+        return {(i, j): s for part in similar._found(cores, 0.35) for i, j, s in zip(*(p.tolist() for p in part))}
+
+    assert found() == want and len(want) > 50
+    monkeypatch.setattr(similar, "CELLS", 200)
+    assert found() == want
+    monkeypatch.setattr(similar, "WIDE", 0)
+    assert found() == want
+    assert list(similar._found(["ab"], 0.35)) == []
+
+
+def test_similar_pairs_compare_no_arrays_row_by_row(spark):
+    df = spark.createDataFrame([(1, "north wind"), (1, "north wing")], "page_id int, text string")
+    pairs = similar.similar_segments(df, ["page_id"], "text")
+    assert "array_intersect" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in pairs.collect()] == [(1, "northwind", "northwing", 1, 1, 7 / 9)]

@@ -2,75 +2,112 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-from operator import add
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from variorum.functions import text as T
-from variorum.session import stage
+from variorum.operators.align_kernel import Side
+from variorum.session import ship_package, stage
 
 #: Keys with at most this many forms are compared form by form, larger ones through an index.
 DIRECT = 4096
-_WORDS = 4
+#: A key with more different bigrams than this is not compared by a matrix; cells of one step of it.
+WIDE = 4096
+CELLS = 1 << 18
 
 
-def _profile(core: str) -> Column:
-    """Struct ``size, marks``: the number of distinct bigrams, and the set of them as 256 bits in four numbers.
+def _found(cores: list[str], floor: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of places in ``cores`` (distinct, in order) whose Jaccard exceeds ``floor``, and it, some rows at a time.
 
-    A bit may stand for several grams. One-element wrappers bind what is used more than once.
+    What two forms share is an entry of a matrix product over bigrams; where a key has very many different bigrams, it is
+    counted from the places of each.
     """
-
-    def word(places: Column, at: int) -> Column:
-        mine = F.filter(places, lambda p: F.shiftright(p, 6) == at)
-        one = F.lit(1).cast("long")
-        return F.aggregate(
-            mine, F.lit(0).cast("long"), lambda told, p: told.bitwiseOR(F.call_function("shiftleft", one, p.bitwiseAND(63)))
-        )
-
-    def marked(grams: Column) -> Column:
-        places = F.array_distinct(F.transform(grams, lambda g: F.hash(g).bitwiseAND(_WORDS * 64 - 1)))
-        marks = F.element_at(F.transform(F.array(places), lambda p: F.array(*(word(p, at) for at in range(_WORDS)))), 1)
-        return F.struct(F.size(grams).alias("size"), marks.alias("marks"))
-
-    return F.element_at(F.transform(F.array(T.bigrams(core)), marked), 1)
-
-
-def _may_exceed(floor: float) -> Column:
-    """False only where sizes or marks show that Jaccard can't exceed ``floor``.
-
-    A bit that only one side has stands for a gram at least that the other side lacks, so both sides bound what they
-    share from above.
-    """
-
-    def lacking(one: str, other: str) -> Column:
-        return reduce(
-            add, (F.bit_count(F.col(f"{one}_m{at}").bitwiseAND(F.bitwise_not(F.col(f"{other}_m{at}")))) for at in range(_WORDS))
-        )
-
-    smaller = F.least("l_size", "r_size")
-    larger = F.greatest("l_size", "r_size")
-    shared = F.least(F.col("l_size") - lacking("l", "r"), F.col("r_size") - lacking("r", "l"))
-    needed = (F.col("l_size") + F.col("r_size")) * (floor / (1 + floor))
-    return (smaller > larger * floor) & (shared >= needed - 1e-9)
-
-
-def _numbered_grams(core: str) -> Column:
-    """The distinct bigrams of a core form, each as one number, which compare faster than texts."""
-    second = lambda g: F.ascii(F.substring(g, 2, 1))
-    return F.transform(T.bigrams(core), lambda g: F.ascii(g).cast("long") * 2097152 + second(g))
+    side = Side(cores)
+    vocabulary, side.ids = np.unique(side.codes, return_inverse=True)
+    ends = np.arange(1, len(cores) + 1)
+    if len(vocabulary) > WIDE:
+        shares = _shared_sparse(side)
+    else:
+        shares = _shared_dense(side.sets(ends, 1, max(1, len(vocabulary))))
+    for first, sizes, shared in shares:
+        union = sizes[first : first + len(shared), None] + sizes[None, first:] - shared
+        similarity = np.divide(shared, union, out=np.zeros_like(union), where=union > 0)
+        left, right = np.nonzero(similarity > floor)
+        ahead = right > left
+        left, right = left[ahead], right[ahead]
+        if len(left):
+            yield first + left, first + right, similarity[left, right]
+
+
+def _shared_dense(sets: np.ndarray):
+    sizes = sets.sum(axis=1, dtype=np.float64)
+    step = max(1, CELLS // len(sets))
+    for first in range(0, len(sets), step):
+        yield first, sizes, (sets[first : first + step] @ sets[first:].T).astype(np.float64)
+
+
+def _shared_sparse(side: Side):
+    """The same, a form's distinct bigrams looked up among the forms that have them."""
+    count, width = side.count, int(side.ids.max()) + 1
+    form = np.repeat(np.arange(count), np.diff(side.edges))
+    inside = form[:-1] == form[1:]
+    forms, grams = np.divmod(np.unique(form[:-1][inside] * width + side.ids[inside]), width)
+    sizes = np.bincount(forms, minlength=count)
+    by_gram = forms[np.argsort(grams, kind="stable")]
+    starts = np.concatenate(([0], np.cumsum(np.bincount(grams, minlength=width))))
+    edges = np.concatenate(([0], np.cumsum(sizes)))
+    step = max(1, CELLS // count)
+    for first in range(0, count, step):
+        shared = np.zeros((min(step, count - first), count))
+        for row, mine in enumerate(shared, first):
+            for gram in grams[edges[row] : edges[row + 1]]:
+                mine[by_gram[starts[gram] : starts[gram + 1]]] += 1
+        yield first, sizes.astype(np.float64), shared[:, first:]
 
 
 def _compared(forms: DataFrame, keys: list[str], floor: float) -> DataFrame:
-    """Pairs of forms of a key, each with each: a form is shuffled once, and most pairs are told by their marks."""
-    columns = ("core", "copies", "size", *(f"m{at}" for at in range(_WORDS)), "grams")
-    # Dealt before the join, so that grams are made behind the shuffle.
-    dealt = forms.repartition(*keys).withColumn("grams", _numbered_grams("core"))
-    left = dealt.select(*keys, *(F.col(c).alias(f"l_{c}") for c in columns))
-    right = dealt.select(*keys, *(F.col(c).alias(f"r_{c}") for c in columns))
-    return left.join(right, keys).filter((F.col("l_core") < F.col("r_core")) & _may_exceed(floor))
+    """Pairs of forms of a key, each with each, a key's forms gathered in one row."""
+    # A fixed number of pieces, as the work is heavy per byte.
+    pieces = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = forms.repartition(pieces, *keys)
+    gathered = dealt.groupBy(*keys).agg(F.collect_list(F.struct("core", "copies")).alias("forms"))
+    for key in keys:
+        gathered = gathered.filter(F.col(key).isNotNull())
+    ship_package(forms.sparkSession)
+    fields = {"left_core": S.StringType(), "right_core": S.StringType(), "copies_left": S.LongType(), "copies_right": S.LongType()}
+    schema = S.StructType(
+        [gathered.schema[k] for k in keys]
+        + [S.StructField(name, kind) for name, kind in fields.items()]
+        + [S.StructField("similarity", S.DoubleType())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(k) for k in keys]
+            for at in range(len(batch)):
+                rows = batch.column("forms").slice(at, 1).flatten()
+                rows = rows.take(pc.array_sort_indices(rows.field("core")))
+                core, copies = rows.field("core"), rows.field("copies")
+                for left, right, similarity in _found(core.to_pylist(), floor):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(c.take(pa.array(np.full(len(left), at, dtype=np.int32))) for c in columns),
+                            core.take(pa.array(left)),
+                            core.take(pa.array(right)),
+                            copies.take(pa.array(left)),
+                            copies.take(pa.array(right)),
+                            pa.array(similarity),
+                        ],
+                        names=[*keys, *fields, "similarity"],
+                    )
+
+    return gathered.mapInArrow(run, schema)
 
 
 def _indexed(forms: DataFrame, keys: list[str], floor: float) -> DataFrame:
@@ -104,7 +141,7 @@ def _indexed(forms: DataFrame, keys: list[str], floor: float) -> DataFrame:
     )
 
     def side(name: str) -> DataFrame:
-        told = forms.withColumn("grams", _numbered_grams("core"))
+        told = forms.withColumn("grams", T.gram_codes("core"))
         return told.select(*keys, *(F.col(c).alias(f"{name}_{c}") for c in ("form", "core", "copies", "size", "grams")))
 
     found = candidates.join(side("l"), [*keys, "l_form"]).join(side("r"), [*keys, "r_form"])
@@ -113,17 +150,18 @@ def _indexed(forms: DataFrame, keys: list[str], floor: float) -> DataFrame:
     def of(column: str, first: str, second: str) -> Column:
         return F.when(turned, F.col(f"{second}_{column}")).otherwise(F.col(f"{first}_{column}"))
 
-    return found.select(
+    pairs = found.select(
         *keys,
-        of("core", "l", "r").alias("l_core"),
-        of("core", "r", "l").alias("r_core"),
-        of("copies", "l", "r").alias("l_copies"),
-        of("copies", "r", "l").alias("r_copies"),
-        "l_size",
-        "r_size",
-        "l_grams",
-        "r_grams",
+        of("core", "l", "r").alias("left_core"),
+        of("core", "r", "l").alias("right_core"),
+        of("copies", "l", "r").alias("copies_left"),
+        of("copies", "r", "l").alias("copies_right"),
+        (F.col("l_size") + F.col("r_size")).alias("sizes"),
+        # Exploded, because the filter would otherwise be pushed down and the grams be compared twice.
+        F.explode_outer(F.array(F.size(F.array_intersect("l_grams", "r_grams")))).alias("shared"),
     )
+    similarity = F.try_divide(F.col("shared").cast("double"), (F.col("sizes") - F.col("shared")).cast("double"))
+    return pairs.withColumn("similarity", similarity).filter(F.col("similarity") > floor).drop("sizes", "shared")
 
 
 def similar_segments(
@@ -141,30 +179,13 @@ def similar_segments(
         df.select(*keys, T.core_form(text).alias("core"))
         .groupBy(*keys, "core")
         .agg(F.count(F.lit(1)).alias("copies"))
-        .filter("char_length(core) > 1")
-        .select(*keys, "core", "copies", F.monotonically_increasing_id().alias("form"), _profile("core").alias("p")),
+        .filter("char_length(core) > 1"),
         "forms",
     )
-    marks = (F.element_at("p.marks", at + 1).alias(f"m{at}") for at in range(_WORDS))
-    forms = forms.select(*keys, "core", "copies", "form", "p.size", *marks)
     large = forms.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > direct).select(*keys)
-    columns = [*keys, *(f"{side}_{c}" for side in "lr" for c in ("core", "copies", "size", "grams"))]
-    pairs = _compared(forms.join(large, keys, "left_anti"), keys, floor).select(*columns)
-    if not large.isEmpty():
-        pairs = pairs.unionByName(_indexed(forms.join(large, keys, "left_semi"), keys, floor).select(*columns))
-    # Exploded, because the filter would otherwise be pushed down and the grams be compared twice.
-    shared = F.explode_outer(F.array(F.size(F.array_intersect("l_grams", "r_grams")))).alias("shared")
-    union = F.col("l_size") + F.col("r_size") - F.col("shared")
-    return (
-        pairs.select("*", shared)
-        .withColumn("similarity", F.try_divide(F.col("shared").cast("double"), union.cast("double")))
-        .filter(F.col("similarity") > floor)
-        .select(
-            *keys,
-            F.col("l_core").alias("left_core"),
-            F.col("r_core").alias("right_core"),
-            F.col("l_copies").alias("copies_left"),
-            F.col("r_copies").alias("copies_right"),
-            "similarity",
-        )
-    )
+    if large.isEmpty():
+        return _compared(forms, keys, floor)
+    pairs = _compared(forms.join(large, keys, "left_anti"), keys, floor)
+    numbered = forms.withColumn("size", F.size(T.gram_codes("core"))).withColumn("form", F.monotonically_increasing_id())
+    numbered = stage(numbered.join(large, keys, "left_semi"), "numbered")
+    return pairs.unionByName(_indexed(numbered, keys, floor))
