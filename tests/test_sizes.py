@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks import inputs as I
 from variorum.functions import text as T
 from variorum.operators import documents as documents_
-from variorum.operators import resolve, transitions, votes
+from variorum.operators import dedupe, resolve, transitions, votes
 from variorum.session import stage
 
 FOLDER = "/root/testdata/sf0.001"
@@ -106,3 +106,13 @@ def test_local_choice_compares_a_pair_once(spark):
     # northwind and northwing share 7 of 9 bigrams; 日本語 and 日本𠀀 one of three.
     assert [tuple(r) for r in found] == [("a", "north wind", 7 / 9), ("a", "日本語", 1 / 3 + 1.0), ("a", "x", 0.0), ("a", "", 0.0)]
     assert [r["from"] for r in outcomes.collect()] == [["a"]] * 4
+
+
+def test_proposals_make_each_form_once(spark):
+    segments = spark.createDataFrame(
+        [(1, 0, "the north wind", False, "consensus"), (1, 1, "The North Wind", True, "fallback"), (1, 2, "the-north wind.", True, "fallback")],
+        "page_id long, idx long, text string, disputed boolean, source string",
+    )
+    valid = dedupe.validate_proposals(segments, dedupe.propose_nearby(segments))
+    assert optimized(valid).count("regexp_replace") == 4  # core and visible form of two texts
+    assert [tuple(r) for r in valid.collect()] == [(1, 2, 0)]
