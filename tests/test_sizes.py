@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks import inputs as I
 from variorum.functions import text as T
 from variorum.operators import documents as documents_
-from variorum.operators import dedupe, resolve, transitions, votes
+from variorum.operators import align, dedupe, resolve, transitions, votes
 from variorum.session import stage
 
 FOLDER = "/root/testdata/sf0.001"
@@ -116,3 +116,9 @@ def test_proposals_make_each_form_once(spark):
     valid = dedupe.validate_proposals(segments, dedupe.propose_nearby(segments))
     assert optimized(valid).count("regexp_replace") == 4  # core and visible form of two texts
     assert [tuple(r) for r in valid.collect()] == [(1, 2, 0)]
+
+
+def test_alignment_shuffles_texts_uncut(spark):
+    plan = optimized(align.page_bundles(I.readings(spark, FOLDER))).split("\n")
+    below = plan[next(i for i, line in enumerate(plan) if "Repartition" in line) :]
+    assert not any(" AS cores" in line for line in below)
